@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.llm import bpe, exact_dedup, packing, toxicity, url_filter
+from tracklake.llm import bpe, exact_dedup, jaccard_join, packing, toxicity, url_filter
 from tracklake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -37,7 +41,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_packing, op5_toxicity, op6_exact_dedup, op9_url_filter, op10_bpe)
+    found = (op1_packing, op5_toxicity, op6_exact_dedup, op8_jaccard_join, op9_url_filter, op10_bpe)
     return {f.__name__: f for f in found}
 
 

@@ -169,7 +169,7 @@ def _children(nodes: np.ndarray, minima: np.ndarray, rate: float) -> tuple[np.nd
 
 def _split(sets: DataFrame, node: Column | None, runs: int) -> DataFrame:
     """rep, node (a child) of every set for every sampled coordinate, of the roots of all runs or of ``node``."""
-    rate = 1 / (SIMILARITY * COORDINATES)
+    rate, from_roots = 1 / (SIMILARITY * COORDINATES), node is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -178,7 +178,7 @@ def _split(sets: DataFrame, node: Column | None, runs: int) -> DataFrame:
                 reps = np.asarray(batch.column(0))
                 raw = b"".join(batch.column(1).to_pylist())
                 minima = np.frombuffer(raw, "<u4").reshape(len(reps), COORDINATES).astype(np.uint64)
-                if node is None:
+                if from_roots:
                     found = []
                     for r in range(runs):
                         root = np.full(len(reps), xxhash.xxh3_64_intdigest(b"root%d" % r), np.uint64)
