@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.llm import bpe, exact_dedup, html_extract, jaccard_join, packing, toxicity, url_filter
+from tracklake.llm import ann, bpe, exact_dedup, html_extract, jaccard_join, packing, toxicity, url_filter
 from tracklake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_VOCABULARY))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_packing, op3_html, op5_toxicity, op6_exact_dedup, op8_jaccard_join, op9_url_filter, op10_bpe)
+    found = (op1_packing, op2_ann, op3_html, op5_toxicity, op6_exact_dedup, op8_jaccard_join, op9_url_filter, op10_bpe)
     return {f.__name__: f for f in found}
 
 
