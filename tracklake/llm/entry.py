@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.llm import ann, bpe, exact_dedup, html_extract, jaccard_join, packing, toxicity, url_filter
+from tracklake.llm import ann, bpe, exact_dedup, html_extract, jaccard_join, license_scan, packing, toxicity, url_filter
 from tracklake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,9 +53,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_packing, op2_ann, op3_html, op5_toxicity, op6_exact_dedup, op8_jaccard_join, op9_url_filter, op10_bpe)
+    found = (op1_packing, op2_ann, op3_html, op4_license, op5_toxicity, op6_exact_dedup, op8_jaccard_join, op9_url_filter, op10_bpe)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.oracle()}
+    return {
+        "op4_license": license_scan.oracle(),
+        "op6_exact_dedup": exact_dedup.ORACLE,
+        "op9_url_filter": url_filter.oracle(),
+    }
