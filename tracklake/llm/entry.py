@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.llm import ann, bpe, exact_dedup, html_extract, jaccard_join, license_scan, packing, toxicity, url_filter
+from tracklake.llm import ann, bpe, exact_dedup, html_extract, jaccard_join, license_scan, line_dedup, packing, toxicity, url_filter
 from tracklake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_packing, op2_ann, op3_html, op4_license, op5_toxicity, op6_exact_dedup, op8_jaccard_join, op9_url_filter, op10_bpe)
+    found = (op1_packing, op2_ann, op3_html, op4_license, op5_toxicity, op6_exact_dedup, op7_line_dedup, op8_jaccard_join, op9_url_filter, op10_bpe)
     return {f.__name__: f for f in found}
 
 
