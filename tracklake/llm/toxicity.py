@@ -41,6 +41,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -479,6 +480,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return shown.mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all their columns."""
+
+    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield pd.Series([model.probability(m) for m in scorer.margins(batch.tolist())], dtype="float64")
+
+    return docs.where(F.pandas_udf(rate, "double")(common.text_or_empty()) < threshold)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: trained without the held-out fold, scored everywhere."""
     model = train(docs, labels, ~held_out(F.col("doc_id")))
