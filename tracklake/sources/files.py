@@ -34,10 +34,17 @@ def discover_files(root: str | os.PathLike, pattern: str = "*.csv", spark: Spark
     if _is_remote(where):
         spark = spark or SparkSession.getActiveSession()
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        files = sorted(f.getPath().toString() for f in found or [])
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files = []
+        for found in fs.globStatus(path) or []:
+            inner = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+            files += [f.getPath().toString() for f in inner if f is found or f.getPath().getName()[0] not in "._"]
+        files.sort()
     else:
-        files = sorted(glob.glob(where))
+        files = []
+        for found in sorted(glob.glob(where)):  # a folder written by Spark stands for its files
+            inner = sorted(os.listdir(found)) if os.path.isdir(found) else None
+            files += [found] if inner is None else [os.path.join(found, f) for f in inner if f[0] not in "._"]
     if not files:
         raise FileNotFoundError(f"No files match: {where}")
     return files
