@@ -50,8 +50,8 @@ SMALL_BUCKET = 64
 LEVELS = 3
 #: Estimated similarity that a sketch must show: four standard deviations under the threshold.
 SKETCH_SIMILARITY = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
-#: Rows of a block in brute force.
-BLOCK = 256
+#: Rows of a block in brute force over sketches, and over full sets.
+SKETCH_BLOCK, BLOCK = 4096, 256
 #: Shared shingles that are multiplied at a time.
 SLICE = 8192
 MOST_WORDS = 500_000
@@ -194,11 +194,17 @@ def _split(sets: DataFrame, node: Column | None, runs: int) -> DataFrame:
 
 
 def _forest(groups: np.ndarray, sketches: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forests of the pairs whose sketches agree enough; rows of one group stand together."""
+    """For each connected set of similar sketches in a group, edges from its smallest id to the others.
+
+    Rows of one group stand together. A group is done as soon as it is one
+    connected set, which for near copies is after few comparisons.
+    """
     least, n = SKETCH_SIMILARITY * COORDINATES, len(ids)
     first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff([*first, n])
+    own = np.repeat(np.arange(len(first)), sizes)
     ends = np.repeat(first + sizes, sizes)
+    parts = sizes.copy()  # connected sets of each group
     parent: dict[int, int] = {}
 
     def root(i: int) -> int:
@@ -207,17 +213,26 @@ def _forest(groups: np.ndarray, sketches: np.ndarray, ids: np.ndarray) -> list[t
             i = up
         return i
 
-    edges = []
+    rows = np.arange(n)
     for apart in range(1, int(sizes.max(initial=1))):
-        at = np.flatnonzero(np.arange(n) + apart < ends)
-        for lo in range(0, len(at), 8192):
-            left = at[lo : lo + 8192]
+        rows = rows[(rows + apart < ends[rows]) & (parts[own[rows]] > 1)]
+        if not len(rows):
+            break
+        for lo in range(0, len(rows), 8192):
+            left = rows[lo : lo + 8192]
             agree = (sketches[left] == sketches[left + apart]).sum(axis=1)
             for i in left[agree >= least].tolist():
                 a, b = root(i), root(i + apart)
                 if a != b:
                     parent[b] = a
-                    edges.append((int(ids[i]), int(ids[i + apart])))
+                    parts[own[i]] -= 1
+    members: dict[int, list[int]] = {}
+    for i in parent:
+        members.setdefault(root(i), []).append(int(ids[i]))
+    edges = []
+    for top, others in members.items():
+        found = sorted({int(ids[top]), *others})
+        edges += [(found[0], x) for x in found[1:]]
     return edges
 
 
@@ -272,9 +287,9 @@ def candidate_edges(sets: DataFrame, recall: float = TARGET_RECALL) -> DataFrame
 
 
 def _bucket_edges(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Brute force in small buckets as they are; buckets beyond BLOCK sets are dealt to pairs of blocks."""
+    """Brute force in buckets as they are; buckets beyond SKETCH_BLOCK sets are dealt to pairs of blocks."""
     spark = buckets.sparkSession
-    parts = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int")
+    parts = F.ceil(F.col("n") / SKETCH_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     dealt = buckets.select("rep", "node", parts.alias("parts"), own.alias("own"))
     # A row meets every other block of its bucket once: block pairs (own, k).
