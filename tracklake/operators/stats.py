@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.functions.geo import angle_diff_deg, haversine_km, is_finite
-from tracklake.plans.tracks import carried_forward, running, track_window, with_order
+from tracklake.plans.tracks import carried_forward, running, track_window, with_order, with_previous
 
 _METRICS = "points bigint, distance_km double, straight_km double, tortuosity double, turn_index_deg double, avg_sog double, max_sog double"
 #: Straight distances below this (km) count as this in the tortuosity.
@@ -43,10 +43,15 @@ def compute_stats(df: DataFrame, level: str = "mmsi", mode: str = "lazy") -> Dat
     has_cog = "COG" in df.columns
     points = df.select(*used).withColumns({c: _double(df, c) for c in ("LAT", "LON", "SOG", "COG")})
     w = track_window(key, order)
-    segment = haversine_km(F.lag("LAT").over(w), F.lag("LON").over(w), F.col("LAT"), F.col("LON"))
+    here = F.struct("LAT", "LON", "COG")
+    if key is None and mode == "lazy" and "ts" in order:
+        points = with_previous(points, order, here)
+    else:
+        points = points.withColumn("previous", F.lag(here).over(w))
+    segment = haversine_km(F.col("previous.LAT"), F.col("previous.LON"), F.col("LAT"), F.col("LON"))
     points = points.withColumn("segment_km", F.coalesce(segment, F.lit(0.0)))
     if mode == "lazy":
-        points = points.withColumn("turn", F.coalesce(angle_diff_deg(F.col("COG"), F.lag("COG").over(w)), F.lit(0.0)))
+        points = points.withColumn("turn", F.coalesce(angle_diff_deg(F.col("COG"), F.col("previous.COG")), F.lit(0.0)))
     else:
         # An unknown course at the start, or a NaN, leaves every later angle undefined, and undefined angles add nothing.
         points = points.withColumn("course", carried_forward(F.col("COG"), w))
