@@ -7,9 +7,9 @@ Gapped and inserted-character spellings therefore stay close to the plain one.
 Training, on a bounded sample of labelled documents:
 
 1. Executors count in how many toxic and clean documents each word occurs.
-2. From these counts the driver picks landmarks: character strings that occur
-   in many toxic documents and hardly in clean ones, greedily, each time
-   leaving out the words that the last one explains.
+2. From these counts executors find character strings that occur in many toxic
+   documents and hardly in clean ones; of these the driver picks landmarks,
+   greedily, each time leaving out the words that the last one explains.
 3. A sentence's representation holds, for each landmark, the largest
    normalised kernel value over windows of its words (1 if a word contains the
    landmark), mapped by the inverse root of the landmarks' own kernel matrix
@@ -243,51 +243,92 @@ def _strings(word: str) -> set[str]:
     return {word[i : i + k] for k in range(low, high + 1) for i in range(len(word) - k + 1)}
 
 
-def pick_landmarks(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int = LANDMARKS) -> list[str]:
-    """Character strings whose words occur in many toxic and few clean documents.
+def _finder(strings: Iterable[str]) -> ahocorasick.Automaton:
+    finder = ahocorasick.Automaton()
+    for g in strings:
+        finder.add_word(g, g)
+    finder.make_automaton()
+    return finder
+
 
-    ``counts`` holds (word, toxic documents, clean documents). A string's gain
-    is the number of toxic documents of its words beyond what four times their
-    share of clean documents would explain; longer strings are preferred to
-    their own parts of nearly the same gain.
+def candidates(counted: DataFrame, penalty: float, least: float) -> tuple[dict[str, float], list[tuple[str, float]]]:
+    """Strings with a gain of ``least`` or more from toxic words, each with its gain from all words, and the toxic words that hold any.
+
+    ``counted`` has word, bad, good: documents of the sample. A word's value is
+    the number of its toxic documents beyond what ``penalty`` times its clean
+    ones explain; a string's gain is the sum over words with it. Executors sum;
+    the driver gets strings that many toxic documents share.
     """
-    penalty = 4 * toxic / max(clean, 1)
-    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
-    value = [bad - penalty * good for _, bad, good in counts]
-    gain: Counter[str] = Counter()
-    for (word, *_), v in zip(counts, value, strict=True):
-        if v > 0:
-            for g in _strings(word):
-                gain[g] += v
-    # Clean words only lower gains, so what is under the least now is never chosen.
-    gain = Counter({g: v for g, v in gain.items() if v >= least})
+    value = F.col("bad") - F.lit(penalty) * F.col("good")
+    valued = counted.select("word", value.alias("value"))
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain: Counter[str] = Counter()
+        for batch in batches:
+            for word, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for g in _strings(word):
+                    gain[g] += v
+            if len(gain) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(gain.keys()), pa.array(gain.values(), pa.float64())], ["string", "gain"])
+                gain.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(gain.keys(), pa.string()), pa.array(gain.values(), pa.float64())], ["string", "gain"])
+
+    summed = valued.where("value > 0").mapInArrow(gains, "string string, gain double").groupBy("string").agg(F.sum("gain").alias("gain"))
+    found = {r.string: r.gain for r in summed.where(F.col("gain") >= least).collect()}
+    if not found:
+        return {}, []
+    strings = list(found)
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, loss = _finder(strings), Counter()
+        for batch in batches:
+            words, values = [], []
+            for word, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = {g for _, g in finder.iter(word)}
+                if held and v > 0:
+                    words.append(word)
+                    values.append(v)
+                elif held:
+                    loss.update(dict.fromkeys(held, v))
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(words), pa.bool_()), pa.array(words, pa.string()), pa.array(values, pa.float64())], ["held", "text", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([False] * len(loss), pa.bool_()), pa.array(loss.keys(), pa.string()), pa.array(loss.values(), pa.float64())], ["held", "text", "value"])
+
+    both = valued.mapInArrow(holders, "held boolean, text string, value double").groupBy("held", "text").agg(F.sum("value").alias("value"))
+    words = []
+    for r in both.collect():
+        if r.held:
+            words.append((r.text, r.value))
+        else:
+            found[r.text] += r.value
+    return found, sorted(words)
+
+
+def pick_landmarks(gain: dict[str, float], words: list[tuple[str, float]], least: float, most: int = LANDMARKS) -> list[str]:
+    """Greedily the string of the largest gain, each time leaving out the words that the last one explains.
+
+    Longer strings are preferred to their own parts of nearly the same gain.
+    """
+    gain = {g: v for g, v in gain.items() if v >= least}
     if not gain:
         return []
-    finder = ahocorasick.Automaton()
-    for g in gain:
-        finder.add_word(g, g)
-    finder.make_automaton()
+    finder = _finder(gain)
+    parts = [{g for _, g in finder.iter(word)} for word, _ in words]
     holders: dict[str, list[int]] = defaultdict(list)
-    for n, (word, *_) in enumerate(counts):
-        for g in {g for _, g in finder.iter(word)}:
-            if value[n] > 0:
-                holders[g].append(n)
-            else:
-                gain[g] += value[n]
+    for n, held in enumerate(parts):
+        for g in held:
+            holders[g].append(n)
     chosen: list[str] = []
     taken: set[int] = set()
     while gain and len(chosen) < most:
         best = max(gain, key=lambda g: (round(gain[g] * (1 - 0.5 ** (len(g) - 2)), 6), len(g), g))
-        if gain[best] < least:
-            break
         chosen.append(best)
         for n in holders[best]:
             if n not in taken:
                 taken.add(n)
-                for g in {g for _, g in finder.iter(counts[n][0])}:
+                for g in parts[n]:
                     if g in gain:
-                        gain[g] -= value[n]
-        gain = Counter({g: v for g, v in gain.items() if v >= least})
+                        gain[g] -= words[n][1]
+        gain = {g: v for g, v in gain.items() if v >= least}
     return chosen
 
 
@@ -408,9 +449,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMPL
     bad = (F.col("toxic_label") > 0).cast("int")
     counted = sample.select(bad.alias("bad"), words).where(F.length("word").between(LANDMARK_CHARS[0], WORD_CHARS))
     counted = counted.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
-    # Words of clean documents only matter where they share strings with toxic ones; the sample bounds their number.
-    rows = [tuple(r) for r in counted.toPandas().itertuples(index=False, name=None)]
-    chosen = pick_landmarks(rows, toxic, clean)
+    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
+    gain, held = candidates(common.materialize(counted, "word-counts"), 4 * toxic / clean, least)
+    chosen = pick_landmarks(gain, held, least)
     if not chosen:
         return Model([], np.zeros(0), 0.0, 1e-3, float(np.log(toxic / clean)))
     # Executors turn the sample into kernel values of sentences; sentences without any are only counted.
