@@ -16,8 +16,9 @@ Training, on a bounded sample of labelled documents:
    (Nyström). Sentences of
    toxic documents in which some landmark fires are positive, all sentences of
    clean documents negative; a linear SVM is fitted to them.
-4. The largest margin of a document's sentences is mapped to a probability by
-   a logistic fit on the sample's documents.
+4. The largest margin of a document's sentences is mapped to a score by a
+   logistic curve with the slope of a fit on the sample's documents, placed so
+   that the threshold falls on the margin that parts them best.
 
 Scoring is one pass without a shuffle. A word's kernel values are computed once
 in each task. A word counts only for landmarks with which it has most characters
@@ -51,7 +52,7 @@ from tracklake.llm import common
 #: Characters of a subsequence, and the decay for each character it spans.
 ORDER, DECAY = 3, 0.8
 #: Kernel values below this count as none.
-LEAST_VALUE = 0.6
+LEAST_VALUE = 0.7
 #: A window may be longer than the landmark by so many characters.
 MOST_INSERTED = 2
 #: A word must have this share of the landmark's characters in their order.
@@ -364,6 +365,20 @@ def fit_logistic(m: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def best_border(m: np.ndarray, y: np.ndarray) -> float:
+    """The margin that separates labels 0 and 1 with the fewest errors; the middle of the widest such gap."""
+    order = np.argsort(m, kind="stable")
+    m, y = m[order], y[order] > 0
+    below = np.concatenate([[0], np.cumsum(y)])  # toxic ones under the border
+    above = (~y).sum() - np.concatenate([[0], np.cumsum(~y)])  # clean ones over it
+    errors = (below + above).astype(float)
+    edges = np.concatenate([[m[0] - 1], m, [m[-1] + 1]])
+    gaps = np.diff(edges)
+    errors[gaps <= 0] = np.inf
+    at = np.lexsort((-gaps, errors))[0]
+    return float((edges[at] + edges[at + 1]) / 2)
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -492,7 +507,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMPL
     weights = nystroem @ w
     margins = np.full(len(table), bias)
     np.maximum.at(margins, np.array(doc, int), (x[:-1] @ weights + bias) if len(doc) else np.zeros(0))
-    slope, shift = fit_logistic(margins, (table.label.to_numpy() > 0).astype(float))
+    slope, _ = fit_logistic(margins, y_docs := (table.label.to_numpy() > 0).astype(float))
+    shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * best_border(margins, y_docs))
     return Model(chosen, weights, bias, slope, shift)
 
 
