@@ -65,5 +65,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_license": license_scan.oracle(),
         "op6_exact_dedup": exact_dedup.ORACLE,
+        "op8_jaccard_join": jaccard_join.ORACLE,
         "op9_url_filter": url_filter.oracle(),
     }

@@ -504,3 +504,28 @@ def _exact(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> tuple[DataFra
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     final = connected_components(found.where("other is not null"), "rep", "other")
     return common.materialize(links, "link-counts"), final
+
+
+#: Every pair of texts with a common shingle, and components by recursion: for small tables.
+ORACLE = r"""
+    with recursive
+    d as (select doc_id, coalesce(text, '') as text from documents),
+    t as (select text, min(doc_id) as rep from d group by text),
+    w as (select rep, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from t),
+    s as (
+      select distinct rep, unnest(case
+        when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g
+      from w),
+    n as (select rep, count(*) as n from s group by rep),
+    p as (select a.rep as a, b.rep as b, count(*) as c from s a join s b on a.g = b.g and a.rep < b.rep group by all),
+    l as (
+      select a, b from p join n x on x.rep = a join n y on y.rep = b
+      where c >= 0.8 * (x.n + y.n - c) - 1e-9),
+    e as (select a, b from l union all select b, a from l),
+    r(node, label) as (select rep, rep from t union select e.b, r.label from r join e on e.a = r.node),
+    c as (select node, min(label) as class_id from r group by node),
+    k as (select a as node, count(*) as n_links from e group by a)
+    select doc_id, class_id, count(*) over (partition by class_id) as class_size, coalesce(n_links, 0) as n_links,
+           doc_id = class_id as is_first
+    from d join t using (text) join c on c.node = t.rep left join k on k.node = t.rep"""
