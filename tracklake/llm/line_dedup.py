@@ -1,9 +1,10 @@
 """Fuzzy line deduplication with DataFrame operations only.
 
 Lines are normalised (case, punctuation, white space) and hashed. The SimHash
-of a line has one bit for each of 64 majority votes of its words' hashes; three
-votes are counted in one 64-bit sum, so a line's words cost 22 sums, formed on
-the map side. Distinct lines whose SimHashes differ in at most three bits agree
+of a line has one bit for each of 64 majority votes of its distinct words'
+hashes (each once, or common words alone would decide long lines); three votes
+are counted in one 64-bit sum, so a line's words cost 22 sums, formed on the map
+side. Distinct lines whose SimHashes differ in at most three bits agree
 on all but three of ``b`` blocks (pigeonhole), so an equi-join on every choice
 of ``b - 3`` blocks finds all of them; ``b`` grows with the number of lines,
 which keeps buckets small. Found pairs are verified by edit similarity, and of
@@ -33,6 +34,8 @@ MOST_BITS = 3
 SIMILARITY = 0.8
 #: Lines that agree on a choice of blocks by chance, on average, at most.
 BUCKET = 32
+#: A line of more distinct words than this is one word: it has only exact copies.
+MOST_WORDS = 2**20 - 1
 _LAST = 2**63 - 1
 
 
@@ -55,19 +58,21 @@ def _order(doc_id: str = "doc_id", pos: str = "pos") -> Column:
 
 def _simhashes(lines: DataFrame) -> DataFrame:
     """doc_id, pos, k1, k2, sim of every line with a word."""
-    words = lines.where(F.length("norm") > 0).select("doc_id", "pos", "k1", "k2", F.explode(F.split("norm", " ")).alias("word"))
+    words = F.array_distinct(F.split("norm", " "))
+    words = F.when(F.size(words) < MOST_WORDS, words).otherwise(F.array("norm"))
+    words = lines.where(F.length("norm") > 0).select("doc_id", "pos", "k1", "k2", F.explode(words).alias("word"))
     words = words.withColumn("h", F.xxhash64("word"))
-    three, bit = F.lit(1 | 1 << 21 | 1 << 42), F.lit(1)
-    votes = [F.try_sum(F.shiftrightunsigned("h", i).bitwiseAND(three)).alias(f"v{i}") for i in range(21)]
-    votes.append(F.try_sum(F.shiftrightunsigned("h", 63).bitwiseAND(bit)).alias("v21"))
+    # Bits i, i + 21 and i + 42 of the hashes are counted in three fields of one sum.
+    three = 1 | 1 << 21 | 1 << 42
+    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(three))).alias(f"v{i}") for i in range(21)]
+    votes.append(F.sum(F.shiftrightunsigned("h", 63)).alias("v21"))
     sums = words.groupBy("doc_id", "pos", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), *votes)
-    field = F.lit((1 << 21) - 1)
-    sim = F.lit(0).cast("bigint")
-    for i in range(64):
-        vote, shift = (F.col("v21"), 0) if i == 63 else (F.col(f"v{i % 21}"), 21 * (i // 21))
-        count = F.shiftrightunsigned(vote, shift).bitwiseAND(field)
-        one = F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")
-        sim = sim.bitwiseOR(F.when(count * 2 > F.col("n"), one).otherwise(F.lit(0).cast("bigint")))
+    # A field with 2 * votes + (2**20 - 1 - n) has its bit 20 set if more than half of the words voted.
+    half = (F.lit(2**20 - 1) - F.col("n")) * F.lit(three)
+    sim = F.when(F.col("v21") * 2 > F.col("n"), F.lit(-(2**63))).otherwise(F.lit(0)).cast("bigint")
+    for i in range(21):
+        won = F.shiftrightunsigned(F.col(f"v{i}") * 2 + half, 20).bitwiseAND(F.lit(three))
+        sim = sim.bitwiseOR(F.shiftleft(won, i))
     return sums.select("doc_id", "pos", "k1", "k2", sim.alias("sim"))
 
 
@@ -101,12 +106,17 @@ def _near_pairs(distinct: DataFrame) -> DataFrame:
     return a.join(b.hint("merge"), (a.key == b.key) & smaller & close).select("a1", "a2", "b1", "b2").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose edit distance is small; only the texts of lines in pairs are moved."""
-    ends = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2"))
-    ids = common.materialize(ends.distinct(), "near-lines")
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs whose edit distance is small; only documents with the first copy of such a line are split again."""
+    ends = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
+    first = F.floor(F.col("first") / F.lit(2**32).cast("decimal(11,0)")).cast("bigint")
+    ids = common.materialize(ends.join(distinct.hint("merge"), ["k1", "k2"]).select("k1", "k2", first.alias("doc_id")), "near-lines")
+    holders = common.materialize(ids.where(F.col("doc_id") != _LAST).select("doc_id").distinct(), "near-docs")
+    held = docs.select("doc_id", "text")
+    held = common.only_ids(held, holders, "doc_id").union(held.where(F.col("doc_id").isNull()))
     small = ids.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
-    texts = _lines(docs).select("k1", "k2", "norm").join(F.broadcast(ids) if small else ids.hint("merge"), ["k1", "k2"], "left_semi")
+    keys = ids.select("k1", "k2")
+    texts = _lines(held).select("k1", "k2", "norm").join(F.broadcast(keys) if small else keys.hint("merge"), ["k1", "k2"], "left_semi")
     texts = common.materialize(texts.dropDuplicates(["k1", "k2"]), "near-texts")
     a = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("norm").alias("a"))
     b = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("norm").alias("b"))
@@ -115,8 +125,34 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     allowed = F.floor(longer * F.lit(1 - SIMILARITY) + 1e-9).cast("int")
     fits = F.abs(F.length("a") - F.length("b")) <= allowed
     near = both.where(fits).withColumn("allowed", allowed)
-    # The bounded distance is -1 beyond its bound, and costs the bound times the length.
-    return near.where(F.expr("levenshtein(a, b, allowed) >= 0")).select("a1", "a2", "b1", "b2")
+    # The bounded distance is -1 beyond its bound, and costs the bound times the length. Most pairs need none: two upper
+    # bounds of the distance, over words, settle them.
+    steps = [f"levenshtein(a, b, least(allowed, {n})) >= 0" for n in (16, 64, 256, 4096)]
+    steps.append("allowed > 4096 and levenshtein(a, b, allowed) >= 0")
+    distance = F.expr(" or ".join(f"({step})" for step in steps))
+    within = (_replaced(F.col("a"), F.col("b")) <= F.col("allowed")) | (_between(F.col("a"), F.col("b")) <= F.col("allowed"))
+    return near.where(F.coalesce(within, F.lit(False)) | distance).select("a1", "a2", "b1", "b2")
+
+
+def _replaced(a: Column, b: Column) -> Column:
+    """For lines of as many words: the characters of words that differ place by place, an upper bound of the edit distance."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    costs = F.zip_with(x, y, lambda u, v: F.when(u == v, 0).otherwise(F.greatest(F.length(u), F.length(v))))
+    total = F.aggregate(costs, F.lit(0), lambda s, c: s + c)
+    return F.when(F.size(x) == F.size(y), total).otherwise(F.lit(2**31 - 1))
+
+
+def _between(a: Column, b: Column) -> Column:
+    """The characters between the words at the start and those at the end that both lines share: another upper bound."""
+
+    def shared(x: Column, y: Column) -> Column:
+        same = F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False)))
+        until = F.array_position(same, False)
+        return F.length(F.array_join(F.slice(x, F.lit(1), F.greatest(until - 1, F.lit(0)).cast("int")), " "))
+
+    x, y = F.split(a, " "), F.split(b, " ")
+    known = F.least(shared(x, y) + shared(F.reverse(x), F.reverse(y)), F.length(a), F.length(b))
+    return F.greatest(F.length(a), F.length(b)) - known
 
 
 def _name(k1: str, k2: str) -> Column:
@@ -130,7 +166,7 @@ def line_decisions(docs: DataFrame) -> DataFrame:
         lines.groupBy("k1", "k2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n"), F.max("sim").alias("sim")), "distinct-lines"
     )
     pairs = common.materialize(_near_pairs(distinct), "line-pairs")
-    links = _verified(pairs, docs).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b"))
+    links = _verified(pairs, distinct, docs).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b"))
     groups = connected_components(links)
     named = distinct.withColumn("node", _name("k1", "k2"))
     grouped = common.materialize(
