@@ -95,15 +95,51 @@ def block_keys(sim: Column, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def _near_pairs(distinct: DataFrame) -> DataFrame:
-    """a1, a2, b1, b2: pairs of distinct lines whose SimHashes differ in at most MOST_BITS bits."""
-    blocks = blocks_for(distinct.count())
+def _close(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_BITS
+
+
+def _leader_pairs(distinct: DataFrame, blocks: int) -> DataFrame:
+    """a1, a2, b1, b2: each line with the leader of each of its buckets, if their SimHashes are close.
+
+    A bucket's leader is its line of the smallest hash, so a bucket gives no
+    more pairs than it has lines.
+    """
     keyed = distinct.select("k1", "k2", "sim", F.explode(block_keys(F.col("sim"), blocks)).alias("key"))
-    a = keyed.select("key", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("sim").alias("a_sim"))
-    b = keyed.select("key", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("sim").alias("b_sim"))
+    leaders = keyed.groupBy("key").agg(
+        F.min("k1").alias("a1"), F.min_by("k2", "k1").alias("a2"), F.min_by("sim", "k1").alias("a_sim"), F.count(F.lit(1)).alias("n")
+    )
+    found = keyed.join(leaders.where("n > 1").hint("merge"), "key").where((F.col("k1") != F.col("a1")) & _close("sim", "a_sim"))
+    return found.select("a1", "a2", F.col("k1").alias("b1"), F.col("k2").alias("b2")).distinct()
+
+
+def _crossing_pairs(labelled: DataFrame, blocks: int) -> DataFrame:
+    """a1, a2, b1, b2: all pairs of lines of different groups whose SimHashes are close."""
+    keyed = labelled.select("k1", "k2", "sim", "grp", F.explode(block_keys(F.col("sim"), blocks)).alias("key"))
+    a = keyed.select("key", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("sim").alias("a_sim"), F.col("grp").alias("a_grp"))
+    b = keyed.select("key", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("sim").alias("b_sim"), F.col("grp").alias("b_grp"))
     smaller = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-    close = F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))) <= MOST_BITS
-    return a.join(b.hint("merge"), (a.key == b.key) & smaller & close).select("a1", "a2", "b1", "b2").distinct()
+    apart = F.col("a_grp") != F.col("b_grp")
+    return a.join(b.hint("merge"), (a.key == b.key) & apart & smaller & _close("a_sim", "b_sim")).select("a1", "a2", "b1", "b2").distinct()
+
+
+def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: verified links that connect every group of near lines.
+
+    First each line is compared with the leaders of its buckets, which connects
+    most of every large group with as many comparisons as lines. Then all pairs
+    that are still in different groups are compared, so that no connection is
+    lost; pairs within a group would connect nothing new.
+    """
+    blocks = blocks_for(distinct.count())
+    first = common.materialize(_leader_pairs(distinct, blocks), "leader-pairs")
+    near = common.materialize(_verified(first, distinct, docs).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "leader-links")
+    groups = connected_components(near).select("node", F.xxhash64("label").alias("grp"))
+    named = distinct.select("k1", "k2", "sim", _name("k1", "k2").alias("node"))
+    labelled = named.join(groups.hint("merge"), "node", "left").withColumn("grp", F.coalesce("grp", F.xxhash64("node")))
+    labelled = common.materialize(labelled.select("k1", "k2", "sim", "grp"), "labelled-lines")
+    rest = common.materialize(_crossing_pairs(labelled, blocks), "crossing-pairs")
+    return near.union(_verified(rest, distinct, docs).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")))
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
@@ -165,9 +201,7 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     distinct = common.materialize(
         lines.groupBy("k1", "k2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n"), F.max("sim").alias("sim")), "distinct-lines"
     )
-    pairs = common.materialize(_near_pairs(distinct), "line-pairs")
-    links = _verified(pairs, distinct, docs).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b"))
-    groups = connected_components(links)
+    groups = connected_components(_links(distinct, docs))
     named = distinct.withColumn("node", _name("k1", "k2"))
     grouped = common.materialize(
         named.join(groups.hint("merge"), "node", "left").select("k1", "k2", "first", "n", F.coalesce("label", "node").alias("label")), "line-groups"
