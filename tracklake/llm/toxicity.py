@@ -67,7 +67,9 @@ THRESHOLD = 0.3
 #: Characters of a word that are looked at together; longer words are cut into overlapping parts.
 WORD_CHARS = 40
 #: Distinct words remembered by a task.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
+#: Texts whose words a task holds at a time.
+ROWS_A_TIME = 500
 
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)|\n")
 _MARKED = re.compile(r"(?<!\S)\S*\w[^\w\s]+\w\S*")
@@ -476,9 +478,11 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMPL
         scorer = Scorer(first)
         for batch in batches:
             marks, values = [], []
-            for found in scorer.read(batch.column(1).to_pylist()):
-                marks.append([list(s) for s in found])
-                values.append([list(s.values()) for s in found])
+            texts = batch.column(1).to_pylist()
+            for at in range(0, len(texts), ROWS_A_TIME):
+                for found in scorer.read(texts[at : at + ROWS_A_TIME]):
+                    marks.append([list(s) for s in found])
+                    values.append([list(s.values()) for s in found])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch.column(0).to_pylist(), pa.int32()), pa.array(marks, pa.list_(pa.list_(pa.int32()))), pa.array(values, pa.list_(pa.list_(pa.float64())))],
                 ["label", "marks", "vals"],
@@ -525,8 +529,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, ROWS_A_TIME):
+                batch = whole.slice(at, ROWS_A_TIME)
                 scores = [model.probability(m) for m in scorer.margins(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
@@ -543,7 +547,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
         for batch in batches:
-            yield pd.Series([model.probability(m) for m in scorer.margins(batch.tolist())], dtype="float64")
+            texts = batch.tolist()
+            margins = [m for at in range(0, len(texts), ROWS_A_TIME) for m in scorer.margins(texts[at : at + ROWS_A_TIME])]
+            yield pd.Series([model.probability(m) for m in margins], dtype="float64")
 
     return docs.where(F.pandas_udf(rate, "double")(common.text_or_empty()) < threshold)
 
