@@ -54,7 +54,7 @@ SKETCH_SIMILARITY = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / C
 SKETCH_BLOCK, BLOCK = 4096, 256
 #: Shared shingles that are multiplied at a time.
 SLICE = 8192
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.RandomState(12345).randint(1, 2**62, COORDINATES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
