@@ -153,9 +153,11 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFra
     small = ids.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
     keys = ids.select("k1", "k2")
     texts = _lines(held).select("k1", "k2", "norm").join(F.broadcast(keys) if small else keys.hint("merge"), ["k1", "k2"], "left_semi")
-    texts = common.materialize(texts.dropDuplicates(["k1", "k2"]), "near-texts")
-    a = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("norm").alias("a"))
-    b = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("norm").alias("b"))
+    # Words are split once for each line, not for each pair.
+    texts = texts.dropDuplicates(["k1", "k2"]).withColumn("words", F.split("norm", " "))
+    texts = common.materialize(texts, "near-texts")
+    a = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("norm").alias("a"), F.col("words").alias("x"))
+    b = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("norm").alias("b"), F.col("words").alias("y"))
     both = pairs.join(a.hint("merge"), ["a1", "a2"]).join(b.hint("merge"), ["b1", "b2"])
     longer = F.greatest(F.length("a"), F.length("b"))
     allowed = F.floor(longer * F.lit(1 - SIMILARITY) + 1e-9).cast("int")
@@ -166,19 +168,18 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFra
     steps = [f"levenshtein(a, b, least(allowed, {n})) >= 0" for n in (16, 64, 256, 4096)]
     steps.append("allowed > 4096 and levenshtein(a, b, allowed) >= 0")
     distance = F.expr(" or ".join(f"({step})" for step in steps))
-    within = (_replaced(F.col("a"), F.col("b")) <= F.col("allowed")) | (_between(F.col("a"), F.col("b")) <= F.col("allowed"))
+    within = (_replaced(F.col("x"), F.col("y")) <= F.col("allowed")) | (_between(*map(F.col, "abxy")) <= F.col("allowed"))
     return near.where(F.coalesce(within, F.lit(False)) | distance).select("a1", "a2", "b1", "b2")
 
 
-def _replaced(a: Column, b: Column) -> Column:
+def _replaced(x: Column, y: Column) -> Column:
     """For lines of as many words: the characters of words that differ place by place, an upper bound of the edit distance."""
-    x, y = F.split(a, " "), F.split(b, " ")
     costs = F.zip_with(x, y, lambda u, v: F.when(u == v, 0).otherwise(F.greatest(F.length(u), F.length(v))))
     total = F.aggregate(costs, F.lit(0), lambda s, c: s + c)
     return F.when(F.size(x) == F.size(y), total).otherwise(F.lit(2**31 - 1))
 
 
-def _between(a: Column, b: Column) -> Column:
+def _between(a: Column, b: Column, x: Column, y: Column) -> Column:
     """The characters between the words at the start and those at the end that both lines share: another upper bound."""
 
     def shared(x: Column, y: Column) -> Column:
@@ -186,7 +187,6 @@ def _between(a: Column, b: Column) -> Column:
         until = F.array_position(same, False)
         return F.length(F.array_join(F.slice(x, F.lit(1), F.greatest(until - 1, F.lit(0)).cast("int")), " "))
 
-    x, y = F.split(a, " "), F.split(b, " ")
     known = F.least(shared(x, y) + shared(F.reverse(x), F.reverse(y)), F.length(a), F.length(b))
     return F.greatest(F.length(a), F.length(b)) - known
 
