@@ -59,6 +59,17 @@ def test_recall_over_many_lists(spark):
         assert all(d == pytest.approx(float(np.linalg.norm(x[q].astype(float) - x[i].astype(float))), rel=1e-12) for _, i, d in v)
 
 
+def test_recall_does_not_fall_with_more_lists(spark, monkeypatch):
+    # Vectors without clusters, in many short lists: a fixed number of lists holds ever fewer of the neighbours.
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8000, 32)).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    got, want = found_nearest(ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))), brute_nearest(rows)
+    pairs = lambda d: {(q, i) for q, v in d.items() for _, i, _ in v}
+    assert ann.recall(pairs(got), pairs(want)) >= 0.98
+
+
 def test_graph_search_finds_nearest_centroids():
     rng = np.random.default_rng(3)
     graph = ann.CentroidGraph.build(rng.normal(size=(1500, 8)))

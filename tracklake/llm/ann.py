@@ -2,10 +2,12 @@
 
 Centroids are fitted on a bounded sample. Every vector is put into the list of
 its nearest centroid and, near a border, into those of further centroids within
-a distance ratio. A query reads the lists of all centroids within a wider ratio
-of its nearest one. Both look up centroids in a neighbour graph that each task
-holds in memory. Long lists are cut into blocks, so no task holds more than a
-block however many vectors crowd around one centroid.
+a distance ratio, looked up in a neighbour graph that each task holds in memory.
+A query reads the lists of its nearest centroids, found among all of them. How
+many is not fixed: a sample of queries is answered by brute force, and all
+queries read as many lists as those need for the target recall. Long lists are
+cut into blocks, so no task holds more than a block however many vectors crowd
+around one centroid.
 
 Equal vectors are one entry that carries the few smallest ids which can appear
 in any result. Candidates of a query are compared exactly, in double precision.
@@ -19,9 +21,9 @@ repeated ids are answered once; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,14 @@ SAMPLE_VECTORS = 20_000
 BLOCK_ROWS = 4096
 #: Links of each centroid in the graph, and centroids that a search keeps.
 LINKS, BEAM = 24, 64
-#: A vector also joins lists whose centroid is at most this much farther than its nearest; a query reads them up to the second.
-REPLICA_RATIO, QUERY_RATIO = 1.08, 1.35
+#: A vector also joins lists whose centroid is at most this much farther than its nearest.
+REPLICA_RATIO = 1.08
 #: Lists of one vector at most; one is enough for it to be found, so none is lost.
 MOST_REPLICAS = 4
+#: Lists that a query reads at least, if there are so many.
+LEAST_PROBES = 64
+#: Queries answered by brute force to set the number of lists, and the share of their neighbours that those must hold.
+CALIBRATION, CALIBRATED_RECALL = 256, 0.995
 
 
 def usable(v: Column) -> Column:
@@ -143,16 +149,22 @@ class CentroidGraph:
         return beam, np.sqrt(dist)
 
 
-def lists_of(graph: CentroidGraph, x: np.ndarray, ratio: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) for the nearest centroid of each row and those within ``ratio`` of its distance."""
+def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) for the nearest centroid of each row and the next ones within REPLICA_RATIO of its distance."""
     found, dist = graph.search(x)
-    keep = dist <= ratio * dist[:, :1] + 1e-12
-    if most is not None:
-        keep &= np.cumsum(keep, axis=1) <= most
+    keep = dist <= REPLICA_RATIO * dist[:, :1] + 1e-12
+    keep &= np.cumsum(keep, axis=1) <= MOST_REPLICAS
     rows, at = np.nonzero(keep)
     return rows, found[rows, at]
 
 
+def probes_of(graph: CentroidGraph, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) for the ``probes`` nearest of all centroids of each row."""
+    probes = min(probes, len(graph.centroids))
+    near = np.argpartition(_distances(x, graph.centroids), probes - 1, axis=1)[:, :probes]
+    return np.repeat(np.arange(len(x)), probes), near.ravel()
+
+
 # -- the index
 
 
@@ -164,19 +176,67 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _place(rows: DataFrame, graph: CentroidGraph, ratio: float, most: int | None, id_name: str) -> DataFrame:
-    """list, id of every list that each row belongs to."""
+def _place(rows: DataFrame, lists_for: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], id_name: str) -> DataFrame:
+    """list, id of every list that ``lists_for`` names for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                r, lists = lists_of(graph, _matrix(batch.column(1)), ratio, most)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                r, lists = lists_for(_matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), batch.column(0).take(pa.array(r))], ["list", id_name])
 
     return rows.select(id_name, "vec").mapInArrow(run, f"list bigint, {id_name} bigint")
 
 
+def _true_neighbours(entries: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
+    """query, vec: the ``k`` nearest entries of each of a few vectors other than its own, compared with all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep, score = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                own = batch.column(0).to_numpy()
+                d = _distances(x, _matrix(batch.column(1)))
+                d[ids[:, None] == own] = np.inf
+                score, rep = np.hstack([score, d]), np.hstack([rep, np.broadcast_to(own, d.shape)])
+                best = np.argsort(score, axis=1, kind="stable")[:, :k]
+                score, rep = np.take_along_axis(score, best, 1), np.take_along_axis(rep, best, 1)
+        query = np.broadcast_to(ids[:, None], score.shape)
+        real = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(c[real]) for c in (query, rep, score)], ["query", "rep", "score"])
+
+    found = entries.select("rep", "vec").mapInArrow(run, "query bigint, rep bigint, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("score", "rep"))
+    best = common.materialize(found.withColumn("place", place).where(F.col("place") <= k).select("query", "rep"), "true-neighbours")
+    return entries.select("rep", "vec").join(F.broadcast(best), "rep").select("query", "vec")  # k rows for each of a few vectors
+
+
+def probes_for(entries: DataFrame, wanted: DataFrame, graph: CentroidGraph, k: int) -> int:
+    """How many nearest lists hold CALIBRATED_RECALL of the true neighbours of a sample of the queries."""
+    n = len(graph.centroids)
+    if n <= LEAST_PROBES:
+        return n
+    sample = wanted.select("rep", "vec").orderBy(F.xxhash64(F.lit("calibration"), "rep"), "rep").limit(CALIBRATION).toArrow()
+    if not sample.num_rows:
+        return LEAST_PROBES
+    ids, x = sample.column(0).to_numpy(), _matrix(sample.column(1))
+    true = _true_neighbours(entries, ids, x, k).toArrow()
+    if not true.num_rows:
+        return LEAST_PROBES
+    rows, lists = lists_of(graph, _matrix(true.column(1)))
+    row_of = {int(q): i for i, q in enumerate(ids)}
+    query = np.array([row_of[q] for q in true.column(0).to_pylist()])
+    order = _distances(x, graph.centroids).argsort(1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(n)[None], 1)
+    first = np.full(true.num_rows, n)  # the place of the nearest list that holds each neighbour
+    np.minimum.at(first, rows, place[query[rows], lists])
+    needed = np.sort(first)[math.ceil(CALIBRATED_RECALL * len(first)) - 1] + 1
+    return int(max(LEAST_PROBES, needed))
+
+
 def _compare(rows: DataFrame, keep: int) -> DataFrame:
     """query, rep, score: the nearest entries of each query within each block (list, block, is_query, id, vec)."""
 
@@ -261,8 +321,9 @@ def _search_one_length(rows: DataFrame, queries: Column, k: int) -> DataFrame:
     wanted = common.materialize(
         entries.select("rep", "vec").join(asked.select("rep").distinct().hint("merge"), "rep"), "query-vectors"
     )
-    postings = common.materialize(_place(entries, graph, REPLICA_RATIO, MOST_REPLICAS, "rep"), "postings")
-    probes = common.materialize(_place(wanted, graph, QUERY_RATIO, None, "rep"), "probes")
+    probed = partial(probes_of, graph, probes=probes_for(entries, wanted, graph, k))
+    postings = common.materialize(_place(entries, partial(lists_of, graph), "rep"), "postings")
+    probes = common.materialize(_place(wanted, probed, "rep"), "probes")
     blocks = common.materialize(
         postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "list-sizes"
     )  # at most MOST_CENTROIDS rows
