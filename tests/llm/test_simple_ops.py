@@ -275,6 +275,29 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_lines_near_by_edits_alone(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 7)))
+    lines, pairs = [], []
+    for words, changes in [(4, 0), (6, 1), (10, 1), (15, 2), (20, 2), (40, 1), (40, 4), (60, 6)]:
+        for _ in range(10):
+            base = [word() for _ in range(words)]
+            own = list(base)
+            for at in rng.sample(range(words), changes):
+                own[at] = word()
+            if not changes:
+                own[1] = own[1][:-1]  # a character less
+            pairs.append((len(lines), len(lines) + 1))
+            lines += [" ".join(base), " ".join(own)]
+    rows = list(enumerate(lines)) + [(1000, "nitwit"), (1001, "nitwits"), (1002, "Nit-wit"), (1003, None)]
+    _, edit = brute_lines([])
+    near = {b for a, b in pairs if edit(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b]))}
+    decided = line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id bigint, text string"), by_edits=True)
+    gone = {r.doc_id for r in decided.collect() if not r.kept}
+    assert len(near) > 60 and gone <= near | {1001, 1002}
+    assert len(gone & near) >= 0.97 * len(near) and 1001 in gone
+
+
 def test_block_keys_find_all_close_hashes(spark):
     rng = random.Random(5)
     rows = []

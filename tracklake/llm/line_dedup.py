@@ -11,8 +11,12 @@ which keeps buckets small. Found pairs are verified by edit similarity, and of
 each connected group of lines the first occurrence (smallest doc_id, then
 position) stays.
 
-Two lines are near if their SimHashes differ in at most 3 bits and their edit
-distance is at most a fifth of the longer one's length.
+Two lines are near if their edit distance is at most a fifth of the longer one's
+length (``by_edits``, as the query has it); without ``by_edits`` their SimHashes
+must also differ in at most 3 bits. One changed word flips more bits than that
+in most lines, so ``by_edits`` looks for candidates by further keys: the 8
+smallest hashes of a line's word triples, with its length class, lines of few
+words less each word, and short lines less each character.
 
 Defined results: a null or empty text is one empty line; lines without a letter
 or digit always stay and take no part; rows that repeat a doc_id share its
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm import common
@@ -32,6 +36,10 @@ from tracklake.llm.components import connected_components
 
 MOST_BITS = 3
 SIMILARITY = 0.8
+#: Word triples that a line is looked up by, and bits in which the SimHashes of lines with a common one differ at most.
+TRIPLES, TRIPLE_BITS = 8, 22
+#: Lines of at most so many words or characters are also looked up by what is left without one of them.
+FEW_WORDS, FEW_CHARACTERS = 12, 24
 #: Lines that agree on a choice of blocks by chance, on average, at most.
 BUCKET = 32
 #: A line of more distinct words than this is one word: it has only exact copies.
@@ -95,6 +103,60 @@ def block_keys(sim: Column, blocks: int) -> Column:
     return F.array(*keys)
 
 
+def _edit_keys(docs: DataFrame) -> DataFrame:
+    """k1, k2, length, keys of every distinct line with a word; lines of few edits share a key."""
+    lines = _lines(docs).where(F.length("norm") > 0).withColumn("words", F.split("norm", " ")).withColumns({"length": F.length("norm"), "size": F.size("words")})
+    none = F.array().cast("array<bigint>")
+    triple = lambda i: F.xxhash64(F.lit("triple"), F.col("words")[i - 1], F.col("words")[i], F.col("words")[i + 1])
+    triples = F.slice(F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("size") - 2), triple))), 1, TRIPLES)
+    # Lengths within SIMILARITY of each other are in the same class or in adjacent ones.
+    kind = F.floor(F.log(F.col("length").cast("double")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9)
+    classed = F.flatten(F.transform("triples", lambda t: F.array(F.xxhash64(t, "kind"), F.xxhash64(t, F.col("kind") + 1))))
+    fewer = lambda i: F.xxhash64(F.lit("words"), F.array_join(F.filter("words", lambda _, j: j != i - 1), " "))
+    words = F.array_append(F.transform(F.sequence(F.lit(1), F.col("size")), fewer), F.xxhash64(F.lit("words"), "norm"))
+    shorter = lambda i: F.xxhash64(F.lit("characters"), F.concat(F.substr("norm", F.lit(1), i - 1), F.substr("norm", i + 1)))
+    characters = F.array_append(F.transform(F.sequence(F.lit(1), F.col("length")), shorter), F.xxhash64(F.lit("characters"), "norm"))
+    lines = lines.withColumns({
+        "triples": F.when(F.col("size") >= 3, triples).otherwise(none),
+        "kind": kind,
+        "left": F.array_distinct(F.concat(
+            F.when(F.col("size").between(2, FEW_WORDS), words).otherwise(none), F.when(F.col("length") <= FEW_CHARACTERS, characters).otherwise(none)
+        )),
+    })
+    # The last bit of a key tells whether SimHashes count.
+    keys = F.concat(F.transform(classed, lambda k: k.bitwiseOR(F.lit(1))), F.transform("left", lambda k: k.bitwiseAND(F.lit(-2))))
+    return lines.select("k1", "k2", "length", keys.alias("keys")).dropDuplicates(["k1", "k2"])
+
+
+def _shared_keys(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, k1, k2, sim, length of the lines of every key that at least two have."""
+    keyed = _edit_keys(docs).select("k1", "length", F.explode("keys").alias("key"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = common.materialize(keyed.withColumn("n", n).where("n > 1").drop("n"), "shared-keys")
+    # Lines that have k1 in common give more candidates, no wrong ones.
+    return common.materialize(shared.join(distinct.select("k1", "k2", "sim").hint("merge"), "k1"), "keyed-lines")
+
+
+def _edit_pairs(keyed: DataFrame, grouped: bool) -> DataFrame:
+    """a1, a2, b1, b2: lines with a common key that may be near: with bucket leaders, or, if ``grouped``, all of different groups."""
+    side = keyed.select("key", *(F.col(c).alias(f"a_{c}") for c in keyed.columns if c != "key"))
+    if grouped:
+        rule = (F.col("grp") != F.col("a_grp")) & (F.struct("a_k1", "a_k2") < F.struct("k1", "k2"))
+    else:
+        leader = F.min(F.struct("a_k1", "a_k2", "a_sim", "a_length")).alias("a")
+        side = side.groupBy("key").agg(leader).select("key", "a.*")
+        rule = (F.col("k1") != F.col("a_k1")) | (F.col("k2") != F.col("a_k2"))
+    rule &= F.abs(F.col("length") - F.col("a_length")) <= _allowed(F.greatest("length", "a_length"))
+    bits = F.bit_count(F.col("sim").bitwiseXOR(F.col("a_sim")))
+    rule &= (F.col("key").bitwiseAND(F.lit(1)) == 0) | (bits <= TRIPLE_BITS)
+    found = keyed.join(side.hint("merge"), "key").where(rule)
+    return found.select(F.col("a_k1").alias("a1"), F.col("a_k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2")).distinct()
+
+
+def _allowed(longer: Column) -> Column:
+    return F.floor(longer * F.lit(1 - SIMILARITY) + 1e-9).cast("int")
+
+
 def _close(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_BITS
 
@@ -123,7 +185,7 @@ def _crossing_pairs(labelled: DataFrame, blocks: int) -> DataFrame:
     return a.join(b.hint("merge"), (a.key == b.key) & apart & smaller & _close("a_sim", "b_sim")).select("a1", "a2", "b1", "b2").distinct()
 
 
-def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(distinct: DataFrame, docs: DataFrame, by_edits: bool) -> DataFrame:
     """a, b: verified links that connect every group of near lines.
 
     First each line is compared with the leaders of its buckets, which connects
@@ -132,13 +194,17 @@ def _links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     lost; pairs within a group would connect nothing new.
     """
     blocks = blocks_for(distinct.count())
-    first = common.materialize(_leader_pairs(distinct, blocks), "leader-pairs")
+    if by_edits:
+        keyed = _shared_keys(distinct, docs)
+    first = common.materialize(_edit_pairs(keyed, False) if by_edits else _leader_pairs(distinct, blocks), "leader-pairs")
     near = common.materialize(_verified(first, distinct, docs).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "leader-links")
     groups = connected_components(near).select("node", F.xxhash64("label").alias("grp"))
     named = distinct.select("k1", "k2", "sim", _name("k1", "k2").alias("node"))
     labelled = named.join(groups.hint("merge"), "node", "left").withColumn("grp", F.coalesce("grp", F.xxhash64("node")))
     labelled = common.materialize(labelled.select("k1", "k2", "sim", "grp"), "labelled-lines")
-    rest = common.materialize(_crossing_pairs(labelled, blocks), "crossing-pairs")
+    if by_edits:
+        keyed = keyed.join(labelled.select("k1", "k2", "grp").hint("merge"), ["k1", "k2"])
+    rest = common.materialize(_edit_pairs(keyed, True) if by_edits else _crossing_pairs(labelled, blocks), "crossing-pairs")
     return near.union(_verified(rest, distinct, docs).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")))
 
 
@@ -160,7 +226,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFra
     b = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("norm").alias("b"), F.col("words").alias("y"))
     both = pairs.join(a.hint("merge"), ["a1", "a2"]).join(b.hint("merge"), ["b1", "b2"])
     longer = F.greatest(F.length("a"), F.length("b"))
-    allowed = F.floor(longer * F.lit(1 - SIMILARITY) + 1e-9).cast("int")
+    allowed = _allowed(longer)
     fits = F.abs(F.length("a") - F.length("b")) <= allowed
     near = both.where(fits).withColumn("allowed", allowed)
     # The bounded distance is -1 beyond its bound, and costs the bound times the length. Most pairs need none: two upper
@@ -195,13 +261,13 @@ def _name(k1: str, k2: str) -> Column:
     return F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0"))
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
+def line_decisions(docs: DataFrame, by_edits: bool = False) -> DataFrame:
     """doc_id, pos, kept, copies of every line that has a word: whether it stays, and how many lines its group has."""
     lines = common.materialize(_simhashes(_lines(docs)), "lines")
     distinct = common.materialize(
         lines.groupBy("k1", "k2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n"), F.max("sim").alias("sim")), "distinct-lines"
     )
-    groups = connected_components(_links(distinct, docs))
+    groups = connected_components(_links(distinct, docs, by_edits))
     named = distinct.withColumn("node", _name("k1", "k2"))
     grouped = common.materialize(
         named.join(groups.hint("merge"), "node", "left").select("k1", "k2", "first", "n", F.coalesce("label", "node").alias("label")), "line-groups"
@@ -213,9 +279,9 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, by_edits: bool = False) -> DataFrame:
     """doc_id, n_lines, n_kept, removed (positions of removed lines, in order) of every document."""
-    decided = line_decisions(docs)
+    decided = line_decisions(docs, by_edits)
     gone = decided.where(~F.col("kept")).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
     sizes = docs.select("doc_id", F.size(F.split(common.text_or_empty(), "\n")).cast("bigint").alias("n_lines"))
     nothing = F.array().cast("array<int>")
