@@ -203,6 +203,16 @@ def test_licenses(spark):
     assert got == {1: ("MIT", ""), 2: ("MIT", ""), 3: (None, ""), 4: (None, ""), 5: (None, ""), 6: (None, "CC-BY-NC-4.0,MIT"), 7: (None, "")}
 
 
+def test_long_lines_are_notices_too(spark):
+    mit, apache = license_texts.LICENSES[0][1], license_texts.LICENSES[15][1]
+    rows = [
+        (1, "A readme.\n" + " ".join(mit.split()) + "\nmore"), (2, "code\n# " + " ".join(apache.split())),
+        (3, "x\n" + "*" * 500 + " Released under the MIT License. " + "=" * 500 + "\ny"), (4, "x\n" + " ".join(mit.split()) + " more"),
+    ]
+    got = {r.doc_id: (r.license, r.notices) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (None, "MIT"), 2: (None, "Apache-2.0"), 3: (None, "MIT"), 4: (None, "")}
+
+
 def test_canonical_is_the_same_in_both_languages(spark):
     rows = [(i, text) for i, (_, text) in enumerate(license_texts.LICENSES)] + [(99, "“Smart” — licence\n© me\nOrganisation's")]
     df = spark.createDataFrame(rows, "i int, text string").select("text", license_scan.canonical(F.col("text")).alias("c"))

@@ -58,12 +58,16 @@ def canonical_text(text: str) -> str:
     return out
 
 
+def known_texts(text: str) -> list[str]:
+    """Canonical forms of a known text: as it is wrapped, and in one line, where no line starts with a word of COPYRIGHT_LINE."""
+    return [canonical_text(text), canonical_text(" ".join(text.split()))]
+
+
 def known_digests(licenses: Sequence[tuple[str, str]] = LICENSES) -> dict[str, str]:
     """Licence by digest; the first text of equal ones counts."""
     out: dict[str, str] = {}
     for name, text in licenses:
-        plain = canonical_text(text)
-        if plain:
+        for plain in filter(None, known_texts(text)):
             out.setdefault(hashlib.sha256(plain.encode()).hexdigest(), name)
     return out
 
@@ -73,10 +77,10 @@ def scan(docs: DataFrame, licenses: Sequence[tuple[str, str]] = LICENSES) -> Dat
     known = known_digests(licenses)
     schema = T.StructType().add("digest", T.StringType()).add("license", T.StringType())
     table = docs.sparkSession.createDataFrame(list(known.items()), schema)
-    longest = max((len(text) for _, text in licenses if "\n" not in text), default=0) * 2
-    # A line much longer than every notice can't be one; shorter lines are hashed.
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) > 0) & (F.length(x) <= longest))
-    digests = F.transform(lines, lambda x: F.sha2(canonical(x), 256))
+    longest = max((len(plain) for _, text in licenses for plain in known_texts(text)), default=0)
+    # A line whose canonical form is longer than every known one can't be one; the others are hashed.
+    lines = F.filter(F.transform(F.split("text", "\n"), canonical), lambda x: F.length(x).between(1, longest))
+    digests = F.transform(lines, lambda x: F.sha2(x, 256))
     names = F.create_map(*(F.lit(v) for pair in known.items() for v in pair))
     found = F.array_sort(F.array_distinct(F.transform(F.array_intersect(digests, F.array(*map(F.lit, known))), lambda d: names[d])))
     shown = docs.select("doc_id", common.text_or_empty().alias("text"))
