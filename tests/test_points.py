@@ -192,3 +192,18 @@ def test_counts_and_summary(spark):
     runs = spark.createDataFrame([("t", "e", s) for s in (1.0, 2.0, 6.0)], "task string, engine string, seconds double")
     row = timing_summary(runs).first()
     assert (row.runs, row.median_s, row.mean_s) == (3, 2.0, 3.0) and row.sd_s == pytest.approx(7**0.5)
+
+
+def test_long_track_is_thinned_evenly(spark, tmp_path, monkeypatch):
+    import json
+    import re
+
+    from tracklake import viz
+
+    monkeypatch.setattr(viz, "MOST_POINTS", 100)
+    df = spark.range(0, 1001, 1, 7).selectExpr("1000 - id as ts", "(1000 - id) / 100.0D as LAT", "id * 0.0D as LON")
+    page = viz.plot_track_html(df, tmp_path / "map.html").read_text(encoding="utf-8")
+    lats = [p[0] for p in json.loads(re.search('id="track">(.*)</script>', page)[1])]
+    gaps = [b - a for a, b in zip(lats, lats[1:], strict=False)]
+    assert len(lats) == 100 and (lats[0], lats[-1]) == (0.0, 10.0) and max(gaps) < 0.12 and min(gaps) > 0.09
+    assert 'data-center="5.000000,0.000000"' in page

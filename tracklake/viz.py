@@ -29,15 +29,19 @@ def plot_track_html(df: DataFrame, out_html: str | os.PathLike, title: str = "Tr
         raise ValueError("LAT and LON are required")
     points = df.where(F.col("LAT").isNotNull() & F.col("LON").isNotNull())
     order = [c for c in ("ts", "BaseDateTime") if c in df.columns][:1]
-    n = points.count()
+    n, lat, lon = points.agg(F.count(F.lit(1)), *(F.avg(F.col(c).cast("double")) for c in ("LAT", "LON"))).first()
     if not n:
         raise ValueError("There are no points to draw")
-    if n > MOST_POINTS:
-        # A thinned track is drawn; the draw is bounded, the analysis is not.
-        points = points.where(F.rand(7) < MOST_POINTS / n)
     points = points.orderBy(*order) if order else points
-    track = [(float(r.LAT), float(r.LON)) for r in points.select("LAT", "LON").limit(MOST_POINTS).collect()]
-    lat, lon = (sum(p[i] for p in track) / len(track) for i in (0, 1))
+    rows = points.select("LAT", "LON")
+    if n > MOST_POINTS:
+        # A thinned track is drawn; the draw is bounded, the analysis is not. Of the ranks, those where the scaled rank grows stay.
+        most = MOST_POINTS - 1
+        ranked = rows.rdd.zipWithIndex().filter(lambda x: x[1] == 0 or x[1] * most // (n - 1) > (x[1] - 1) * most // (n - 1))
+        drawn = ranked.keys().collect()
+    else:
+        drawn = rows.collect()
+    track = [(float(r.LAT), float(r.LON)) for r in drawn]
     margin = 0.02 + max(max(p[i] for p in track) - min(p[i] for p in track) for i in (0, 1)) * 0.05
     box = [min(p[1] for p in track) - margin, -max(p[0] for p in track) - margin]
     box += [max(p[1] for p in track) + margin - box[0], -min(p[0] for p in track) + margin - box[1]]
