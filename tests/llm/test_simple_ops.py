@@ -1,6 +1,7 @@
 """Packing, exact dedup, licence scan, line dedup, URL filter, BPE: against brute force and on odd input."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -213,6 +214,17 @@ def test_long_lines_are_notices_too(spark):
     assert got == {1: (None, "MIT"), 2: (None, "Apache-2.0"), 3: (None, "MIT"), 4: (None, "")}
 
 
+def test_full_license_texts(spark):
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("the texts are not on this machine")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {f: open(f"{folder}/{f}", encoding="utf-8").read() for f in names}
+    rows = [(f, t) for f, t in texts.items()] + [(f + " in one line", "x\n" + " ".join(t.split())) for f, t in texts.items()]
+    got = {r.doc_id: r.license or r.notices for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {**names, **{f + " in one line": n for f, n in names.items()}}
+
+
 def test_canonical_is_the_same_in_both_languages(spark):
     rows = [(i, text) for i, (_, text) in enumerate(license_texts.LICENSES)] + [(99, "“Smart” — licence\n© me\nOrganisation's")]
     df = spark.createDataFrame(rows, "i int, text string").select("text", license_scan.canonical(F.col("text")).alias("c"))

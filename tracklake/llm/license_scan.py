@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.llm import common
-from tracklake.llm.license_texts import LICENSES
+from tracklake.llm.license_texts import FULL_TEXTS, LICENSES
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Lines that name a holder, not a licence.
@@ -69,6 +69,8 @@ def known_digests(licenses: Sequence[tuple[str, str]] = LICENSES) -> dict[str, s
     for name, text in licenses:
         for plain in filter(None, known_texts(text)):
             out.setdefault(hashlib.sha256(plain.encode()).hexdigest(), name)
+    for name, _, digest in FULL_TEXTS:
+        out.setdefault(digest, name)
     return out
 
 
@@ -78,6 +80,7 @@ def scan(docs: DataFrame, licenses: Sequence[tuple[str, str]] = LICENSES) -> Dat
     schema = T.StructType().add("digest", T.StringType()).add("license", T.StringType())
     table = docs.sparkSession.createDataFrame(list(known.items()), schema)
     longest = max((len(plain) for _, text in licenses for plain in known_texts(text)), default=0)
+    longest = max(longest, *(n for _, n, _ in FULL_TEXTS))
     # A line whose canonical form is longer than every known one can't be one; the others are hashed.
     lines = F.filter(F.transform(F.split("text", "\n"), canonical), lambda x: F.length(x).between(1, longest))
     digests = F.transform(lines, lambda x: F.sha2(x, 256))
