@@ -320,6 +320,78 @@ def test_lines_near_by_edits_alone(spark):
     assert len(gone & near) >= 0.97 * len(near) and 1001 in gone
 
 
+def brute_simhash(norm, hashes):
+    """Majority votes of the distinct words' hashes, bit by bit."""
+    words = [hashes[w] for w in set(norm.split(" "))]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in words) * 2 > len(words))
+
+
+def test_simhash_votes(spark, monkeypatch):
+    rng = random.Random(12)
+    lines = [" ".join(rng.choices(["a", "bb", "ccc", "dd", "e", "ff", "gg"], k=rng.randint(1, 30))) for _ in range(50)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id bigint, text string")
+    words = sorted({w for x in lines for w in x.split(" ")})
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    hashes = {r.w: r.h % 2**64 for r in hashed}
+    split = line_dedup._lines(df)
+    for sims in (line_dedup._simhashes(split), line_dedup._long_simhashes(split)):
+        assert {r.doc_id: r.sim % 2**64 for r in sims.collect()} == {i: brute_simhash(x, hashes) for i, x in enumerate(lines)}
+
+
+def test_line_dedup_by_the_wide_rule(spark):
+    """Classes of every rule equal those of a brute-force comparison of all lines."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    lines = []
+    for _ in range(8):
+        base = [word() for _ in range(rng.choice([8, 12, 20, 40]))]
+        for _ in range(20):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = word()
+            if rng.random() < 0.15:
+                rng.shuffle(own)  # the same SimHash, far in edits
+            lines.append(" ".join(own))
+    rows = list(enumerate(lines))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sims = {r.doc_id: r.sim % 2**64 for r in line_dedup._simhashes(line_dedup._lines(df)).collect()}
+    _, edit = brute_lines([])
+    borders = [64 * i // 7 for i in range(8)]
+
+    def near(i, j):
+        x = sims[i] ^ sims[j]
+        same = sum((x >> lo) & ((1 << (hi - lo)) - 1) == 0 for lo, hi in zip(borders, borders[1:]))
+        return bin(x).count("1") <= 10 and same >= 2 and edit(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j]))
+
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if label[i] != label[j] and (lines[i] == lines[j] or near(i, j)):
+                label = [label[j] if x == label[i] else x for x in label]
+    decided = line_dedup.line_decisions(df, rule=line_dedup.WIDE).collect()
+    first = {}
+    for i, x in enumerate(label):
+        first.setdefault(x, i)
+    assert {r.doc_id: (r.kept, r.copies) for r in decided} == {i: (first[x] == i, label.count(x)) for i, x in enumerate(label)}
+    assert sum(r.kept for r in decided) < len(lines) / 2
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    rows = [
+        (9, "shared line here"), (9, "lonely line\nfoo\nshared line here"), (None, "unique first\nshared line here"),
+        (None, "unique second\nshared line here"), (3, "a\na\n"), (3, "a\na\n"), (4, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    decided = line_dedup.line_dedup(df, rule=line_dedup.WIDE)
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_kept) for r in decided.collect())
+    shared_first = got[-2:] == [(9, 1, 1), (9, 3, 2)]  # which of the two rows comes first is decided by their text hashes
+    assert got == [(0, 2, 1), (0, 2, 1), (3, 3, 1), (3, 3, 2), (4, 1, 1), *([(9, 1, 1), (9, 3, 2)] if shared_first else [(9, 1, 0), (9, 3, 3)])]
+    left = [r.text for r in line_dedup.without_lines(df, decided).collect()]
+    assert len(left) == len(rows) and None in left
+    every = "\n".join(x for x in left if x is not None).split("\n")
+    assert sorted(x for x in every if x) == ["a", "foo", "lonely line", "shared line here", "unique first", "unique second"]
+
+
 def test_block_keys_find_all_close_hashes(spark):
     rng = random.Random(5)
     rows = []

@@ -41,7 +41,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), by_edits=True)
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), rule=line_dedup.WIDE)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

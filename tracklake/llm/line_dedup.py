@@ -4,28 +4,40 @@ Lines are normalised (case, punctuation, white space) and hashed. The SimHash
 of a line has one bit for each of 64 majority votes of its distinct words'
 hashes (each once, or common words alone would decide long lines); three votes
 are counted in one 64-bit sum, so a line's words cost 22 sums, formed on the map
-side. Distinct lines whose SimHashes differ in at most three bits agree
-on all but three of ``b`` blocks (pigeonhole), so an equi-join on every choice
-of ``b - 3`` blocks finds all of them; ``b`` grows with the number of lines,
-which keeps buckets small. Found pairs are verified by edit similarity, and of
-each connected group of lines the first occurrence (smallest doc_id, then
-position) stays.
-
-Two lines are near if their edit distance is at most a fifth of the longer one's
-length (``by_edits``, as the query has it); without ``by_edits`` their SimHashes
-must also differ in at most 3 bits. One changed word flips more bits than that
-in most lines, so ``by_edits`` looks for candidates by further keys: the 8
+side. Two lines are near if
+
+* their SimHashes agree on at least ``agree`` of ``blocks`` blocks and differ in
+  at most ``bits`` bits (``Rule``), and
+* their edit distance is at most a fifth of the longer one's length.
+
+By the pigeonhole principle every pair that differs in at most ``blocks - agree``
+bits agrees on enough blocks, so an equi-join on every choice of ``agree``
+blocks finds all near lines. Of each connected group of near lines the first
+occurrence (smallest doc_id, then position) stays.
+
+Groups are found in two passes. The first compares each line with one leader of
+each of its buckets only, which joins most of a large group in as many
+comparisons as it has lines. The second compares lines that are still in
+different groups: of each bucket, all lines that are outside its largest group,
+with all lines of the bucket. So a bucket full of one group costs no pairs, and
+no connection is lost.
+
+``by_edits`` looks for candidates by other keys than SimHash blocks: the 8
 smallest hashes of a line's word triples, with its length class, lines of few
-words less each word, and short lines less each character.
+words less each word, and short lines less each character. It finds lines with
+more and smaller edits, at several times the cost.
 
-Defined results: a null or empty text is one empty line; lines without a letter
-or digit always stay and take no part; rows that repeat a doc_id share its
-decisions; a null doc_id comes last. Line numbers count from 0. Extra columns
+Defined results: a row of the input is a document, whatever its doc_id; a null
+or empty text is one empty line; lines without a letter or digit always stay and
+take no part; of rows that repeat a doc_id the one of the smaller text hash comes
+first, and a null doc_id comes last. Line numbers count from 0. Extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,11 +52,32 @@ SIMILARITY = 0.8
 TRIPLES, TRIPLE_BITS = 8, 22
 #: Lines of at most so many words or characters are also looked up by what is left without one of them.
 FEW_WORDS, FEW_CHARACTERS = 12, 24
-#: Lines that agree on a choice of blocks by chance, on average, at most.
-BUCKET = 32
-#: A line of more distinct words than this is one word: it has only exact copies.
+#: Distinct words that the fields of a vote hold; lines that may have more are counted bit by bit.
 MOST_WORDS = 2**20 - 1
 _LAST = 2**63 - 1
+#: Both sides of a pair, as (id, SimHash, length) columns, to a condition.
+Near = Callable[[Column, Column, Column, Column, Column], Column]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """When two SimHashes are close: they agree on ``agree`` of ``blocks`` blocks and differ in at most ``bits`` bits."""
+
+    bits: int = MOST_BITS
+    blocks: int = MOST_BITS + 1
+    agree: int = 1
+
+    def close(self, a: Column, b: Column) -> Column:
+        differs = a.bitwiseXOR(b)
+        out = F.bit_count(differs) <= self.bits
+        if self.blocks - self.agree < self.bits:  # else the bits alone imply it
+            same = [(differs.bitwiseAND(F.lit(mask)) == 0).cast("int") for mask in _masks(self.blocks)]
+            out &= sum(same[1:], same[0]) >= self.agree
+        return out
+
+
+#: What the query uses: all pairs within 5 bits, and those within 10 that agree on 18 bits or more.
+WIDE = Rule(bits=10, blocks=7, agree=2)
 
 
 def normalized(line: Column) -> Column:
@@ -52,60 +85,89 @@ def normalized(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, norm, k1, k2 of every line; the two hashes name the normalised line."""
-    lines = docs.select("doc_id", F.posexplode(F.split(common.text_or_empty(), "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", normalized(F.col("line")).alias("norm"))
+    """row, doc_id, text_key, pos, norm, k1, k2 of every line; the two hashes name the normalised line, ``row`` the document."""
+    text = common.text_or_empty()
+    # The id is given before lines are split, so all lines of a document have the same.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = rows.select("row", "doc_id", "text_key", "pos", normalized(F.col("line")).alias("norm"))
     return lines.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(7), "norm")})
 
 
-def _order(doc_id: str = "doc_id", pos: str = "pos") -> Column:
-    """One number that orders occurrences by doc_id and position."""
-    first = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST)).cast("decimal(38,0)")
-    return (first * F.lit(2**32).cast("decimal(11,0)") + F.col(pos).cast("decimal(11,0)")).cast("decimal(38,0)")
+def _order() -> Column:
+    """One number that orders occurrences by doc_id, document and position."""
+    first = F.coalesce("doc_id", F.lit(_LAST)).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)")
+    return (first.cast("decimal(38,0)") + (F.shiftleft(F.col("text_key").bitwiseAND(F.lit(2**31 - 1)), 31) + F.col("pos")).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def _words() -> Column:
+    return F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
 
 
 def _simhashes(lines: DataFrame) -> DataFrame:
-    """doc_id, pos, k1, k2, sim of every line with a word."""
-    words = F.array_distinct(F.split("norm", " "))
-    words = F.when(F.size(words) < MOST_WORDS, words).otherwise(F.array("norm"))
-    words = lines.where(F.length("norm") > 0).select("doc_id", "pos", "k1", "k2", F.explode(words).alias("word"))
-    words = words.withColumn("h", F.xxhash64("word"))
+    """row, doc_id, text_key, pos, k1, k2, length, sim of every line with a word."""
+    keys = ["row", "doc_id", "text_key", "pos", "k1", "k2", "length"]
+    lines = lines.where(F.length("norm") > 0).withColumn("length", F.length("norm"))
+    # A line has at most half as many words as characters, and one.
+    few = lines.where(F.col("length") < 2 * MOST_WORDS).select(*keys, F.explode(_words()).alias("h"))
     # Bits i, i + 21 and i + 42 of the hashes are counted in three fields of one sum.
     three = 1 | 1 << 21 | 1 << 42
     votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(three))).alias(f"v{i}") for i in range(21)]
     votes.append(F.sum(F.shiftrightunsigned("h", 63)).alias("v21"))
-    sums = words.groupBy("doc_id", "pos", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), *votes)
+    sums = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *votes)
     # A field with 2 * votes + (2**20 - 1 - n) has its bit 20 set if more than half of the words voted.
-    half = (F.lit(2**20 - 1) - F.col("n")) * F.lit(three)
+    half = (F.lit(MOST_WORDS) - F.col("n")) * F.lit(three)
     sim = F.when(F.col("v21") * 2 > F.col("n"), F.lit(-(2**63))).otherwise(F.lit(0)).cast("bigint")
     for i in range(21):
         won = F.shiftrightunsigned(F.col(f"v{i}") * 2 + half, 20).bitwiseAND(F.lit(three))
         sim = sim.bitwiseOR(F.shiftleft(won, i))
-    return sums.select("doc_id", "pos", "k1", "k2", sim.alias("sim"))
+    return sums.select(*keys, sim.alias("sim"))
+
+
+def _long_simhashes(lines: DataFrame) -> DataFrame:
+    """The same for lines of any number of words, by one sum for each line and bit."""
+    keys = ["row", "doc_id", "text_key", "pos", "k1", "k2", "length"]
+    words = lines.withColumn("length", F.length("norm")).select(*keys, F.explode(_words()).alias("h"))
+    bits = words.select(*keys, "h", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    sums = bits.groupBy(*keys, "bit").agg(F.sum(F.expr("shiftrightunsigned(h, bit) & 1")).alias("votes"), F.count(F.lit(1)).alias("n"))
+    won = F.when(F.col("votes") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("bigint"))
+    return sums.groupBy(*keys).agg(F.bit_or(won).alias("sim"))
+
+
+def _borders(blocks: int) -> list[tuple[int, int]]:
+    at = [64 * i // blocks for i in range(blocks + 1)]
+    return list(zip(at, at[1:], strict=False))
+
+
+def _masks(blocks: int) -> list[int]:
+    """The bits of each block, as signed 64-bit numbers."""
+    masks = (((1 << (hi - lo)) - 1) << lo for lo, hi in _borders(blocks))
+    return [m - 2**64 if m >= 2**63 else m for m in masks]
+
+
+def block_keys(sim: Column, blocks: int, agree: int | None = None) -> Column:
+    """An array of hashes, one for each choice of ``agree`` (``blocks - MOST_BITS``) blocks of a SimHash."""
+    parts = [F.shiftrightunsigned(sim, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")) for lo, hi in _borders(blocks)]
+    choices = combinations(range(blocks), blocks - MOST_BITS if agree is None else agree)
+    return F.array(*(F.xxhash64(F.lit(n), *(parts[i] for i in choice)) for n, choice in enumerate(choices)))
+
+
+def _allowed(longer: Column) -> Column:
+    return F.floor(longer * F.lit(1 - SIMILARITY) + 1e-9).cast("int")
 
 
-def blocks_for(lines: int) -> int:
-    """The number of blocks: the fewest that leave at most BUCKET chance partners."""
-    for b in range(MOST_BITS + 1, 9):
-        if lines / 2 ** (64 * (b - MOST_BITS) / b) <= BUCKET:
-            return b
-    return 9
+def _fits(a: Column, b: Column) -> Column:
+    """Whether lengths allow two lines to be near."""
+    return F.abs(a - b) <= _allowed(F.greatest(a, b))
 
 
-def block_keys(sim: Column, blocks: int) -> Column:
-    """An array of hashes, one for each choice of ``blocks - MOST_BITS`` blocks of a SimHash."""
-    borders = [64 * i // blocks for i in range(blocks + 1)]
-    parts = []
-    for lo, hi in zip(borders, borders[1:], strict=False):
-        mask = (1 << (hi - lo)) - 1
-        parts.append(F.shiftrightunsigned(sim, lo).bitwiseAND(F.lit(mask).cast("bigint")))
-    keys = [F.xxhash64(F.lit(n), *(parts[i] for i in choice)) for n, choice in enumerate(combinations(range(blocks), blocks - MOST_BITS))]
-    return F.array(*keys)
+# -- candidates by keys other than SimHash blocks
 
 
-def _edit_keys(docs: DataFrame) -> DataFrame:
-    """k1, k2, length, keys of every distinct line with a word; lines of few edits share a key."""
-    lines = _lines(docs).where(F.length("norm") > 0).withColumn("words", F.split("norm", " ")).withColumns({"length": F.length("norm"), "size": F.size("words")})
+def _edit_keys(lines: DataFrame) -> DataFrame:
+    """k1, k2, keys of every distinct line with a word; lines of few edits share a key."""
+    lines = lines.where(F.length("norm") > 0).select("k1", "k2", "norm").dropDuplicates(["k1", "k2"])
+    lines = lines.withColumn("words", F.split("norm", " ")).withColumns({"length": F.length("norm"), "size": F.size("words")})
     none = F.array().cast("array<bigint>")
     triple = lambda i: F.xxhash64(F.lit("triple"), F.col("words")[i - 1], F.col("words")[i], F.col("words")[i + 1])
     triples = F.slice(F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("size") - 2), triple))), 1, TRIPLES)
@@ -125,117 +187,101 @@ def _edit_keys(docs: DataFrame) -> DataFrame:
     })
     # The last bit of a key tells whether SimHashes count.
     keys = F.concat(F.transform(classed, lambda k: k.bitwiseOR(F.lit(1))), F.transform("left", lambda k: k.bitwiseAND(F.lit(-2))))
-    return lines.select("k1", "k2", "length", keys.alias("keys")).dropDuplicates(["k1", "k2"])
-
-
-def _shared_keys(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """key, k1, k2, sim, length of the lines of every key that at least two have."""
-    keyed = _edit_keys(docs).select("k1", "length", F.explode("keys").alias("key"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = common.materialize(keyed.withColumn("n", n).where("n > 1").drop("n"), "shared-keys")
-    # Lines that have k1 in common give more candidates, no wrong ones.
-    return common.materialize(shared.join(distinct.select("k1", "k2", "sim").hint("merge"), "k1"), "keyed-lines")
-
-
-def _edit_pairs(keyed: DataFrame, grouped: bool) -> DataFrame:
-    """a1, a2, b1, b2: lines with a common key that may be near: with bucket leaders, or, if ``grouped``, all of different groups."""
-    side = keyed.select("key", *(F.col(c).alias(f"a_{c}") for c in keyed.columns if c != "key"))
-    if grouped:
-        rule = (F.col("grp") != F.col("a_grp")) & (F.struct("a_k1", "a_k2") < F.struct("k1", "k2"))
-    else:
-        leader = F.min(F.struct("a_k1", "a_k2", "a_sim", "a_length")).alias("a")
-        side = side.groupBy("key").agg(leader).select("key", "a.*")
-        rule = (F.col("k1") != F.col("a_k1")) | (F.col("k2") != F.col("a_k2"))
-    rule &= F.abs(F.col("length") - F.col("a_length")) <= _allowed(F.greatest("length", "a_length"))
-    bits = F.bit_count(F.col("sim").bitwiseXOR(F.col("a_sim")))
-    rule &= (F.col("key").bitwiseAND(F.lit(1)) == 0) | (bits <= TRIPLE_BITS)
-    found = keyed.join(side.hint("merge"), "key").where(rule)
-    return found.select(F.col("a_k1").alias("a1"), F.col("a_k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2")).distinct()
+    return lines.select("k1", "k2", keys.alias("keys"))
 
 
-def _allowed(longer: Column) -> Column:
-    return F.floor(longer * F.lit(1 - SIMILARITY) + 1e-9).cast("int")
-
+# -- groups
 
-def _close(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_BITS
 
+def _leader_pairs(keyed: DataFrame, near: Near) -> DataFrame:
+    """a, b: each line with the leader of each of its buckets, if they may be near.
 
-def _leader_pairs(distinct: DataFrame, blocks: int) -> DataFrame:
-    """a1, a2, b1, b2: each line with the leader of each of its buckets, if their SimHashes are close.
-
-    A bucket's leader is its line of the smallest hash, so a bucket gives no
-    more pairs than it has lines.
+    A bucket's leader is its line of the smallest id, so a bucket gives no more
+    pairs than it has lines.
     """
-    keyed = distinct.select("k1", "k2", "sim", F.explode(block_keys(F.col("sim"), blocks)).alias("key"))
     leaders = keyed.groupBy("key").agg(
-        F.min("k1").alias("a1"), F.min_by("k2", "k1").alias("a2"), F.min_by("sim", "k1").alias("a_sim"), F.count(F.lit(1)).alias("n")
+        F.min("id").alias("a"), F.min_by("sim", "id").alias("a_sim"), F.min_by("length", "id").alias("a_length"), F.count(F.lit(1)).alias("n")
     )
-    found = keyed.join(leaders.where("n > 1").hint("merge"), "key").where((F.col("k1") != F.col("a1")) & _close("sim", "a_sim"))
-    return found.select("a1", "a2", F.col("k1").alias("b1"), F.col("k2").alias("b2")).distinct()
-
-
-def _crossing_pairs(labelled: DataFrame, blocks: int) -> DataFrame:
-    """a1, a2, b1, b2: all pairs of lines of different groups whose SimHashes are close."""
-    keyed = labelled.select("k1", "k2", "sim", "grp", F.explode(block_keys(F.col("sim"), blocks)).alias("key"))
-    a = keyed.select("key", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("sim").alias("a_sim"), F.col("grp").alias("a_grp"))
-    b = keyed.select("key", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("sim").alias("b_sim"), F.col("grp").alias("b_grp"))
-    smaller = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-    apart = F.col("a_grp") != F.col("b_grp")
-    return a.join(b.hint("merge"), (a.key == b.key) & apart & smaller & _close("a_sim", "b_sim")).select("a1", "a2", "b1", "b2").distinct()
+    found = keyed.join(leaders.where("n > 1").drop("n").hint("merge"), "key")
+    rule = (F.col("id") != F.col("a")) & near(*map(F.col, ("key", "sim", "a_sim", "length", "a_length")))
+    return found.where(rule).select("a", F.col("id").alias("b")).distinct()
 
 
-def _links(distinct: DataFrame, docs: DataFrame, by_edits: bool) -> DataFrame:
-    """a, b: verified links that connect every group of near lines.
+def _crossing_pairs(keyed: DataFrame, near: Near) -> DataFrame:
+    """a, b, a_grp, b_grp: lines of one bucket and different groups that may be near.
 
-    First each line is compared with the leaders of its buckets, which connects
-    most of every large group with as many comparisons as lines. Then all pairs
-    that are still in different groups are compared, so that no connection is
-    lost; pairs within a group would connect nothing new.
+    ``keyed`` has key, id, sim, length, grp, size (of the group). One end is
+    always outside the bucket's largest group, so the lines of that group are
+    never compared with each other.
     """
-    blocks = blocks_for(distinct.count())
+    largest = F.first("grp").over(Window.partitionBy("key").orderBy(F.col("size").desc(), "grp"))
+    columns = ["id", "sim", "length", "grp", "size"]
+    a = keyed.withColumn("top", largest).where(F.col("grp") != F.col("top")).select("key", "top", *(F.col(c).alias(f"a_{c}") for c in columns))
+    once = (F.col("grp") == F.col("top")) | (F.col("a_id") < F.col("id"))
+    # The sum of sizes is always positive; it keeps both sides' columns alike, so that they share one exchange.
+    rule = once & (F.col("grp") != F.col("a_grp")) & near(*map(F.col, ("key", "sim", "a_sim", "length", "a_length"))) & (F.col("size") + F.col("a_size") > 0)
+    found = a.join(keyed.hint("merge"), "key").where(rule)
+    return found.select(F.col("a_id").alias("a"), F.col("id").alias("b"), "a_grp", F.col("grp").alias("b_grp")).distinct()
+
+
+def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -> DataFrame:
+    """id, label of every distinct line: the smallest id of its group."""
     if by_edits:
-        keyed = _shared_keys(distinct, docs)
-    first = common.materialize(_edit_pairs(keyed, False) if by_edits else _leader_pairs(distinct, blocks), "leader-pairs")
-    near = common.materialize(_verified(first, distinct, docs).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "leader-links")
-    groups = connected_components(near).select("node", F.xxhash64("label").alias("grp"))
-    named = distinct.select("k1", "k2", "sim", _name("k1", "k2").alias("node"))
-    labelled = named.join(groups.hint("merge"), "node", "left").withColumn("grp", F.coalesce("grp", F.xxhash64("node")))
-    labelled = common.materialize(labelled.select("k1", "k2", "sim", "grp"), "labelled-lines")
+        edit_keys = common.materialize(_edit_keys(lines), "edit-keys")
+        keyed_lines = distinct.select("id", "k1", "k2", "sim", "length").join(edit_keys.hint("merge"), ["k1", "k2"])
+        wide = keyed_lines.select("id", "sim", "length", F.explode("keys").alias("key"))
+        shared = F.count(F.lit(1)).over(Window.partitionBy("key"))
+        keyed = first = common.materialize(wide.withColumn("n", shared).where("n > 1").drop("n"), "keyed-lines")
+
+        def near(key: Column, sim: Column, a_sim: Column, length: Column, a_length: Column) -> Column:
+            free = key.bitwiseAND(F.lit(1)) == 0
+            return _fits(length, a_length) & (free | (F.bit_count(sim.bitwiseXOR(a_sim)) <= TRIPLE_BITS))
+    else:
+        keys = block_keys(F.col("sim"), rule.blocks, rule.agree)
+        keyed = distinct.select("id", "sim", "length", F.explode(keys).alias("key"))
+        first = distinct.select("id", "sim", "length", F.explode(block_keys(F.col("sim"), MOST_BITS + 1)).alias("key"))
+
+        def near(key: Column, sim: Column, a_sim: Column, length: Column, a_length: Column) -> Column:
+            return rule.close(sim, a_sim) & _fits(length, a_length)
+
+    pairs = common.materialize(_leader_pairs(first, near), "leader-pairs")
+    links = common.materialize(_verified(pairs, distinct, lines).select("a", "b"), "leader-links")
+    found = connected_components(links).select(F.col("node").alias("id"), F.col("label").alias("grp"))
+    grouped = distinct.select("id").join(found.hint("merge"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    sizes = common.materialize(found.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "group-sizes")
+    grouped = grouped.join(sizes.hint("merge"), "grp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    grouped = common.materialize(grouped.select("id", "grp", "size"), "leader-groups")
     if by_edits:
-        keyed = keyed.join(labelled.select("k1", "k2", "grp").hint("merge"), ["k1", "k2"])
-    rest = common.materialize(_edit_pairs(keyed, True) if by_edits else _crossing_pairs(labelled, blocks), "crossing-pairs")
-    return near.union(_verified(rest, distinct, docs).select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")))
-
-
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose edit distance is small; only documents with the first copy of such a line are split again."""
-    ends = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
-    first = F.floor(F.col("first") / F.lit(2**32).cast("decimal(11,0)")).cast("bigint")
-    ids = common.materialize(ends.join(distinct.hint("merge"), ["k1", "k2"]).select("k1", "k2", first.alias("doc_id")), "near-lines")
-    holders = common.materialize(ids.where(F.col("doc_id") != _LAST).select("doc_id").distinct(), "near-docs")
-    held = docs.select("doc_id", "text")
-    held = common.only_ids(held, holders, "doc_id").union(held.where(F.col("doc_id").isNull()))
-    small = ids.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
-    keys = ids.select("k1", "k2")
-    texts = _lines(held).select("k1", "k2", "norm").join(F.broadcast(keys) if small else keys.hint("merge"), ["k1", "k2"], "left_semi")
+        keyed = keyed.join(grouped.hint("merge"), "id")
+    else:
+        labelled = common.materialize(distinct.select("id", "sim", "length").join(grouped.hint("merge"), "id"), "labelled-lines")
+        keyed = labelled.select("id", "length", "sim", "grp", "size", F.explode(keys).alias("key"))
+    pairs = common.materialize(_crossing_pairs(keyed, near), "crossing-pairs")
+    # One link joins two groups, however many lines of them are near.
+    links = common.materialize(_verified(pairs, distinct, lines).select("a_grp", "b_grp").distinct(), "crossing-links")
+    joined = connected_components(links, "a_grp", "b_grp").select(F.col("node").alias("grp"), "label")
+    return grouped.join(joined.hint("merge"), "grp", "left").select("id", F.coalesce("label", "grp").alias("label"))
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs whose edit distance is small; only texts of lines in some pair are read again."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ends = common.materialize(distinct.select("id", "row", "pos").join(ends.hint("merge"), "id", "left_semi"), "near-lines")
+    small = ends.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
+    texts = lines.select("row", "pos", "norm").join(F.broadcast(ends) if small else ends.hint("merge"), ["row", "pos"])
     # Words are split once for each line, not for each pair.
-    texts = texts.dropDuplicates(["k1", "k2"]).withColumn("words", F.split("norm", " "))
-    texts = common.materialize(texts, "near-texts")
-    a = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("norm").alias("a"), F.col("words").alias("x"))
-    b = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("norm").alias("b"), F.col("words").alias("y"))
-    both = pairs.join(a.hint("merge"), ["a1", "a2"]).join(b.hint("merge"), ["b1", "b2"])
-    longer = F.greatest(F.length("a"), F.length("b"))
-    allowed = _allowed(longer)
-    fits = F.abs(F.length("a") - F.length("b")) <= allowed
-    near = both.where(fits).withColumn("allowed", allowed)
+    texts = common.materialize(texts.select("id", "norm", F.split("norm", " ").alias("words")), "near-texts")
+    a = texts.select(F.col("id").alias("a"), F.col("norm").alias("s"), F.col("words").alias("x"))
+    b = texts.select(F.col("id").alias("b"), F.col("norm").alias("t"), F.col("words").alias("y"))
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+    near = both.withColumn("allowed", _allowed(F.greatest(F.length("s"), F.length("t"))))
     # The bounded distance is -1 beyond its bound, and costs the bound times the length. Most pairs need none: two upper
     # bounds of the distance, over words, settle them.
-    steps = [f"levenshtein(a, b, least(allowed, {n})) >= 0" for n in (16, 64, 256, 4096)]
-    steps.append("allowed > 4096 and levenshtein(a, b, allowed) >= 0")
+    steps = [f"levenshtein(s, t, least(allowed, {n})) >= 0" for n in (16, 64, 256, 4096)]
+    steps.append("allowed > 4096 and levenshtein(s, t, allowed) >= 0")
     distance = F.expr(" or ".join(f"({step})" for step in steps))
-    within = (_replaced(F.col("x"), F.col("y")) <= F.col("allowed")) | (_between(*map(F.col, "abxy")) <= F.col("allowed"))
-    return near.where(F.coalesce(within, F.lit(False)) | distance).select("a1", "a2", "b1", "b2")
+    within = (_replaced(F.col("x"), F.col("y")) <= F.col("allowed")) | (_between(*map(F.col, "stxy")) <= F.col("allowed"))
+    return near.where(F.coalesce(within, F.lit(False)) | distance).select(*pairs.columns)
 
 
 def _replaced(x: Column, y: Column) -> Column:
@@ -257,46 +303,69 @@ def _between(a: Column, b: Column, x: Column, y: Column) -> Column:
     return F.greatest(F.length(a), F.length(b)) - known
 
 
-def _name(k1: str, k2: str) -> Column:
-    return F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0"))
-
-
-def line_decisions(docs: DataFrame, by_edits: bool = False) -> DataFrame:
-    """doc_id, pos, kept, copies of every line that has a word: whether it stays, and how many lines its group has."""
-    lines = common.materialize(_simhashes(_lines(docs)), "lines")
-    distinct = common.materialize(
-        lines.groupBy("k1", "k2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n"), F.max("sim").alias("sim")), "distinct-lines"
-    )
-    groups = connected_components(_links(distinct, docs, by_edits))
-    named = distinct.withColumn("node", _name("k1", "k2"))
-    grouped = common.materialize(
-        named.join(groups.hint("merge"), "node", "left").select("k1", "k2", "first", "n", F.coalesce("label", "node").alias("label")), "line-groups"
-    )
-    leaders = common.materialize(grouped.groupBy("label").agg(F.min("first").alias("leader"), F.sum("n").alias("copies")), "line-leaders")
-    final = common.materialize(grouped.join(leaders.hint("merge"), "label").select("k1", "k2", "leader", "copies"), "line-final")
-    return lines.select("doc_id", "pos", "k1", "k2").join(final.hint("merge"), ["k1", "k2"]).select(
-        "doc_id", "pos", (_order() == F.col("leader")).alias("kept"), "copies"
+def _decided(docs: DataFrame, rule: Rule, by_edits: bool) -> DataFrame:
+    """row, doc_id, text_key, pos, worded, kept, copies of every line."""
+    lines = common.materialize(_lines(docs), "lines")
+    sims = _simhashes(lines)
+    longest = lines.select(F.max(F.length("norm"))).first()[0] or 0
+    if longest >= 2 * MOST_WORDS:
+        sims = sims.union(_long_simhashes(lines.where(F.length("norm") >= 2 * MOST_WORDS)).select(sims.columns))
+    order = _order()
+    distinct = sims.groupBy("k1", "k2").agg(
+        F.min(order).alias("first"), F.min_by("row", order).alias("row"), F.min_by("pos", order).alias("pos"),
+        F.count(F.lit(1)).alias("n"), F.max("sim").alias("sim"), F.max("length").alias("length"),
+    )
+    distinct = common.materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+    labels = _groups(distinct, lines, rule, by_edits)
+    named = distinct.select("id", "k1", "k2", "first", "row", "pos", "n")
+    grouped = common.materialize(named.join(labels.hint("merge"), "id"), "line-groups")
+    leaders = grouped.groupBy("label").agg(
+        F.min_by("row", "first").alias("top_row"), F.min_by("pos", "first").alias("top_pos"), F.sum("n").alias("copies")
     )
+    # Lines that occur once and are near no other stay.
+    leaders = common.materialize(leaders.where("copies > 1"), "line-leaders")
+    final = common.materialize(grouped.select("k1", "k2", "label").join(leaders.hint("merge"), "label").drop("label"), "line-final")
+    worded = F.length("norm") > 0
+    occurrences = lines.select("row", "doc_id", "text_key", "pos", "k1", "k2", worded.alias("worded"))
+    return occurrences.join(final.hint("merge"), ["k1", "k2"], "left").select(
+        "row", "doc_id", "text_key", "pos", "worded",
+        (~F.col("worded") | F.col("top_row").isNull() | ((F.col("row") == F.col("top_row")) & (F.col("pos") == F.col("top_pos")))).alias("kept"),
+        F.coalesce("copies", F.lit(1)).alias("copies"),
+    )
+
+
+def line_decisions(docs: DataFrame, by_edits: bool = False, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, pos, kept, copies of every line that has a word: whether it stays, and how many lines its group has."""
+    return _decided(docs, rule, by_edits).where("worded").select("doc_id", "pos", "kept", "copies")
 
 
-def line_dedup(docs: DataFrame, by_edits: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_kept, removed (positions of removed lines, in order) of every document."""
-    decided = line_decisions(docs, by_edits)
-    gone = decided.where(~F.col("kept")).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
-    sizes = docs.select("doc_id", F.size(F.split(common.text_or_empty(), "\n")).cast("bigint").alias("n_lines"))
-    nothing = F.array().cast("array<int>")
-    return (
-        sizes.join(gone.hint("merge").withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-        .withColumn("removed", F.coalesce("removed", nothing))
-        .select("doc_id", "n_lines", (F.col("n_lines") - F.size("removed")).alias("n_kept"), "removed")
+def line_dedup(docs: DataFrame, by_edits: bool = False, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_lines, n_kept, removed (positions of removed lines, in order), text_key (a hash of the text) of every row."""
+    removed = F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("pos"))))
+    by_row = _decided(docs, rule, by_edits).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"), removed.alias("removed"), F.max("text_key").alias("text_key")
     )
+    return by_row.select("doc_id", "n_lines", (F.col("n_lines") - F.size("removed")).alias("n_kept"), "removed", "text_key")
 
 
 def without_lines(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` with removed lines cut out of ``text``; ``decided`` is a result of line_dedup."""
-    gone = decided.where(F.size("removed") > 0).select(F.col("doc_id").alias("__gone_id"), F.col("removed").alias("__removed"))
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("__removed", i))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left")
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).drop("__gone_id", "__removed")
+    """``docs`` with removed lines cut out of ``text``; ``decided`` is a result of line_dedup for the same rows.
+
+    Rows are matched by doc_id and text. Of rows that repeat both, one keeps the
+    lines that stay, and the others, whose lines are all copies, lose theirs.
+    """
+    row, key = F.monotonically_increasing_id(), F.xxhash64(common.text_or_empty())
+    rows = common.materialize(docs.withColumns({"__row": row, "__key": key}), "numbered-docs")
+    first = rows.groupBy("doc_id", "__key").agg(F.min("__row").alias("__first"))
+    size = F.size("removed")
+    cut = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).agg(
+        F.min_by("removed", size).alias("__least"), F.max_by("removed", size).alias("__most")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
+    cut = first.join(cut.hint("merge"), same).select(F.col("doc_id").alias("__id"), "__text", "__first", "__least", "__most")
+    cut = common.materialize(cut.where(F.size("__most") > 0), "cut-lines")
+    joined = rows.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left")
+    gone = F.when(F.col("__row") == F.col("__first"), F.col("__least")).otherwise(F.col("__most"))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(F.col("__most").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.withColumn("text", text).select(*docs.columns)
