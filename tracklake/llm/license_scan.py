@@ -26,8 +26,12 @@ from tracklake.llm import common
 from tracklake.llm.license_texts import FULL_TEXTS, LICENSES
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Lines that name a holder, not a licence.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that name a holder, not a licence: a copyright sign, or the word with a year or a place for one. A line of the
+#: licence itself that only starts with "copyright" stays, so the form does not depend on where lines break.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t*#/;%-]*(?:(?:copyright[ \t]*)?(?:\(c\)|©)[^\n]{0,200}|"
+    r"copyright[^\n]{0,100}?(?:[12][0-9]{3}|[\[<{](?:yyyy|year|name|copyright))[^\n]{0,200}|all rights reserved[ \t.]*)$"
+)
 #: Runs of anything but letters and digits among ASCII, and typographic marks.
 MARKS = r"[\x01-\x2f\x3a-\x60\x7b-\x7f“”‘’‚„«»–—…·•©®™ ]+"
 #: Equivalent spellings, applied in this order.
@@ -41,7 +45,8 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
 
 def canonical(text: Column) -> Column:
     out = F.translate(text, _UPPER, _UPPER.lower())
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "")
+    # Line feeds alone end lines, as in the other languages that use the pattern.
+    out = F.regexp_replace(out, COPYRIGHT_LINE.replace("(?m)", "(?md)"), "")
     out = F.trim(F.regexp_replace(out, MARKS, " "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -59,7 +64,7 @@ def canonical_text(text: str) -> str:
 
 
 def known_texts(text: str) -> list[str]:
-    """Canonical forms of a known text: as it is wrapped, and in one line, where no line starts with a word of COPYRIGHT_LINE."""
+    """Canonical forms of a known text: in lines, without the holder lines, and in one line, where those can't be told from the rest."""
     return [canonical_text(text), canonical_text(" ".join(text.split()))]
 
 
@@ -99,7 +104,6 @@ def oracle(licenses: Sequence[tuple[str, str]] = LICENSES) -> str:
             out = f"replace({out}, '{a}', '{b}')"
         return f"sha256({out})"
 
-    longest = max((len(text) for _, text in licenses if "\n" not in text), default=0) * 2
     values = ", ".join(f"('{d}', '{n}')" for d, n in known_digests(licenses).items())
     return f"""
     with known(digest, license) as (values {values}),
@@ -107,7 +111,7 @@ def oracle(licenses: Sequence[tuple[str, str]] = LICENSES) -> str:
     l as (select r, unnest(string_split(text, chr(10))) as line from d),
     n as (
       select r, string_agg(distinct license, ',' order by license) as notices
-      from (select r, {canon("line")} as digest from l where length(line) between 1 and {longest}) join known using (digest)
+      from (select r, {canon("line")} as digest from l) join known using (digest)
       group by r),
     w as (select r, doc_id, {canon("text")} as digest from d)
     select doc_id, digest, license, coalesce(notices, '') as notices

@@ -143,24 +143,23 @@ LICENSES: tuple[tuple[str, str], ...] = (
 
 #: (licence, length, digest) of canonical forms of full texts as Debian's /usr/share/common-licenses has them, as wrapped and in one line.
 FULL_TEXTS: tuple[tuple[str, int, str], ...] = (
-    ("Apache-2.0", 9703, "cacd2c5054e4daeba3545703f55a99d19da6144003c1baa89be6a1d41d044dab"),
+    ("Apache-2.0", 9823, "90457b4cd85c7151a0345689f875cb7391f0c38f2ff25dae761d6a32fda61ee2"),
     ("Apache-2.0", 9924, "2647c5feda9c4aa3e8cfd14bb102d40894d777b87c284b5a42091ae4cd1a069f"),
-    ("Artistic-1.0-Perl", 5683, "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"),
     ("Artistic-1.0-Perl", 5833, "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
     ("CC0-1.0", 6691, "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
-    ("GFDL-1.2", 19509, "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f"),
+    ("GFDL-1.2", 19578, "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
     ("GFDL-1.2", 19661, "009e9c9e26987137c9ea0122b94757f136a1becdb5960160762a1b39825c2233"),
-    ("GFDL-1.3", 21877, "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480"),
+    ("GFDL-1.3", 22013, "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
     ("GFDL-1.3", 22106, "1660e5283c63da358507452d2f0ef975fafaaad4bb4c79279a7cb94aa7bbcf0d"),
     ("GPL-1.0", 11761, "a329894f04b8e82e41fc94fa0ea4ba446af1b77ef40bd7317b493f34301e10d9"),
     ("GPL-1.0", 11839, "522ad5114c4f17c66367211c307578868f52fa1a131a0f566583944c18e6ee63"),
-    ("GPL-2.0", 17048, "10b79d2ba1705d05b00ff9fa9ac4d544f9694bada2d656fcf40fdcc27c1f94cf"),
+    ("GPL-2.0", 17112, "5b9d6abf6447ce90fdb7011f7838c13e1e5686ff7437ce9ec0e4c9e77691c957"),
     ("GPL-2.0", 17195, "1ef096f2ebf9a41f9cc7a687427ae2c11a832b14c71a2693d4ef6a0bb13037a5"),
-    ("GPL-3.0", 33266, "54e449e05eebc5564782da5e184825952e35c0899b6ec9aa212cfb52626647fc"),
+    ("GPL-3.0", 33398, "8e3446fba403888304ee23704357475e1bcaeaf34d317f67deafefb7649edbd1"),
     ("GPL-3.0", 33489, "e5d20c48a8dc4a6e7114bf0363edbfc25dfdbbff1a099d00a50e4f94a43ecf2a"),
-    ("LGPL-2.0", 23933, "118b22d86df579b5a17ee6860bafaa346cbb9f4ce252a01f5560f1773a1616c0"),
+    ("LGPL-2.0", 24126, "ed67656a548b0793dc88074d8192851d9fe1eca3aaa17ab8e5f6c0829de07f86"),
     ("LGPL-2.0", 24204, "a6fc582a7e4dc50f6095bce17af052bf335f2aa769d0274009408ac7683d820e"),
-    ("LGPL-2.1", 25020, "dfc4b4cbf264fb1c278f19eeb919f5a01d1230928ca0b138285c1b680bf19bd7"),
+    ("LGPL-2.1", 25213, "e1f27b3c1a26da6fb8ed7b499d5191cc20f617fea53d7526c4bef26672dd94fa"),
     ("LGPL-2.1", 25296, "155a3ecca6e4a973a60185e8a6bed117204b06de5d9b91407d894d248a1cf16c"),
     ("LGPL-3.0", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
     ("LGPL-3.0", 7163, "ab1202917a49a52eb4671fc091c00933076c119053fff6e8b5849ca93d6b53b3"),
