@@ -2,9 +2,14 @@
 
 Each stage gets what its predecessor kept, written as Parquet, and returns the
 rows that stay with all their columns; the last returns the packed pieces.
-Rows leave by doc_id: rejected ids are written and anti-joined, and the texts of
-the rows that stay are not shuffled as long as the ids are few enough to
-broadcast.
+Rows leave by doc_id and a hash of their text: the names of rejected rows are
+written and anti-joined, and the texts of the rows that stay are not shuffled as
+long as these are few enough to broadcast.
+
+Defined results: a null text counts as empty and is not toxic by itself; a row
+without a doc_id is a document like others and comes last among its copies; rows
+that repeat a doc_id with different texts are different documents, and of rows
+that repeat both one stays; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,16 +33,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal up to white space, the document with the smallest doc_id."""
-    decided = exact_dedup.exact_dedup(docs)
-    gone = common.materialize(decided.where(~F.col("kept")).select("doc_id"), "copies")
-    return common.without_ids(docs, gone, "doc_id")
+    decided = exact_dedup.exact_dedup(docs).select("doc_id", F.col("text_sha256").alias("key"), "kept")
+    return common.one_of_each(docs, decided, exact_dedup.digest(common.text_or_empty()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard index of at least 0.8, the one with the smallest doc_id."""
-    decided = jaccard_join.similarity_classes(docs)
-    gone = common.materialize(decided.where(~F.col("is_first")).select("doc_id"), "near-copies")
-    return common.without_ids(docs, gone, "doc_id")
+    decided = jaccard_join.similarity_classes(docs, keyed=True)
+    decided = common.materialize(decided.select("doc_id", F.col("text_key").alias("key"), F.col("is_first").alias("kept")), "near-copies")
+    return common.one_of_each(docs, decided, jaccard_join.text_key())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -214,6 +215,29 @@ def test_long_lines_are_notices_too(spark):
     assert got == {1: (None, "MIT"), 2: (None, "Apache-2.0"), 3: (None, "MIT"), 4: (None, "")}
 
 
+def test_published_wrapping(spark):
+    """The MIT licence as it is published, in 80 columns, in one line for each paragraph, and in narrow lines."""
+    paragraphs = [
+        "MIT License", "Copyright (c) 2020 Jane Doe",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ]
+    widths = [30, 38, 50, 60, 72, 78, 80, 100, 130, 100_000]
+    texts = ["\n\n".join(textwrap.fill(p, w) for p in paragraphs) for w in widths]
+    texts += ["\n".join(" * " + x for x in texts[6].split("\n")), texts[6].replace("(c) 2020", "2019-2021"), texts[6].replace("\n", "\r\n")]
+    assert any(x.startswith("COPYRIGHT HOLDERS") for t in texts for x in t.split("\n"))
+    rows = [*enumerate(texts), (99, texts[6].replace("free of charge", "for a fee"))]
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {**dict.fromkeys(range(len(texts)), "MIT"), 99: None}
+
+
 def test_full_license_texts(spark):
     folder = "/usr/share/common-licenses"
     if not os.path.isdir(folder):

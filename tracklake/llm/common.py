@@ -9,6 +9,7 @@ lineage.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -27,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors; a local one is set only if the session names none."""
+    """The folder shared by all executors; a local one is set only if a local session names none."""
     place = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tracklake-")
         spark.conf.set("spark.checkpoint.dir", place)
         spark.sparkContext.setCheckpointDir(place)
@@ -64,6 +67,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver forget finished plans, so that Spark removes their shuffle files before the next large shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -73,15 +82,32 @@ def salts(spark: SparkSession) -> int:
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def without_ids(docs: DataFrame, drop: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is not in ``drop`` (a materialised table of ids).
+def one_of_each(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, key, kept) keeps, one for each doc_id and ``key``.
 
-    The ids are broadcast only if a count shows at most ``BROADCAST_ROWS`` of
-    them, so the large table is not shuffled; otherwise the join is a
-    sort-merge anti-join. Rows with a null key stay.
+    Rows are named by their doc_id, which may be null, and by ``key``, a hash of
+    their text. What goes is written and joined away, broadcast only if a count
+    shows at most ``BROADCAST_ROWS`` of them, so the large table is not shuffled;
+    otherwise the join is a sort-merge anti-join. Only rows that repeat both
+    names are brought together.
     """
-    small = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(drop) if small else drop.hint("merge"), key, "left_anti")
+    given = F.col("doc_id").cast("bigint")
+    named = decided.select(given.alias("__id"), F.col("key").alias("__key"), "kept")
+    gone = materialize(named.where(~F.col("kept")).select("__id", "__key").distinct(), "gone-rows")
+    repeated = named.where("kept").groupBy("__id", "__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = materialize(repeated.select("__id", "__key"), "repeated-rows")
+    rows = docs.withColumns({"__doc": given, "__hash": key})
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key"))
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return left.join(F.broadcast(right) if small else right.hint("merge"), same, how)
+
+    out = joined(rows, gone, "left_anti")
+    if not repeated.isEmpty():
+        once = joined(out, repeated, "left_semi").dropDuplicates(["__doc", "__hash"])
+        out = joined(out, repeated, "left_anti").unionByName(once)
+    return out.select(*docs.columns)
 
 
 def only_ids(docs: DataFrame, keep: DataFrame, key: str) -> DataFrame:

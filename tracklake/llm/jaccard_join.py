@@ -21,6 +21,8 @@ candidate groups.
 Defined results: words are separated by white space; a text of fewer than five
 words is one shingle of all its words; null and empty texts have the empty set,
 are copies of each other and link to nothing else; repeated rows are copies;
+rows that repeat a doc_id with different texts are different documents, and a
+null doc_id comes last in a class (its class_id is null if no row has an id);
 extra columns are ignored.
 """
 
@@ -117,6 +119,11 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def text_key() -> Column:
+    """A hash that names a text."""
+    return F.unhex(F.md5(common.text_or_empty()))
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, set_key, size, minima of every row; minima are empty for the empty set."""
 
@@ -131,7 +138,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
-                        pa.array([xxhash.xxh3_128_digest(t.encode()) for t in texts], pa.binary()),
+                        batch.column(2),
                         pa.array([set_key(s) for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(minima, pa.binary()),
@@ -139,7 +146,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     ["doc_id", "text_key", "set_key", "size", "minima"],
                 )
 
-    shown = docs.select(F.col("doc_id").cast("bigint"), common.text_or_empty().alias("text"))
+    shown = docs.select(F.col("doc_id").cast("bigint"), common.text_or_empty().alias("text"), text_key().alias("text_key"))
     return shown.mapInArrow(run, "doc_id bigint, text_key binary, set_key binary, size int, minima binary")
 
 
@@ -434,36 +441,36 @@ def _compare_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _shingles_of(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (sorted, little-endian) of a few rows."""
+    """set_key, shingles (sorted, little-endian) of a few rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                raw = [shingler.shingles(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["rep", "shingles"])
+                sets = [shingler.shingles(t) for t in batch.column(1).to_pylist()]
+                keys, raw = [set_key(s) for s in sets], [s.astype("<u8").tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["set_key", "shingles"])
 
-    return docs.mapInArrow(run, "rep bigint, shingles binary")
+    return docs.mapInArrow(run, "set_key binary, shingles binary")
 
 
-def similarity_classes(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, class_id, class_size, n_links, is_first of every row.
+def similarity_classes(docs: DataFrame, recall: float = TARGET_RECALL, keyed: bool = False) -> DataFrame:
+    """doc_id, class_id, class_size, n_links, is_first (and the text's key) of every row.
 
     ``class_id`` is the smallest doc_id of the documents connected by links (a
     Jaccard index of at least 0.8) or by equal sets; ``n_links`` the number of
     other different texts that the document's text links to; ``is_first`` holds
-    for the documents that carry the class_id.
+    for the one document of the class that has the smallest doc_id and, among
+    such rows, the smallest ``text_key``; rows that repeat both share it.
     """
     rows = common.materialize(_sets(docs), "sets")
-    # A set's representative is the smallest doc_id that has it; hot sets are combined on the map side first.
-    by_text = rows.groupBy("set_key", "text_key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("minima").alias("minima"))
-    sets = common.materialize(
-        by_text.groupBy("set_key").agg(
-            F.min("rep").alias("rep"), F.count(F.lit(1)).alias("texts"), F.first("size").alias("size"), F.first("minima").alias("minima")
-        ),
-        "distinct-sets",
+    # A set is numbered, and remembers one document that has it; hot sets are combined on the map side first.
+    by_text = rows.groupBy("set_key", "text_key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("minima").alias("minima"))
+    sets = by_text.groupBy("set_key").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("texts"), F.first("size").alias("size"), F.first("minima").alias("minima")
     )
+    sets = common.materialize(sets.withColumn("rep", F.monotonically_increasing_id()), "distinct-sets")
     edges = common.materialize(candidate_edges(sets.where("size > 0").select("rep", "minima"), recall), "candidates")
     groups = connected_components(edges)  # node, label: candidate groups
     links, final = _exact(docs, sets, groups)
@@ -473,26 +480,36 @@ def similarity_classes(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFr
         .join(final.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
         .select(
             "set_key",
-            F.coalesce("label", "rep").alias("class_id"),
+            F.coalesce("label", "rep").alias("label"),
             (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("n_links"),
         )
     )
     reps = common.materialize(reps, "set-classes")
-    placed = common.materialize(rows.select("doc_id", "set_key").join(reps.hint("merge"), "set_key").drop("set_key"), "doc-classes")
-    sizes = common.materialize(placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "class-sizes")
-    return placed.join(sizes.hint("merge"), "class_id").select(
-        "doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first")
-    )
+    placed = rows.select("doc_id", "text_key", "set_key").join(reps.hint("merge"), "set_key").drop("set_key")
+    placed = common.materialize(placed, "doc-classes")
+    # The first row of a class is found in two steps, each of which adds up numbers on the map side.
+    known = F.col("doc_id").isNotNull()
+    texts = placed.groupBy("label", "doc_id").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(~known, "doc_id", "text_key")).alias("first")
+    sizes = common.materialize(texts.groupBy("label").agg(first, F.sum("n").alias("class_size")), "class-sizes")
+    return placed.join(sizes.hint("merge"), "label").select(
+        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("is_first"),
+        *(["text_key"] if keyed else []),
+    )
 
 
 def _exact(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links of each representative, and the components of the exact links."""
-    chosen = common.materialize(
-        groups.select(F.col("node").alias("rep"), F.col("label").alias("grp")).join(sets.select("rep", "texts").hint("merge"), "rep"), "members"
-    )
-    ids = common.materialize(chosen.select(F.col("rep").alias("doc_id")), "member-ids")
-    texts = common.only_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_or_empty().alias("text")), ids, "doc_id")
-    shingles = common.materialize(_shingles_of(texts).dropDuplicates(["rep"]), "member-sets")
+    named = groups.select(F.col("node").alias("rep"), F.col("label").alias("grp"))
+    chosen = common.materialize(named.join(sets.select("rep", "texts", "set_key", "doc_id").hint("merge"), "rep"), "members")
+    ids = common.materialize(chosen.where("doc_id is not null").select("doc_id").distinct(), "member-ids")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_or_empty().alias("text"))
+    held = common.only_ids(texts, ids, "doc_id")
+    if not chosen.where("doc_id is null").isEmpty():  # sets of rows without an id alone
+        held = held.union(texts.where("doc_id is null"))
+    found = _shingles_of(held.select("doc_id", "text")).join(chosen.select("set_key", "rep").hint("merge"), "set_key")
+    shingles = common.materialize(found.groupBy("rep").agg(F.first("shingles").alias("shingles")), "member-sets")
     sizes = common.materialize(chosen.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = chosen.join(sizes.hint("merge"), "grp").select("rep", "texts", "grp", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("own"))

@@ -146,10 +146,20 @@ def _masks(blocks: int) -> list[int]:
 
 
 def block_keys(sim: Column, blocks: int, agree: int | None = None) -> Column:
-    """An array of hashes, one for each choice of ``agree`` (``blocks - MOST_BITS``) blocks of a SimHash."""
+    """An array of keys, one for each choice of ``agree`` (``blocks - MOST_BITS``) blocks of a SimHash.
+
+    A key of few bits is the blocks themselves behind the number of the choice, which takes less room in a shuffle than a hash.
+    """
     parts = [F.shiftrightunsigned(sim, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")) for lo, hi in _borders(blocks)]
-    choices = combinations(range(blocks), blocks - MOST_BITS if agree is None else agree)
-    return F.array(*(F.xxhash64(F.lit(n), *(parts[i] for i in choice)) for n, choice in enumerate(choices)))
+    agree = blocks - MOST_BITS if agree is None else agree
+    width = max(hi - lo for lo, hi in _borders(blocks))
+    keys = []
+    for n, choice in enumerate(combinations(range(blocks), agree)):
+        key = F.lit(n).cast("bigint")
+        for i in choice:
+            key = F.shiftleft(key, width).bitwiseOR(parts[i])
+        keys.append(key if width * agree <= 40 else F.xxhash64(F.lit(n), *(parts[i] for i in choice)))
+    return F.array(*keys)
 
 
 def _allowed(longer: Column) -> Column:
@@ -255,7 +265,9 @@ def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -
         keyed = keyed.join(grouped.hint("merge"), "id")
     else:
         labelled = common.materialize(distinct.select("id", "sim", "length").join(grouped.hint("merge"), "id"), "labelled-lines")
-        keyed = labelled.select("id", "length", "sim", "grp", "size", F.explode(keys).alias("key"))
+        # No column is null; saying so here keeps such filters out of one side of the join, so that both share an exchange.
+        keyed = labelled.dropna().select("id", "length", "sim", "grp", "size", F.explode(keys).alias("key"))
+    common.free_shuffles(distinct.sparkSession)
     pairs = common.materialize(_crossing_pairs(keyed, near), "crossing-pairs")
     # One link joins two groups, however many lines of them are near.
     links = common.materialize(_verified(pairs, distinct, lines).select("a_grp", "b_grp").distinct(), "crossing-links")
@@ -271,17 +283,28 @@ def _verified(pairs: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFr
     texts = lines.select("row", "pos", "norm").join(F.broadcast(ends) if small else ends.hint("merge"), ["row", "pos"])
     # Words are split once for each line, not for each pair.
     texts = common.materialize(texts.select("id", "norm", F.split("norm", " ").alias("words")), "near-texts")
-    a = texts.select(F.col("id").alias("a"), F.col("norm").alias("s"), F.col("words").alias("x"))
-    b = texts.select(F.col("id").alias("b"), F.col("norm").alias("t"), F.col("words").alias("y"))
-    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-    near = both.withColumn("allowed", _allowed(F.greatest(F.length("s"), F.length("t"))))
-    # The bounded distance is -1 beyond its bound, and costs the bound times the length. Most pairs need none: two upper
-    # bounds of the distance, over words, settle them.
+    a = texts.select(F.col("id").alias("a"), F.length("norm").alias("m"), F.col("words").alias("x"))
+    b = texts.select(F.col("id").alias("b"), F.length("norm").alias("n"), F.col("words").alias("y"))
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").withColumn("allowed", _allowed(F.greatest("m", "n")))
+    # Words that both lines share at the start and at the end don't count for the distance.
+    both = both.withColumn("start", _shared("x", "y"))
+    both = both.withColumns({"x": F.slice("x", F.col("start") + 1, F.size("x")), "y": F.slice("y", F.col("start") + 1, F.size("y"))})
+    both = both.withColumn("end", _shared(F.reverse("x"), F.reverse("y")))
+    both = both.withColumns({c: F.slice(c, F.lit(1), F.size(c) - F.col("end")) for c in "xy"})
+    both = both.withColumns({"s": F.array_join("x", " "), "t": F.array_join("y", " ")})
+    # The bounded distance is -1 beyond its bound, and costs the bound times the length; an upper bound settles many pairs.
     steps = [f"levenshtein(s, t, least(allowed, {n})) >= 0" for n in (16, 64, 256, 4096)]
     steps.append("allowed > 4096 and levenshtein(s, t, allowed) >= 0")
     distance = F.expr(" or ".join(f"({step})" for step in steps))
-    within = (_replaced(F.col("x"), F.col("y")) <= F.col("allowed")) | (_between(*map(F.col, "stxy")) <= F.col("allowed"))
-    return near.where(F.coalesce(within, F.lit(False)) | distance).select(*pairs.columns)
+    within = (F.greatest(F.length("s"), F.length("t")) <= F.col("allowed")) | (_replaced(F.col("x"), F.col("y")) <= F.col("allowed"))
+    fits = F.abs(F.length("s") - F.length("t")) <= F.col("allowed")
+    return both.where(fits & (within | distance)).select(*pairs.columns)
+
+
+def _shared(x: Column | str, y: Column | str) -> Column:
+    """How many words two lists share at their start."""
+    until = F.array_position(F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False))), False)
+    return F.when(until > 0, until - 1).otherwise(F.size(x)).cast("int")
 
 
 def _replaced(x: Column, y: Column) -> Column:
@@ -291,18 +314,6 @@ def _replaced(x: Column, y: Column) -> Column:
     return F.when(F.size(x) == F.size(y), total).otherwise(F.lit(2**31 - 1))
 
 
-def _between(a: Column, b: Column, x: Column, y: Column) -> Column:
-    """The characters between the words at the start and those at the end that both lines share: another upper bound."""
-
-    def shared(x: Column, y: Column) -> Column:
-        same = F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False)))
-        until = F.array_position(same, False)
-        return F.length(F.array_join(F.slice(x, F.lit(1), F.greatest(until - 1, F.lit(0)).cast("int")), " "))
-
-    known = F.least(shared(x, y) + shared(F.reverse(x), F.reverse(y)), F.length(a), F.length(b))
-    return F.greatest(F.length(a), F.length(b)) - known
-
-
 def _decided(docs: DataFrame, rule: Rule, by_edits: bool) -> DataFrame:
     """row, doc_id, text_key, pos, worded, kept, copies of every line."""
     lines = common.materialize(_lines(docs), "lines")
