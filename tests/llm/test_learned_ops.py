@@ -122,6 +122,86 @@ def test_marginals_are_exact(model):
     assert np.allclose(html_extract.marginals(tree, model), sums / total)
 
 
+ARTICLE = (
+    "<h1>A title of this</h1><p>The text itself is here, and it is long enough to matter for the reader.</p>"
+    "<p>More of the text, with <a href=x>a link</a> inside.</p>"
+)
+ARTICLE_TEXT = "A title of this\nThe text itself is here, and it is long enough to matter for the reader.\nMore of the text, with a link inside."
+NAV = "<nav><ul><li><a href=x>Home</a><li><a href=y>News</a><li><a href=z>About us</a></ul></nav>"
+FOOT = "<footer><p>&copy; 2020 Me, all rights. Contact us.</p></footer>"
+COMMENT = "<div class='comment'><p>I like this very much, thank you for it.</p></div>"
+SIDE = "<div id='sidebar'><h3>Related</h3><ul><li><a href=1>Another story that is long</a><li><a href=2>One more</a></ul><p>Subscribe to our letter.</p></div>"
+#: Layouts that the generator of training pages doesn't have.
+LAYOUTS = {
+    "head not closed": "<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8><body>{nav}<article>{a}</article>{foot}",
+    "neither head nor body": "<title>T</title>{nav}<article>{a}</article>{foot}",
+    "self-closing drawing": "<body><svg class='i'/>{nav}<article>{a}</article>{foot}",
+    "drawing": "<body><svg><path d='M0'/><title>x</title></svg>{nav}<article>{a}</article>{foot}",
+    "unclosed drawing": "<body><svg><path d='M0'/>{nav}<article>{a}</article>{foot}",
+    "article with tags": "<body>{nav}<article class='post tags'>{a}</article>{foot}",
+    "fixed header": "<body>{nav}<div class='page header-fixed'><div class='article'>{a}</div></div>{foot}",
+    "blog": "<body class='home blog'><div id='page' class='hfeed site'><header id='masthead'><p><a href='/'>My Blog</a></p><div class='menu-main'><ul><li><a href=a>A</a>"
+    "</ul></div></header><div id='content'><main id='main'><article id='post-1' class='post hentry tag-y'>{a}</article><section id=comments>{com}</section></main></div>"
+    "{side}<footer class='site-footer'>Powered by a thing</footer></div>",
+    "news": "<body>{nav}<div class='breadcrumb'><a href=1>Home</a> &gt; <a href=2>World</a></div><div class='row'><div class='col-8'><div class='story-body'>{a}</div>"
+    "<div class='share'>Share this story</div></div><div class='col-4'>{side}</div></div><div class='footer'>Terms and privacy</div>",
+    "table": "<body><table><tr><td class=menu><a href=1>Home</a><br><a href=2>News</a></td><td class=content>{a}</td></tr></table><div class=footer>Copyright me</div>",
+    "one form around all": "<body><form id='aspnetForm'>{nav}<div class='content'>{a}</div>{foot}</form>",
+    "more comments than text": "<body>{nav}<article>{a}</article><div class='comments'>{coms}</div>{foot}",
+    "plain": "<html><head><title>x</title></head><body>{a}</body></html>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_other_layouts(model, layout):
+    html = LAYOUTS[layout].format(nav=NAV, a=ARTICLE, foot=FOOT, com=COMMENT, coms=COMMENT * 60, side=SIDE)
+    assert html_extract.main_text(html, model) == ARTICLE_TEXT
+
+
+def test_messages_decide(model):
+    """Without the potentials between parents and children most pages read differently."""
+    alone = html_extract.Potentials(model.weights, model.pair * 0)
+    html = [t.format(nav=NAV, a=ARTICLE, foot=FOOT, com=COMMENT, coms=COMMENT * 60, side=SIDE) for t in LAYOUTS.values()]
+    assert sum(html_extract.main_text(h, alone) != ARTICLE_TEXT for h in html) > len(html) / 2
+
+
+def test_text_by_brute_force(model):
+    """Small pages, with marginals summed over the states of all nodes."""
+    pages = [
+        "<nav><a>Home</a></nav><article><p>Some text here.</article>", "<div class=ad>Buy</div><p>A longer text, which is here.</p><footer>x</footer>",
+        "<ul><li><a>x</a><li><a>y</a></ul><main><h1>T</h1><p>One. Two.</main>", "<section class=comments><p>No.</p></section><p>Yes, and more of it.",
+    ]
+    for html in pages:
+        tree = html_extract.parse(html)
+        n, own = len(tree.tag), html_extract.features(tree) @ model.weights
+        states = (np.arange(2**n)[:, None] >> np.arange(n)) & 1
+        energy = states @ own + sum(model.pair[states[:, tree.parent[i]], states[:, i]] for i in range(1, n))
+        weight = np.exp(energy - energy.max())
+        content = weight @ states / weight.sum() >= 0.5
+        want, run = [], ""
+        for node, text in [*tree.texts, (0, "")]:
+            block = node
+            while tree.tag[block] not in html_extract.BLOCK and block:
+                block = tree.parent[block]
+            if text and content[block]:
+                run += text
+            elif not text:
+                want, run = want + [run.strip()] * bool(run.strip()), ""
+        assert html_extract.main_text(html, model) == "\n".join(want)
+
+
+def test_fit_climbs_to_the_data():
+    """Expected features and pair counts under the fitted model equal those of the labels, up to the ridge."""
+    pages = [html_extract.labelled_page(i) for i in range(60)]
+    fitted = html_extract.fit(pages, rounds=400, ridge=0.01)
+    forest = html_extract._Forest([t for t, _ in pages])
+    x, y = np.vstack([html_extract.features(t) for t, _ in pages]), np.concatenate([v for _, v in pages])
+    marginal, counts = forest.expected(x @ fitted.weights, fitted.pair)
+    single = np.concatenate([html_extract.marginals(t, fitted) for t, _ in pages])
+    assert np.allclose(marginal, single, atol=1e-6) and counts.sum() == pytest.approx(len(y) - len(pages))
+    assert np.abs(x.T @ (y - marginal)).max() < 0.02 * len(y)
+
+
 def test_held_out_pages(model):
     right = total = 0
     for seed in range(50_000_000, 50_000_150):

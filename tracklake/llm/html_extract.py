@@ -7,9 +7,12 @@ The graph is the DOM tree, so sum-product messages sent once upward and once
 downward give exact marginals. Text whose block has a content marginal of one
 half or more is the main text.
 
-The potentials are trained on labelled pages: a generator of varied layouts
-(articles with menus, sidebars, adverts, comments, broken markup) knows which
-text it wrote as content. Training takes a few hundred small pages on the
+A node's features say nothing of the nodes around it but through its text: that
+a paragraph of a sidebar is none of the article is left to the messages.
+
+The potentials are trained together on labelled pages: a generator of varied
+layouts (articles with menus, sidebars, adverts, comments, broken markup) knows
+which text it wrote as content. Training takes a few hundred small pages on the
 driver; extraction is one pass without a shuffle, one page at a time.
 
 Blocks: text is gathered up to the next border of a block element; character
@@ -17,8 +20,8 @@ references are decoded, white space inside a block becomes one space, blocks
 are joined in page order by a line feed. A line break element is white space.
 
 Defined results: null and empty pages give the empty text; unclosed, crossed or
-stray tags are repaired as browsers do for paragraphs and list items, and
-ignored otherwise; repeated rows are extracted one by one; extra columns are
+stray tags are repaired as browsers do for paragraphs, list items, an unclosed
+head and drawings, and ignored otherwise; repeated rows are extracted one by one; extra columns are
 ignored. Depth has no limit: nothing recurses.
 """
 
@@ -44,7 +47,10 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HIDDEN = frozenset("script style noscript template head title svg math iframe object audio video canvas select option button textarea datalist".split())
-RAW = frozenset("script style".split())
+#: What may stand in a head; anything else ends it. What ends embedded drawings and formulas, unless they hold HTML.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes head html".split())
+FOREIGN = frozenset("svg math".split())
+BREAKS_OUT = frozenset("b blockquote body br center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li ol p pre span strong table ul".split())
 #: What an opening tag closes, up to the nearest of the second set.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -83,7 +89,18 @@ class Tree(HTMLParser):
             self.count[self.tag[node]] -= 1
         del self.open[depth:]
 
+    def _close_from(self, names: frozenset[str]) -> None:
+        """Close the outermost open element of one of these names, with all inside it."""
+        for depth in range(1, len(self.open)):
+            if self.tag[self.open[depth]] in names:
+                self._close(depth)
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.count.get("head") and (tag == "body" or (tag not in IN_HEAD and self.tag[self.open[-1]] == "head")):
+            self._close_from(frozenset(["head"]))
+        if tag in BREAKS_OUT and any(self.count.get(name) for name in FOREIGN) and not self.count.get("foreignobject"):
+            self._close_from(FOREIGN)
         if tag in CLOSES:
             closed, limit = CLOSES[tag]
             held = any(self.count.get(name) for name in closed)
@@ -119,6 +136,9 @@ class Tree(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        # Only foreign elements can close themselves; elsewhere the slash is ignored, as browsers do.
+        if any(self.count.get(name) for name in FOREIGN) and self.tag[self.open[-1]] == tag and tag not in VOID:
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, 0, -1) if self.count.get(tag) else ():
@@ -134,6 +154,8 @@ class Tree(HTMLParser):
             self.texts.append((self.open[-1], " "))
 
     def handle_data(self, data: str) -> None:
+        if self.tag[self.open[-1]] == "head" and not data.isspace():
+            self._close_from(frozenset(["head"]))
         self.texts.append((self.open[-1], data))
 
 
@@ -148,7 +170,7 @@ def parse(html: str) -> Tree:
 
 FEATURES = (
     "bias", "nav", "aside", "footer", "header", "form", "article", "main", "p", "heading", "list", "quote", "pre", "table", "div", "hidden",
-    "figure", "names_out", "names_in", "links_high", "links_some", "long", "medium", "short", "sentence", "in_article", "in_out", "role_out", "inline",
+    "figure", "names_out", "names_in", "names_both", "links_high", "links_some", "long", "medium", "short", "sentence", "role_out", "inline", "holds_main",
 )
 _TAG_FEATURE = {
     "nav": "nav", "menu": "nav", "aside": "aside", "footer": "footer", "header": "header", "form": "form", "fieldset": "form", "label": "form",
@@ -183,30 +205,32 @@ def features(tree: Tree) -> np.ndarray:
             chars[up] += chars[node]
             linked[up] += linked[node]
             ends[up] += ends[node]
-    inside, out = np.zeros(n, bool), np.zeros(n, bool)
-    names_out: dict[str, tuple[bool, bool]] = {}
+    # Whether a node is around an article or a title, so that its name says little: a page whose class names a menu, say.
+    holds = np.zeros(n, bool)
+    for node in range(n - 1, 0, -1):
+        holds[tree.parent[node]] |= holds[node] or tree.tag[node] in ("article", "main", "h1")
+    names_of: dict[str, tuple[bool, bool]] = {}
     for node in range(n):
-        tag, names, role, up = tree.tag[node], tree.names[node], tree.role[node], tree.parent[node]
+        tag, names, role = tree.tag[node], tree.names[node], tree.role[node]
         row = x[node]
         row[_AT["bias"]] = 1
         kind = _TAG_FEATURE.get(tag)
-        if kind:
+        if kind and not (kind == "form" and holds[node]):
             row[_AT[kind]] = 1
         elif tag not in HIDDEN and tag not in BLOCK:
             row[_AT["inline"]] = 1
         if tag in HIDDEN or role == "hidden":
             row[_AT["hidden"]] = 1
-        if names:
-            if names not in names_out:
-                names_out[names] = (bool(_NAMES_OUT.search(names)), bool(_NAMES_IN.search(names)))
-            a, b = names_out[names]
-            row[_AT["names_out"]], row[_AT["names_in"]] = a, b and not a
+        if names and tag not in ("html", "body"):
+            if names not in names_of:
+                names_of[names] = (bool(_NAMES_OUT.search(names)), bool(_NAMES_IN.search(names)))
+            a, b = names_of[names]
+            b = b or tag in ("article", "main")
+            both = a and (b or holds[node])
+            row[_AT["names_both"]], row[_AT["names_out"]], row[_AT["names_in"]] = both, a and not both, b and not a
         if role in _ROLES_OUT:
             row[_AT["role_out"]] = 1
-        if up >= 0:
-            inside[node] = inside[up] or tree.tag[up] in ("article", "main") or x[up, _AT["names_in"]] > 0
-            out[node] = out[up] or x[up, [_AT[k] for k in ("nav", "aside", "footer", "form", "names_out", "role_out", "hidden")]].any()
-        row[_AT["in_article"]], row[_AT["in_out"]] = inside[node], out[node]
+        row[_AT["holds_main"]] = holds[node]
         size = chars[node]
         density = linked[node] / size if size else 0
         row[_AT["links_high"]], row[_AT["links_some"]] = density > 0.6, 0.3 < density <= 0.6
@@ -261,29 +285,58 @@ def marginals(tree: Tree, model: Potentials, x: np.ndarray | None = None) -> np.
     return np.array([b[1] for b in belief])
 
 
-def fit(pages: list[tuple[Tree, np.ndarray]], rounds: int = 30, ridge: float = 1.0) -> Potentials:
-    """Node weights by logistic regression, pair potentials from smoothed counts of labelled parents and children.
-
-    The pair potentials are ratios of joint to independent frequencies, so they
-    add only what the nodes' own features do not say.
+class _Forest:
+    """The trees of many pages side by side; a level of all trees is passed at once."""
+
+    def __init__(self, trees: list[Tree]):
+        sizes = [len(t.tag) for t in trees]
+        starts = np.cumsum([0, *sizes])
+        self.parent = np.concatenate([np.where(np.array(t.parent) < 0, -1, np.array(t.parent) + at) for t, at in zip(trees, starts, strict=False)])
+        depth = np.zeros(len(self.parent), int)
+        for node in range(len(depth)):
+            if self.parent[node] >= 0:
+                depth[node] = depth[self.parent[node]] + 1
+        self.levels = [np.flatnonzero(depth == d) for d in range(depth.max(initial=0) + 1)]
+
+    def expected(self, own: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The marginals of content for log odds ``own`` of the nodes, and the expected counts of (parent, child) states."""
+        up, below = np.zeros(len(own)), own.copy()
+        for nodes in self.levels[:0:-1]:
+            b = below[nodes]
+            up[nodes] = np.logaddexp(pair[1, 0], pair[1, 1] + b) - np.logaddexp(pair[0, 0], pair[0, 1] + b)
+            np.add.at(below, self.parent[nodes], up[nodes])
+        belief, counts = below.copy(), np.zeros((2, 2))
+        for nodes in self.levels[1:]:
+            rest = belief[self.parent[nodes]] - up[nodes]
+            b = below[nodes]
+            belief[nodes] = b + np.logaddexp(pair[0, 1], pair[1, 1] + rest) - np.logaddexp(pair[0, 0], pair[1, 0] + rest)
+            joint = np.array([[pair[0, 0] + 0 * b, pair[0, 1] + b], [pair[1, 0] + rest, pair[1, 1] + rest + b]])
+            joint = np.exp(joint - joint.max(axis=(0, 1)))
+            counts += (joint / joint.sum(axis=(0, 1))).sum(axis=2)
+        return 1 / (1 + np.exp(-np.clip(belief, -500, 500))), counts
+
+
+def fit(pages: list[tuple[Tree, np.ndarray]], rounds: int = 240, ridge: float = 0.5, step: float = 0.1) -> Potentials:
+    """Node weights and pair potentials together, by the largest likelihood of the labels.
+
+    Its slope is the difference between the features' sums over the labels and
+    those expected under the model, which message passing gives exactly. The
+    likelihood has one peak; Adam's method climbs it.
     """
-    xs = [features(t) for t, _ in pages]
-    x, y = np.vstack(xs), np.concatenate([labels for _, labels in pages]).astype(float)
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x.T * (p * (1 - p) + 1e-9)) @ x + ridge * np.eye(len(w))
-        move = np.linalg.solve(hess, x.T @ (p - y) + ridge * w)
-        w -= move
-        if np.abs(move).max() < 1e-8:
-            break
-    joint = np.ones((2, 2))
-    for tree, labels in pages:
-        up = np.array(tree.parent[1:])
-        np.add.at(joint, (labels[up].astype(int), labels[1:].astype(int)), 1)
-    joint /= joint.sum()
-    pair = np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
-    return Potentials(w, pair)
+    forest = _Forest([t for t, _ in pages])
+    x, y = np.vstack([features(t) for t, _ in pages]), np.concatenate([labels for _, labels in pages])
+    child = forest.parent >= 0
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[forest.parent[child]].astype(int), y[child].astype(int)), 1)
+    w = np.zeros(x.shape[1] + 4)
+    mean, spread = np.zeros_like(w), np.zeros_like(w)
+    for n in range(1, rounds + 1):
+        marginal, counts = forest.expected(x @ w[:-4], w[-4:].reshape(2, 2))
+        slope = np.concatenate([x.T @ (y - marginal), (seen - counts).ravel()]) - ridge * w
+        mean, spread = 0.9 * mean + 0.1 * slope, 0.99 * spread + 0.01 * slope**2
+        rate = step * (1 if n < 0.7 * rounds else 0.2)
+        w += rate * (mean / (1 - 0.9**n)) / (np.sqrt(spread / (1 - 0.99**n)) + 1e-9)
+    return Potentials(w[:-4], w[-4:].reshape(2, 2))
 
 
 # -- labelled pages
@@ -361,35 +414,38 @@ class _Writer:
         if r.random() < 0.15:
             body += self.form()
         article = f"<h1>{m}{self.words(2, 9)}</h1>{body}"
-        wrap = r.choice(["<article>{}</article>"] * 3 + ["<main>{}</main>", "<main><article>{}</article></main>", "<div" + self.name("content article post entry-content main story") + ">{}</div>", "<div>{}</div>"])
+        odd = r.choice(["", "", "", " tags", " has-sidebar", " header-fixed", " menu-open", " share"])
+        wrap = r.choice(["<article>{}</article>"] * 3 + [f"<article class='post{odd}'>{{}}</article>", f"<div class='page{odd}'><article>{{}}</article></div>"] + ["<main>{}</main>", "<main><article>{}</article></main>", "<div" + self.name("content article post entry-content main story") + ">{}</div>", "<div>{}</div>"])
         parts = [self.menu()] + [f() for f in (self.notice, self.form, self.sidebar) if r.random() < 0.5] + [wrap.format(article)]
         parts += [f() for f in (self.comments, self.sidebar, self.notice) if r.random() < 0.4] + [self.footer()]
-        head = f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{x:1}}</style><script>var a='</p>';</script></head><body>"
-        return head + "<!-- n -->".join(parts) + r.choice(["</body></html>", ""])
+        ends = r.choice(["</head><body>", "</head><body class='no-sidebar menu-fixed'>", "<body>", ""])
+        head = f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{x:1}}</style><script>var a='</p>';</script>{ends}"
+        inner = "<!-- n -->".join(parts)
+        inner = r.choice(["{}"] * 3 + ["<div id='page' class='site{1}'>{0}</div>", "<div class='container'><div class='row'>{0}</div></div>", "<form id='aspnetForm'>{0}</form>"]).format(inner, odd)
+        return head + inner + r.choice(["</body></html>", ""])
 
 
 def labelled_page(seed: int) -> tuple[Tree, np.ndarray]:
-    """A page and whether each node is content: it holds marked text, or sits in a node that does."""
+    """A page and whether each node is content: it holds marked text, or it has no text and its parent is content."""
     tree = parse(_Writer(seed).page())
     n = len(tree.tag)
-    marked, other = np.zeros(n), np.zeros(n)
+    marked, other = np.zeros(n, bool), np.zeros(n, bool)
     for node, text in tree.texts:
         if text.strip():
-            (marked if _Writer.MARK in text else other)[node] += len(text)
+            (marked if _Writer.MARK in text else other)[node] = True
+    label = marked.copy()
     for node in range(n - 1, 0, -1):
-        marked[tree.parent[node]] += marked[node]
-        other[tree.parent[node]] += other[node]
-    # inline leftovers of a content block (text after a link, say) belong to it
-    label = marked > other
+        label[tree.parent[node]] |= label[node]
+        other[tree.parent[node]] |= other[node]
     for node in range(1, n):
-        if not marked[node] and not other[node]:
-            label[node] = label[tree.parent[node]]
+        if not label[node] and (not other[node] or tree.tag[node] in INLINE_OPEN):
+            label[node] = label[tree.parent[node]]  # inline leftovers of a content block belong to it
     tree.texts = [(node, text.replace(_Writer.MARK, "")) for node, text in tree.texts]
     return tree, label
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 600, seed: int = 1) -> Potentials:
+def trained(pages: int = 240, seed: int = 1) -> Potentials:
     return fit([labelled_page(seed * 1_000_003 + i) for i in range(pages)])
 
 
