@@ -70,6 +70,34 @@ def test_recall_does_not_fall_with_more_lists(spark, monkeypatch):
     assert ann.recall(pairs(got), pairs(want)) >= 0.98
 
 
+def test_far_queries_get_ten(spark, monkeypatch):
+    """A query far from all but three vectors, one on a crowded point, and a repeated id, in more lists than a query reads at least."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    monkeypatch.setattr(ann, "LEAST_PROBES", 2)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x.tolist()) if i]
+    far = (1000 + rng.normal(size=(4, 16))).astype(np.float32).tolist()
+    rows += [(100_000, far[0]), (100_001, far[1]), (100_002, far[2]), (100_003, far[3])]
+    rows += [(200_000 + i, [5.0] * 16) for i in range(700)]
+    rows += [(300_000, x[1].tolist()), (300_000, x[2].tolist())]
+    got = found_nearest(ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")))
+    want = brute_nearest([r for r in rows if r[0] != 300_000])
+    assert all(len(v) == 10 for v in got.values()) and set(got) == {*want, 300_000}
+    assert [i for _, i, _ in got[100_000]][:3] == [i for _, i, _ in want[100_000]][:3]
+    assert [i for _, i, _ in got[200_000]] == list(range(200_001, 200_011))
+    again = found_nearest(ann.nearest(spark.createDataFrame(rows[::-1], "vec_id bigint, embedding array<float>").repartition(3)))
+    assert again[300_000][:1] == got[300_000][:1]
+
+
+def test_ragged_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FEW_VECTORS", 50)
+    rng = np.random.default_rng(6)
+    rows = [(100 * i, rng.normal(size=n).astype(np.float32).tolist()) for i, n in enumerate([*range(1, 60), *[70] * 80])]
+    rows += [(100 * i + 1, rng.normal(size=n).astype(np.float32).tolist()) for i, n in enumerate(range(1, 60))]
+    assert found_nearest(ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))) == brute_nearest(rows)
+
+
 def test_graph_search_finds_nearest_centroids():
     rng = np.random.default_rng(3)
     graph = ann.CentroidGraph.build(rng.normal(size=(1500, 8)))
@@ -77,6 +105,15 @@ def test_graph_search_finds_nearest_centroids():
     found, dist = graph.search(x)
     true = ann._distances(x, graph.centroids).argmin(1)
     assert (found[:, 0] == true).mean() > 0.97 and (np.diff(dist, axis=1) >= 0).all()
+    wide, far = graph.search(x, 300)
+    near = ann._distances(x, graph.centroids).argsort(1)[:, :300]
+    assert np.mean([len(set(a) & set(b)) / 300 for a, b in zip(wide.tolist(), near.tolist(), strict=True)]) > 0.97
+    for ratio, width in [(1.0, 64), (1.5, 64), (1.5, 400), (50.0, 100)]:
+        rows, lists = ann.probes_of(graph, x, ratio, width)
+        d = np.sqrt(ann._distances(x, graph.centroids))
+        want = {(i, j) for i, j in zip(*np.nonzero(d <= ratio * d.min(1, keepdims=True)), strict=True)}
+        got = set(zip(rows.tolist(), lists.tolist(), strict=True))
+        assert len(got) == len(rows) and len(want & got) >= 0.98 * len(want) and np.bincount(rows, minlength=200).min() >= 64
 
 
 # -- HTML

@@ -3,19 +3,22 @@
 Centroids are fitted on a bounded sample. Every vector is put into the list of
 its nearest centroid and, near a border, into those of further centroids within
 a distance ratio, looked up in a neighbour graph that each task holds in memory.
-A query reads the lists of its nearest centroids, found among all of them. How
-many is not fixed: a sample of queries is answered by brute force, and all
-queries read as many lists as those need for the target recall. Long lists are
-cut into blocks, so no task holds more than a block however many vectors crowd
-around one centroid.
+A query searches the same graph and reads the lists of all centroids within a
+distance ratio of its nearest one, and of some nearest ones at least. The ratio
+is not fixed: a sample of queries is answered by brute force, and the ratio is
+what those need for the target recall. A query that finds too few vectors so
+reads all lists. Long lists are cut into blocks, so no task holds more than a
+block however many vectors crowd around one centroid.
 
 Equal vectors are one entry that carries the few smallest ids which can appear
 in any result. Candidates of a query are compared exactly, in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null id, take no part; only vectors of the query's
-own length are its candidates; a query without any candidate gives no rows;
-repeated ids are answered once; extra columns are ignored.
+own length are its candidates; a query without any candidate gives no rows, and
+one with fewer than ten gives all; repeated ids are answered once, for the
+vector whose hash is smallest; extra columns are ignored. Lengths of few vectors
+are compared in full, all in one job.
 """
 
 from __future__ import annotations
@@ -45,8 +48,10 @@ LINKS, BEAM = 24, 64
 REPLICA_RATIO = 1.08
 #: Lists of one vector at most; one is enough for it to be found, so none is lost.
 MOST_REPLICAS = 4
-#: Lists that a query reads at least, if there are so many.
+#: Lists that a query reads at least, if there are so many: a query that lies on a centroid has no ratio.
 LEAST_PROBES = 64
+#: Vector lengths of at most so many vectors are compared in full.
+FEW_VECTORS = 4096
 #: Queries answered by brute force to set the number of lists, and the share of their neighbours that those must hold.
 CALIBRATION, CALIBRATED_RECALL = 256, 0.995
 
@@ -109,14 +114,21 @@ class CentroidGraph:
         entries = rng.choice(n, min(n, BEAM), replace=False)
         return cls(centroids, links, entries.astype(np.int32))
 
-    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The centroids found nearest, nearest first, and their distances: a beam search for all rows at once."""
-        n, width = len(x), min(BEAM, len(self.centroids))
-        beam = np.broadcast_to(self.entries[:width], (n, width)).copy()
+    def _start(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         dist = _distances(x, self.centroids[self.entries[:width]])
         order = np.argsort(dist, axis=1, kind="stable")
-        beam, dist = np.take_along_axis(beam, order, 1), np.take_along_axis(dist, order, 1)
-        expanded = np.zeros((n, width), bool)
+        return self.entries[:width][order], np.take_along_axis(dist, order, 1)
+
+    def search(self, x: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` centroids found nearest, nearest first, and their distances: a beam search for all rows at once."""
+        n, width = len(x), min(width, len(self.centroids))
+        if width > len(self.entries):  # so wide a beam starts from what a narrow one finds
+            near, far = self.search(x, len(self.entries))
+            beam, dist = np.full((n, width), len(self.centroids), np.int32), np.full((n, width), np.inf)  # an empty place is infinitely far
+            beam[:, : near.shape[1]], dist[:, : near.shape[1]] = near, far**2
+        else:
+            beam, dist = self._start(x, width)
+        expanded = np.isinf(dist)
         norms = (self.centroids * self.centroids).sum(1)
         own = (x * x).sum(1)
         active = np.arange(n)
@@ -135,19 +147,25 @@ class CentroidGraph:
             new.sort(axis=1)
             repeated = np.zeros(new.shape, bool)
             repeated[:, 1:] = new[:, 1:] == new[:, :-1]
-            known = (new[:, :, None] == beam[active][:, None, :]).any(2)
+            known = self._among(new, beam[active])
             bad = repeated | known | (new < 0)
             d = own[active, None] + norms[new] - 2 * np.einsum("rd,rkd->rk", x[active], self.centroids[new])
             d = np.where(bad, np.inf, np.maximum(d, 0))
             all_ids, all_dist = np.hstack([beam[active], new]), np.hstack([dist[active], d])
             seen = np.hstack([expanded[active], np.zeros(new.shape, bool)])
             order = np.argsort(all_dist, axis=1, kind="stable")[:, :width]
-            beam[active] = np.take_along_axis(all_ids, order, 1)
+            beam[active] = np.where(np.isinf(np.take_along_axis(all_dist, order, 1)), len(self.centroids), np.take_along_axis(all_ids, order, 1))
             dist[active] = np.take_along_axis(all_dist, order, 1)
-            expanded[active] = np.take_along_axis(seen, order, 1)
+            expanded[active] = np.take_along_axis(seen, order, 1) | np.isinf(dist[active])
             active = active[(~expanded[active][:, : max(1, width // 2)]).any(1)]
         return beam, np.sqrt(dist)
 
+    def _among(self, new: np.ndarray, beam: np.ndarray) -> np.ndarray:
+        """Whether each number of a row of ``new`` is in the same row of ``beam``."""
+        held = np.zeros((len(beam), len(self.centroids) + 1), bool)
+        np.put_along_axis(held, beam, True, 1)
+        return np.take_along_axis(held, new, 1)
+
 
 def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) for the nearest centroid of each row and the next ones within REPLICA_RATIO of its distance."""
@@ -158,11 +176,33 @@ def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, found[rows, at]
 
 
-def probes_of(graph: CentroidGraph, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) for the ``probes`` nearest of all centroids of each row."""
-    probes = min(probes, len(graph.centroids))
-    near = np.argpartition(_distances(x, graph.centroids), probes - 1, axis=1)[:, :probes]
-    return np.repeat(np.arange(len(x)), probes), near.ravel()
+def probes_of(graph: CentroidGraph, x: np.ndarray, ratio: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) for the centroids within ``ratio`` of each row's nearest one, and LEAST_PROBES at least.
+
+    The graph is searched for ``width`` of them; rows for which that is not
+    enough are compared with all centroids.
+    """
+    n = len(graph.centroids)
+    found, dist = graph.search(x, max(width, LEAST_PROBES))
+    limit = ratio * dist[:, :1] + 1e-12
+    keep = dist <= limit
+    keep[:, :LEAST_PROBES] = np.isfinite(dist[:, :LEAST_PROBES])
+    more = np.flatnonzero(keep[:, -1] & (found.shape[1] < n))
+    keep[more] = False
+    rows, at = np.nonzero(keep)
+    lists = found[rows, at]
+    if len(more):
+        d = np.sqrt(_distances(x[more], graph.centroids))
+        near = d <= limit[more]
+        np.put_along_axis(near, np.argpartition(d, min(LEAST_PROBES, n) - 1, axis=1)[:, :LEAST_PROBES], True, 1)
+        own, other = np.nonzero(near)
+        rows, lists = np.concatenate([rows, more[own]]), np.concatenate([lists, other])
+    return rows, lists
+
+
+def all_lists(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(graph.centroids)
+    return np.repeat(np.arange(len(x)), n), np.tile(np.arange(n), len(x))
 
 
 # -- the index
@@ -213,28 +253,29 @@ def _true_neighbours(entries: DataFrame, ids: np.ndarray, x: np.ndarray, k: int)
     return entries.select("rep", "vec").join(F.broadcast(best), "rep").select("query", "vec")  # k rows for each of a few vectors
 
 
-def probes_for(entries: DataFrame, wanted: DataFrame, graph: CentroidGraph, k: int) -> int:
-    """How many nearest lists hold CALIBRATED_RECALL of the true neighbours of a sample of the queries."""
+def probes_for(entries: DataFrame, wanted: DataFrame, graph: CentroidGraph, k: int) -> tuple[float, int]:
+    """The ratio within which CALIBRATED_RECALL of the true neighbours of a sample of the queries lie, and how many lists that mostly is."""
     n = len(graph.centroids)
     if n <= LEAST_PROBES:
-        return n
+        return 1.0, n
     sample = wanted.select("rep", "vec").orderBy(F.xxhash64(F.lit("calibration"), "rep"), "rep").limit(CALIBRATION).toArrow()
     if not sample.num_rows:
-        return LEAST_PROBES
+        return 1.0, LEAST_PROBES
     ids, x = sample.column(0).to_numpy(), _matrix(sample.column(1))
     true = _true_neighbours(entries, ids, x, k).toArrow()
     if not true.num_rows:
-        return LEAST_PROBES
+        return 1.0, LEAST_PROBES
     rows, lists = lists_of(graph, _matrix(true.column(1)))
     row_of = {int(q): i for i, q in enumerate(ids)}
     query = np.array([row_of[q] for q in true.column(0).to_pylist()])
-    order = _distances(x, graph.centroids).argsort(1)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(n)[None], 1)
-    first = np.full(true.num_rows, n)  # the place of the nearest list that holds each neighbour
-    np.minimum.at(first, rows, place[query[rows], lists])
-    needed = np.sort(first)[math.ceil(CALIBRATED_RECALL * len(first)) - 1] + 1
-    return int(max(LEAST_PROBES, needed))
+    d = np.sqrt(_distances(x, graph.centroids))
+    order = np.sort(d, axis=1)
+    first = np.full(true.num_rows, np.inf)  # the distance of the nearest list that holds each neighbour
+    np.minimum.at(first, rows, d[query[rows], lists])
+    # What the nearest lists hold anyway needs no ratio.
+    needed = np.where(first <= order[query, LEAST_PROBES - 1], 1.0, first / np.maximum(order[query, 0], 1e-12))
+    ratio = float(np.sort(needed)[math.ceil(CALIBRATED_RECALL * len(needed)) - 1]) * (1 + 1e-9)
+    return ratio, int(np.quantile((d <= ratio * order[:, :1]).sum(1), 0.9)) + 1
 
 
 def _compare(rows: DataFrame, keep: int) -> DataFrame:
@@ -244,13 +285,13 @@ def _compare(rows: DataFrame, keep: int) -> DataFrame:
         for table in aligned(batches, 2, BLOCK_ROWS):
             lists, block = table.column(0).to_numpy(), table.column(1).to_numpy()
             is_query, ids = table.column(2).to_numpy(zero_copy_only=False).astype(bool), table.column(3).to_numpy()
-            x = _matrix(table.column(4))
             first = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (block[1:] != block[:-1])]))
             out_q, out_r, out_s = [], [], []
             for a, b in zip(first, [*first[1:], len(lists)], strict=True):
-                q, p = a + np.flatnonzero(is_query[a:b]), a + np.flatnonzero(~is_query[a:b])
+                q, p = np.flatnonzero(is_query[a:b]), np.flatnonzero(~is_query[a:b])
                 if not len(q) or not len(p):
                     continue
+                x, own = _matrix(table.column(4).slice(a, b - a)), ids[a:b]
                 for lo in range(0, len(q), 512):
                     part = q[lo : lo + 512]
                     d = _distances(x[part], x[p])
@@ -261,8 +302,8 @@ def _compare(rows: DataFrame, keep: int) -> DataFrame:
                     near = d <= (limit + 1e-12 * scale)[:, None]
                     i, j = np.nonzero(near)
                     exact = np.sqrt(((x[part[i]] - x[p[j]]) ** 2).sum(1))
-                    out_q.append(ids[part[i]])
-                    out_r.append(ids[p[j]])
+                    out_q.append(own[part[i]])
+                    out_r.append(own[p[j]])
                     out_s.append(exact)
             if out_q:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_r, out_s)], ["query", "rep", "score"])
@@ -305,35 +346,27 @@ def _entries(rows: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def _search_one_length(rows: DataFrame, queries: Column, k: int) -> DataFrame:
-    spark = rows.sparkSession
+def _queries(rows: DataFrame, entries: DataFrame, queries: Column) -> DataFrame:
+    """vec_id, rep: the rows that are asked for; of rows that repeat an id the one of the smallest hash."""
+    asked = rows.where(queries).groupBy("vec_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("vec_id", "k.k1", "k.k2")
+    return common.materialize(asked.join(entries.select("k1", "k2", "rep").hint("merge"), ["k1", "k2"]).select("vec_id", "rep"), "queries")
+
+
+def _answers(postings: DataFrame, probes: DataFrame, entries: DataFrame, wanted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, hits (score, vec_id; nearest first) from postings and probes (list, rep)."""
     keep = k + 1  # a query's own row is among its candidates' ids at most once
-    entries = common.materialize(_entries(rows, keep), "entries")
-    n = entries.count()
-    share = min(1.0, SAMPLE_VECTORS / max(1, n))
-    sample = entries.where(F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vec")
-    x = _matrix(sample.toArrow().column(0))  # bounded by SAMPLE_VECTORS
-    if not len(x):
-        x = _matrix(entries.select("vec").limit(1).toArrow().column(0))
-    graph = CentroidGraph.build(fit_centroids(x, max(1, min(MOST_CENTROIDS, n // LIST_ROWS))))
-    asked = rows.where(queries).select("vec_id", "k1", "k2").dropDuplicates(["vec_id"])
-    asked = common.materialize(asked.join(entries.select("k1", "k2", "rep").hint("merge"), ["k1", "k2"]).select("vec_id", "rep"), "queries")
-    wanted = common.materialize(
-        entries.select("rep", "vec").join(asked.select("rep").distinct().hint("merge"), "rep"), "query-vectors"
-    )
-    probed = partial(probes_of, graph, probes=probes_for(entries, wanted, graph, k))
-    postings = common.materialize(_place(entries, partial(lists_of, graph), "rep"), "postings")
-    probes = common.materialize(_place(wanted, probed, "rep"), "probes")
     blocks = common.materialize(
         postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "list-sizes"
-    )  # at most MOST_CENTROIDS rows
+    )
     at = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    p = postings.join(F.broadcast(blocks), "list").select("rep", "list", at.alias("block"))
-    q = probes.join(F.broadcast(blocks), "list").select("rep", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # At most MOST_CENTROIDS rows, or one for each of as many lengths of few vectors as were counted.
+    small = blocks.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
+    sized = F.broadcast(blocks) if small else blocks.hint("merge")
+    p = postings.join(sized, "list").select("rep", "list", at.alias("block"))
+    q = probes.join(sized, "list").select("rep", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     p = p.join(entries.select("rep", "vec").hint("merge"), "rep").withColumn("is_query", F.lit(False))
     q = q.join(wanted.hint("merge"), "rep").withColumn("is_query", F.lit(True))
-    both = p.unionByName(q).withColumnRenamed("rep", "id")
-    found = common.materialize(_compare(both, keep), "candidates")
+    found = common.materialize(_compare(p.unionByName(q).withColumnRenamed("rep", "id"), keep), "candidates")
     by_query = Window.partitionBy("query")
     best = (
         found.groupBy("query", "rep").agg(F.min("score").alias("score"))
@@ -343,12 +376,48 @@ def _search_one_length(rows: DataFrame, queries: Column, k: int) -> DataFrame:
         .withColumn("place", F.row_number().over(by_query.orderBy("score", "vec_id"))).where(F.col("place") <= keep)
         .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("best"))
     )
-    best = common.materialize(best, "answers")
     answers = asked.withColumnRenamed("vec_id", "query_id").join(best.hint("merge"), asked.rep == best.query)
-    others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
-    return answers.select("query_id", F.posexplode(others).alias("at", "hit")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")
+    hits = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
+    return common.materialize(answers.select("query_id", "rep", hits.alias("hits")), "answers")
+
+
+def _search_one_length(rows: DataFrame, queries: Column, k: int) -> DataFrame:
+    """query_id, hits for the vectors of one length, which are many."""
+    entries = common.materialize(_entries(rows, k + 1), "entries")
+    n = entries.count()
+    share = min(1.0, SAMPLE_VECTORS / max(1, n))
+    sample = entries.where(F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vec")
+    x = _matrix(sample.toArrow().column(0))  # bounded by SAMPLE_VECTORS
+    if not len(x):
+        x = _matrix(entries.select("vec").limit(1).toArrow().column(0))
+    graph = CentroidGraph.build(fit_centroids(x, max(1, min(MOST_CENTROIDS, n // LIST_ROWS))))
+    asked = _queries(rows, entries, queries)
+    wanted = common.materialize(
+        entries.select("rep", "vec").join(asked.select("rep").distinct().hint("merge"), "rep"), "query-vectors"
     )
+    ratio, width = probes_for(entries, wanted, graph, k)
+    postings = common.materialize(_place(entries, partial(lists_of, graph), "rep"), "postings")
+    probes = common.materialize(_place(wanted, partial(probes_of, graph, ratio=ratio, width=width), "rep"), "probes")
+    found = _answers(postings, probes, entries, wanted, asked, k)
+    # Every query has at least k candidates here, or all there are; one that found fewer reads every list.
+    most = entries.select(F.sum(F.size("ids"))).first()[0] - 1
+    short = asked.join(found.where(F.size("hits") >= min(k, most)).select(F.col("query_id").alias("vec_id")).hint("merge"), "vec_id", "left_anti")
+    short = common.materialize(short, "short-queries")
+    if short.isEmpty():
+        return found.select("query_id", "hits")
+    again = common.materialize(wanted.join(short.select("rep").distinct().hint("merge"), "rep"), "short-vectors")
+    probes = common.materialize(_place(again, partial(all_lists, graph), "rep"), "probes")
+    enough = found.join(short.select(F.col("vec_id").alias("query_id")).hint("merge"), "query_id", "left_anti")
+    return enough.unionByName(_answers(postings, probes, entries, again, short, k)).select("query_id", "hits")
+
+
+def _search_few(rows: DataFrame, queries: Column, k: int) -> DataFrame:
+    """query_id, hits for vectors of lengths that few have: each length is one list that all its queries read."""
+    entries = common.materialize(_entries(rows, k + 1), "entries")
+    asked = _queries(rows, entries, queries)
+    wanted = common.materialize(entries.select("rep", "vec").join(asked.select("rep").distinct().hint("merge"), "rep"), "query-vectors")
+    by_length = F.size("vec").cast("bigint").alias("list")
+    return _answers(entries.select(by_length, "rep"), wanted.select(by_length, "rep"), entries, wanted, asked, k).select("query_id", "hits")
 
 
 def nearest(rows: DataFrame, queries: Column | None = None, k: int = NEAREST) -> DataFrame:
@@ -365,10 +434,16 @@ def nearest(rows: DataFrame, queries: Column | None = None, k: int = NEAREST) ->
     v = v.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
     v = v.withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit(1), "vec"), "length": F.size("vec")})
     v = common.materialize(v, "vectors")
-    lengths = sorted(r["length"] for r in v.select("length").distinct().collect())
-    if not lengths:
+    sizes = common.materialize(v.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "length-sizes")
+    many = sorted(r["length"] for r in sizes.where(F.col("n") > FEW_VECTORS).collect())  # at most a row for each FEW_VECTORS vectors
+    found = [_search_one_length(v.where(F.col("length") == n), queries, k) for n in many]
+    if len(many) < sizes.count():
+        found.append(_search_few(v.where(~F.col("length").isin(many)) if many else v, queries, k))
+    if not found:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    return reduce(DataFrame.unionByName, (_search_one_length(v.where(F.col("length") == n), queries, k) for n in lengths))
+    return reduce(DataFrame.unionByName, found).select("query_id", F.posexplode("hits").alias("at", "hit")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")
+    )
 
 
 def recall(found: set[tuple[int, int]], true: set[tuple[int, int]]) -> float:
