@@ -304,6 +304,56 @@ def test_toxicity_of_disguised_words(spoken):
     assert all(model.probability(m) < 0.3 for m in scorer.margins(["", "a plain day", "block the head", "thererean"]))
 
 
+def test_toxicity_of_inserted_characters(spoken):
+    docs, labels, _ = spoken
+    model = toxicity.train(docs, labels, F.lit(True))
+    scorer = toxicity.Scorer(model)
+    bad = ["you nixtwit", "you nixxtwit", "you nixxxtwit", "a blo??ckhead", "a bloxxxckhead", "block----head", "nit....wit"]
+    assert [t for t, m in zip(bad, scorer.margins(bad), strict=True) if model.probability(m) < 0.3] == []
+
+
+def test_scores_by_brute_force(spoken):
+    """Margins from kernel values of all windows of all words, each by the definition of the kernel."""
+    docs, labels, _ = spoken
+    model = toxicity.train(docs, labels, F.lit(True))
+
+    def kernel(s, t):
+        from itertools import combinations
+
+        found = defaultdict(float)
+        for i in combinations(range(len(s)), 3):
+            found[s[i[0]] + s[i[1]] + s[i[2]]] += toxicity.DECAY ** (i[-1] - i[0] + 1)
+        return sum(found[t[j[0]] + t[j[1]] + t[j[2]]] * toxicity.DECAY ** (j[-1] - j[0] + 1) for j in combinations(range(len(t)), 3))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            last = 0
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], max(row[j], row[j - 1], last + (c == d))
+        return row[-1]
+
+    def value(word, mark):
+        n, best = len(mark), 0.0
+        for size in range(n - 1, n + min(4, n - 3) + 1):
+            for i in range(len(word) - size + 1):
+                x = word[i : i + size]
+                if x[0] not in mark[:2] or x[-1] not in mark[-2:] or common(x, mark) < max(3, -(-7 * n // 10)):
+                    continue
+                own, both = kernel(mark, mark), kernel(mark, x)
+                likeness = both / (own * kernel(x, x)) ** 0.5
+                best = max(best, 1.0 if x == mark else min(both / own, 0.9) if common(x, mark) == n else likeness if likeness >= 0.7 else 0.0)
+        return best
+
+    texts = ["you nitwit", "such a blockhed. a nitwit!", "nixxtwit or zumka", "the day is here", "zumkathe blocckhead", "erthonti stanen", "ntwit"]
+    for text, got in zip(texts, toxicity.Scorer(model).margins(texts), strict=True):
+        margins = [model.bias]
+        for sentence in toxicity._SENTENCE.split(text):
+            best = [max([0.0, *(value(w, mark) for w in toxicity.words_of(sentence))]) for mark in model.landmarks]
+            margins.append(model.bias + float(np.dot(model.weights, best)))
+        assert got == pytest.approx(max(margins), abs=1e-9), text
+
+
 def test_toxicity_without_labels_or_rows(spoken):
     docs, labels, _ = spoken
     none = toxicity.toxicity(docs, labels.limit(0)).select("score").distinct().collect()

@@ -11,11 +11,15 @@ Training, on a bounded sample of labelled documents:
    documents and hardly in clean ones; of these the driver picks landmarks,
    greedily, each time leaving out the words that the last one explains.
 3. A sentence's representation holds, for each landmark, the largest
-   normalised kernel value over windows of its words (1 if a word contains the
-   landmark), mapped by the inverse root of the landmarks' own kernel matrix
-   (Nyström). Sentences of
-   toxic documents in which some landmark fires are positive, all sentences of
-   clean documents negative; a linear SVM is fitted to them.
+   kernel value over windows of its words as a share of the landmark's own value
+   (1 if a word contains the landmark), mapped by the inverse root of the
+   landmarks' own kernel matrix (Nyström). A window with all characters of the
+   landmark in their order counts by what the decay leaves of it, whatever is
+   inserted; one that lacks some is also divided by the root of its own value,
+   so that chance likenesses stay small. Sentences of
+   toxic documents in which some landmark fires are positive, as they are and
+   with characters inserted into the landmark, all sentences of clean documents
+   negative; a linear SVM is fitted to them.
 4. The largest margin of a document's sentences is mapped to a score by a
    logistic curve with the slope of a fit on the sample's documents, placed so
    that the threshold falls on the margin that parts them best.
@@ -51,12 +55,17 @@ from tracklake.llm import common
 
 #: Characters of a subsequence, and the decay for each character it spans.
 ORDER, DECAY = 3, 0.8
-#: Kernel values below this count as none.
+#: Of windows that lack a character of the landmark, normalised kernel values below this count as none: so like are chance
+#: likenesses of clean words too.
 LEAST_VALUE = 0.7
-#: A window may be longer than the landmark by so many characters.
-MOST_INSERTED = 2
+#: A window may be longer than the landmark by so many characters, and by all but three of the landmark's own.
+MOST_INSERTED = 4
+#: The value of a window that isn't the landmark itself, at most.
+MOST_GAPPED = 0.9
 #: A word must have this share of the landmark's characters in their order.
 LEAST_COMMON = 0.7
+#: How much more a clean sentence with a likeness of a landmark counts than one sentence.
+CLEAN_WEIGHT = 20.0
 LANDMARKS = 96
 LANDMARK_CHARS = (4, 8)
 #: A landmark must tell so many toxic documents of the sample, and this share of them.
@@ -189,7 +198,7 @@ class Landmarks:
         out = set()
         for i, c in enumerate(word):
             if c in first:
-                for size in range(n - 1, n + MOST_INSERTED + 1):
+                for size in range(n - 1, n + min(MOST_INSERTED, n - 3) + 1):
                     if i + size <= len(word) and word[i + size - 1] in last:
                         out.add(word[i : i + size])
         return out
@@ -210,15 +219,21 @@ class Landmarks:
                     some = tried[lo : lo + 8192]
                     codes = _codes([x for *_, x in some])
                     at = np.array([m for _, m, _ in some])
-                    close = self.common(codes)[np.arange(len(some)), at] >= self.least[at]
-                    some, codes, at = [x for x, c in zip(some, close.tolist(), strict=True) if c], codes[close], at[close]
+                    shared = self.common(codes)[np.arange(len(some)), at]
+                    close = shared >= self.least[at]
+                    some, codes, at, shared = [x for x, c in zip(some, close.tolist(), strict=True) if c], codes[close], at[close], shared[close]
                     if not some:
                         continue
-                    found = kernel(self.codes[at], codes) / np.sqrt(self.own[at] * np.maximum(kernel(codes, codes), 1e-300))
-                    for i in np.flatnonzero(found >= LEAST_VALUE).tolist():
+                    common, own = kernel(self.codes[at], codes), self.own[at]
+                    whole = shared == np.array([len(self.strings[m]) for m in at])
+                    found = common / np.sqrt(own * np.maximum(kernel(codes, codes), 1e-300))
+                    # A window in which the landmark's characters come several times has more than its own value.
+                    found = np.where(whole, np.minimum(common / own, MOST_GAPPED), np.where(found >= LEAST_VALUE, found, 0.0))
+                    found[[x == self.strings[m] for _, m, x in some]] = 1.0
+                    for i in np.flatnonzero(found > 0).tolist():
                         r, m, _ = some[i]
-                        own = out.setdefault(part[r], {})
-                        own[m] = max(own.get(m, 0.0), min(1.0, float(found[i])))
+                        best = out.setdefault(part[r], {})
+                        best[m] = max(best.get(m, 0.0), min(1.0, float(found[i])))
         return out
 
 
@@ -442,6 +457,16 @@ def _nystroem(marks: Landmarks) -> np.ndarray:
     return (vector / np.sqrt(value)) @ vector.T
 
 
+def disguised(marks: Landmarks) -> list[list[float]]:
+    """For each landmark its value in a window with one and more characters inserted, up to as many as windows have."""
+    out = []
+    for own, size, string in zip(marks.codes, marks.own, marks.strings, strict=True):
+        at = len(string) // 2
+        seen = _codes([string[:at] + "\1" * m + string[at:] for m in range(1, min(MOST_INSERTED, len(string) - 3) + 1)])
+        out.append((kernel(np.repeat(own[None], len(seen), 0), seen) / size).tolist())
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, most: int = SAMPLE_DOCS) -> DataFrame:
     """Texts and labels of at most about ``most`` labelled documents that ``train`` allows, chosen by a hash of doc_id."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train)
@@ -499,18 +524,32 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMPL
             dense.append(row)
             y.append(1.0 if label > 0 else -1.0)
             doc.append(i)
+    real = len(dense)
+    # Insults with characters inserted are rare in a sample: toxic sentences also count with what would be left of a landmark.
+    # Values that clean sentences reach tell nothing of a landmark.
+    clean_best = np.max([row for row, label in zip(dense, y, strict=True) if label < 0] or [np.zeros(n)], axis=0)
+    left = disguised(Landmarks(chosen))
+    for i in range(real):
+        for k in np.flatnonzero(dense[i] >= 1) if y[i] > 0 else ():
+            for value in left[k]:
+                if value <= clean_best[k]:
+                    continue
+                dense.append(np.where(np.arange(n) == k, value, 0.0))
+                y.append(1.0)
     dense.append(np.zeros(n))
     y.append(-1.0)
     x, y = np.array(dense), np.array(y)
     weight = np.ones(len(y))
+    weight[:real][y[:real] < 0] = CLEAN_WEIGHT
     weight[-1] = max(1.0, clean / 10)  # stands for all sentences without any landmark
     positive = max(1.0, (y > 0).sum())
     weight[y > 0] *= max(1.0, (y < 0).sum() / positive)
+    weight[real:-1] /= MOST_INSERTED
     nystroem = _nystroem(Landmarks(chosen))
     w, bias = fit_svm(x @ nystroem, y, weight)
     weights = nystroem @ w
     margins = np.full(len(table), bias)
-    np.maximum.at(margins, np.array(doc, int), (x[:-1] @ weights + bias) if len(doc) else np.zeros(0))
+    np.maximum.at(margins, np.array(doc, int), (x[:real] @ weights + bias) if len(doc) else np.zeros(0))
     slope, _ = fit_logistic(margins, y_docs := (table.label.to_numpy() > 0).astype(float))
     shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * best_border(margins, y_docs))
     return Model(chosen, weights, bias, slope, shift)
