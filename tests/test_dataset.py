@@ -161,3 +161,77 @@ def test_json_lines(spark):
 
     df = spark.sql("select 1L as MMSI, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id * 20) as ts from range(2)")
     assert json.loads(event_json(detect_events(df)).first().json) == {"type": "gap", "MMSI": 1, "ts": "2024-01-01T00:20:00.000", "gap_s": 1200}
+
+
+def read_stream(frame, tmp_path, tag):
+    query = frame.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / f"{tag}-out"))
+    query.option("checkpointLocation", str(tmp_path / f"{tag}-state")).trigger(availableNow=True).start().awaitTermination()
+    return frame.sparkSession.read.schema(frame.schema).parquet(str(tmp_path / f"{tag}-out"))
+
+
+def test_stream_of_differing_files(spark, tmp_path):
+    """Files whose columns stand in another order, have other names, or are missing; names with signs that patterns use."""
+    from tracklake.streaming import read_csv_stream
+
+    place = tmp_path / "in {a,b}"
+    place.mkdir()
+    (place / "one.csv").write_text("MMSI,BaseDateTime,SOG,COG\n1,2024-01-01T00:00:00,7,200\n")
+    (place / "two [x].csv").write_text("mmsi;timestamp;cog;sog\n2;2024-01-01T00:00:00;200;7\n")
+    (place / "three*.csv").write_text("MMSI,SOG\n3,7\n4,7\n")
+    got = read_stream(read_csv_stream(spark, place, rows_per_batch=1), tmp_path, "mixed").collect()
+    assert sorted((r.MMSI, r.SOG, r.COG, r.BaseDateTime is None) for r in got) == [("1", "7", "200", False), ("2", "7", "200", False), ("3", "7", None, True), ("4", "7", None, True)]
+    with pytest.raises(FileNotFoundError):
+        read_csv_stream(spark, place, "*.txt")
+
+
+def test_stream_takes_later_files_of_one_kind(spark, tmp_path):
+    from tracklake.streaming import read_csv_stream
+
+    place = tmp_path / "in"
+    place.mkdir()
+    (place / "a.csv").write_text("MMSI,SOG\n1,7\n")
+    assert read_stream(read_csv_stream(spark, place), tmp_path, "one").count() == 1
+    (place / "b.csv").write_text("MMSI,SOG\n2,7\n")
+    assert read_stream(read_csv_stream(spark, place), tmp_path, "one").count() == 2
+
+
+def test_stream_command_goes_on_from_a_checkpoint(spark, tmp_path, capsys):
+    place = tmp_path / "in"
+    place.mkdir()
+    args = ["stream-csv", str(place), "--chunk-size", "10", "--checkpoint", str(tmp_path / "state")]
+    for name, hour in (("a", "00"), ("b", "02")):
+        (place / f"{name}.csv").write_text(f"MMSI,BaseDateTime,SOG,COG\n1,2024-01-01T{hour}:00:00,5,0\n")
+        assert main(args) == 0
+    found = [json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert [(e["type"], e["gap_s"]) for e in found] == [("gap", 7200)]
+
+
+def test_days_outside_the_range_are_not_read(spark, tmp_path):
+    spark.sql(
+        "select 1L as MMSI, timestamp_ntz'2024-01-30' + make_dt_interval(cast(id as int), 0, 0, 0) as ts, 54.0D as LAT, 18.0D as LON from range(40)"
+    ).createOrReplaceTempView("days")
+    ds = TrackDataset.from_frame(spark.table("days"))
+    for layout, files in (("year/month/day", 3), ("year/month", 2), ("year", 1)):
+        where = tmp_path / layout.replace("/", "-")
+        ds.write_parquet(where, layout)
+        found = TrackDataset.from_frame(spark.read.parquet(str(where))).between("2024-01-31", "2024-02-02T12:00:00").lazy()
+        assert found.count() == 3
+        assert len({f.split("part-")[0] for f in found.selectExpr("_metadata.file_path as f").distinct().toPandas()["f"]}) == files
+        read = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in read and "year" in read.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_benchmark_command(spark, tmp_path):
+    from tracklake import benchmark
+
+    root = benchmark.day_of_points(spark, str(tmp_path / "day"), rows=2000, vessels=50)
+    out = tmp_path / "results"
+    args = ["--root", root, "--from", "2024-01-01", "--to", "2024-01-02", "--repeats", "2", "--out-dir", str(out), "--include-pandas"]
+    assert benchmark.main(args, spark) == 0
+    runs = json.loads((out / "benchmark_results.json").read_text())
+    assert {(r["task"], r["run"]) for r in runs} == {(t, n) for t in ("scan_write_parquet", "trajectory_stats", "events") for n in (1, 2)}
+    assert {r["output_rows"] for r in runs if r["task"] == "trajectory_stats"} == {50}
+    assert {r["output_rows"] for r in runs if r["task"] == "scan_write_parquet"} == {2000}
+    assert len((out / "benchmark_summary.csv").read_text().splitlines()) == 4
+    assert benchmark.main([*args[:-1], "--skip-events"], spark) == 0
+    assert len(json.loads((out / "benchmark_summary.json").read_text())) == 2

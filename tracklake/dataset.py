@@ -105,7 +105,7 @@ class TrackDataset:
                 raise ValueError(f"No column {column} to filter by. {available_message(df.columns)}")
             own = F.col(column) if column == "CallSign" else to_long(F.col(column))
             if column == "IMO" and dict(df.dtypes)[column] == "string":
-                own = to_long(F.regexp_replace(F.col(column), "^(?i)IMO", ""))
+                own = to_long(F.regexp_replace(F.col(column), "(?i)^IMO", ""))
             df = df.where(own.isin(values))
         for start, end in self._time:
             df = df.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
@@ -165,7 +165,12 @@ class TrackDataset:
 
 
 def _prune_folders(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """For a table laid out by year: predicates on the folders, so files outside the range are not opened."""
-    if dict(df.dtypes).get("year") not in ("int", "bigint"):
-        return df
-    return df.where(F.col("year").between(start.year, end.year))
+    """For a table laid out by year, month and day: a predicate on the folders, so files outside the range are not opened."""
+    kinds, code, low, high = dict(df.dtypes), F.lit(0), 0, 0
+    for part in ("year", "month", "day"):
+        if kinds.get(part) not in ("int", "bigint"):
+            break
+        code, low, high = code * 100 + F.col(part), low * 100 + getattr(start, part), high * 100 + getattr(end, part)
+        # One predicate for each depth: those on columns that are no folders don't keep the others from pruning.
+        df = df.where(code.between(low, high))
+    return df

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,13 +12,14 @@ from tracklake.functions import angle_diff_deg, epoch_ms, haversine_km
 from tracklake.functions.parsing import with_timestamp
 from tracklake.operators.events import detect_events
 from tracklake.operators.spatial import geofence, grid_features
-from tracklake.operators.stats import compute_stats, row_and_vessel_counts
+from tracklake.operators.stats import compute_stats, row_and_vessel_counts, timing_summary
 from tracklake.plans.tracks import carried_forward, track_window
 from tracklake.schema import existing_columns, normalize_columns
+from tracklake.scratch import scratch
 from tracklake.sources.files import scan_many, scan_parquet
 from tracklake.sources.sinks import write_partitioned, write_table
 from tracklake.streaming import detect_events_stream
-from tracklake.streaming.sources import event_json, use_rocksdb
+from tracklake.streaming.sources import event_json, read_csv_stream, use_rocksdb
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,12 +33,6 @@ POLYGON = [
 ]
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder that the driver and all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="tracklake-")
-    return f"{base.rstrip('/')}/tracklake/{tag}-{uuid.uuid4().hex}"
-
-
 # -- the view
 
 
@@ -208,8 +201,7 @@ def _online(spark: SparkSession, sf_dir: str) -> DataFrame:
     v.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
     use_rocksdb(spark)
     try:
-        stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 3).parquet(f"{base}/in")
-        events = detect_events_stream(stream)
+        events = detect_events_stream(spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 3).parquet(f"{base}/in"))
         query = events.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
         query.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
@@ -217,6 +209,21 @@ def _online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(events.schema).parquet(f"{base}/out")
 
 
+def _csv_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as two CSV dialects of differing column order, streamed into a table that is read back."""
+    base, v = scratch(spark, "csv-stream"), points(spark, sf_dir)
+    text = v.select("event_id", "MMSI", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("BaseDateTime"), "LAT", "LON", "SOG", "COG")
+    turned = text.where("event_id % 2 = 0").select("COG", "SOG", "event_id", "LON", "LAT", "MMSI", F.col("BaseDateTime").alias("timestamp"))
+    turned.write.option("header", True).option("sep", ";").csv(f"{base}/in/a")
+    text.where("event_id % 2 = 1").write.option("header", True).csv(f"{base}/in/b")
+    rows = read_csv_stream(spark, f"{base}/in", "*/*.csv", files_per_batch=4)
+    kinds = {"event_id": "bigint", "MMSI": "bigint", "LAT": "double", "LON": "double", "SOG": "double", "COG": "double"}
+    rows = with_timestamp(rows).select("ts", *(F.col(c).try_cast(k).alias(c) for c, k in kinds.items()))
+    query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+    query.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
 _ONLINE_SQL = f"""with {VIEW},
     r as (
       select MMSI, datesub('millisecond', timestamp '1970-01-01', ts) as ms, COG, SOG, Draft,
@@ -294,7 +301,23 @@ def _epochs(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("event_id", epoch_ms(raw).alias("ms"))
 
 
+def _with_nulls(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    return valid(spark, d).withColumns({"MMSI": F.when(n % 13 != 0, F.col("MMSI")), "ts": F.when(n % 17 != 0, F.col("ts"))})
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Reports as if they were timed runs."""
+    runs = valid(spark, d).select(F.col("event_type").alias("task"), (F.col("MMSI") % 3).cast("string").alias("engine"), F.col("SOG").alias("seconds"))
+    return timing_summary(runs).withColumns({c: F.round(c, 6) for c in ("median_s", "mean_s", "sd_s")})
+
+
 _IDS = "event_id, MMSI, ts, LAT, LON"
+_NULLS_VIEW = "p as (select * replace (case when event_id % 13 <> 0 then MMSI end as MMSI) from v where LAT between -90 and 90 and LON between -180 and 180 and event_id % 13 <> 0 and event_id % 17 <> 0)"
+#: An event as JSON text without null fields.
+_JSON_SQL = """'{"type":"' || type || '","MMSI":' || MMSI || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '"'
+    || coalesce(',"delta_deg":' || delta_deg, '') || coalesce(',"duration_min":' || duration_min, '') || coalesce(',"delta_m":' || delta_m, '')
+    || coalesce(',"gap_s":' || gap_s, '') || '}' as json"""
 
 
 def _catalogue() -> dict[str, tuple[Query, str | None]]:
@@ -352,7 +375,22 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "geofence_polygon": (lambda s, d: geofence(valid(s, d), POLYGON).select(*_ids()), f"with {VIEW} select {_IDS} from p where {_crossings('LON', 'LAT', POLYGON)}"),
         "epoch_ms": (_epochs, "select event_id, datesub('second', timestamp '1970-01-01', ts) * 1000 as ms from events"),
         "online_events_stream": (_online, _ONLINE_SQL),
-        "event_json": (lambda s, d: event_json(detect_events(valid(s, d))), None),
+        "event_json": (lambda s, d: event_json(detect_events(valid(s, d))), f"{ev} select {_JSON_SQL} from ev"),
+        "csv_stream_dialects": (_csv_stream, f"with {VIEW} select ts, event_id, MMSI, LAT, LON, SOG, COG from v"),
+        "events_null_keys": (lambda s, d: detect_events(_with_nulls(s, d)), ev.replace(VIEW.partition("p as (")[1] + VIEW.partition("p as (")[2], _NULLS_VIEW) + allev),
+        "dataset_projection": (
+            lambda s, d: TrackDataset.from_frame(points(s, d)).with_columns(["MMSI", "Heading", "SOG", "event_id", "ts"]).lazy(),
+            f"with {VIEW} select MMSI, SOG, event_id, ts from v",
+        ),
+        "dataset_sorted": (lambda s, d: TrackDataset.from_frame(points(s, d)).lazy(sort_rows=True).select(*_ids()), f"with {VIEW} select {_IDS} from p"),
+        "dataset_events": (
+            lambda s, d: TrackDataset.from_frame(points(s, d)).between(START, END).detect_events(gap_s=3600, turn_deg=45),
+            _events_sql(gap_s=3600, turn_deg=45).replace("from v where", f"from v where ts >= timestamp '{START}' and ts < timestamp '{END}' and") + allev,
+        ),
+        "timing_summary": (
+            _runs,
+            f"with {VIEW} select event_type as task, (MMSI % 3)::varchar as engine, count(*) as runs, round(median(SOG), 6) as median_s, round(avg(SOG), 6) as mean_s, round(stddev_samp(SOG), 6) as sd_s from p group by all",
+        ),
     }
     try:
         import h3  # noqa: F401

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
+from collections import defaultdict
+from functools import reduce
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.schema import canonical_names
-from tracklake.sources.files import _as_path, _dialect, discover_files
+from tracklake.sources.files import HEAD_BYTES, _as_path, _dialect, _head, discover_files
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -20,12 +23,50 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def read_csv_stream(spark: SparkSession, folder: str | os.PathLike, pattern: str = "*.csv", files_per_batch: int = 1) -> DataFrame:
-    """A stream over the CSV files of a folder, oldest first; the dialect is that of its first file."""
-    sep, header = _dialect(discover_files(folder, pattern, spark)[0], spark)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in canonical_names(header)])
-    reader = spark.readStream.schema(schema).options(header=True, sep=sep, maxFilesPerTrigger=files_per_batch, pathGlobFilter=pattern)
-    return reader.csv(_as_path(os.fspath(folder)))
+def read_csv_stream(
+    spark: SparkSession, folder: str | os.PathLike, pattern: str = "*.csv", files_per_batch: int | None = 1, rows_per_batch: int | None = None
+) -> DataFrame:
+    """A stream over the CSV files of a folder, oldest first, as text columns with canonical names.
+
+    Files are grouped by separator and header, as the batch scan does, and each
+    group is a source of its own; columns that a file lacks are null. If all
+    files are of one group, files that come later belong to it; otherwise the
+    stream covers the files that are there when it starts. ``rows_per_batch``
+    ends a batch with the file in which it reaches about so many rows.
+    """
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = defaultdict(list)
+    for path in discover_files(folder, pattern, spark):
+        groups[_dialect(path, spark)].append(path)
+    frames = []
+    for (sep, header), files in groups.items():
+        if not header:
+            continue
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in canonical_names(header)])
+        reader = spark.readStream.schema(schema).options(header=True, sep=sep)
+        if rows_per_batch:
+            lines = _head(files[0], HEAD_BYTES, spark).splitlines()
+            reader = reader.option("maxBytesPerTrigger", max(1, rows_per_batch * sum(map(len, lines)) // max(1, len(lines))))
+        elif files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        if len(groups) == 1:
+            frames.append(reader.option("pathGlobFilter", pattern).csv(_as_path(os.fspath(folder))))
+        else:
+            frames.append(reader.csv(_glob_of(files)))
+    if not frames:
+        raise ValueError(f"No file with a header matches {pattern} in {folder}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _glob_of(files: list[str]) -> str:
+    """One path pattern that stands for these files alone."""
+
+    def quoted(name: str) -> str:
+        return re.sub(r"([\\{}\[\],*?])", r"\\\1", name)
+
+    paths = [_as_path(f) for f in files]
+    folder = os.path.commonprefix([p.rpartition("/")[0] + "/" for p in paths]).rpartition("/")[0]
+    names = [p.removeprefix(folder + "/") for p in paths]
+    return f"{quoted(folder)}/" + "{" + ",".join(map(quoted, names)) + "}"  # a pattern, also for one file
 
 
 def event_json(events: DataFrame) -> DataFrame:
