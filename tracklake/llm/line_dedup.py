@@ -265,8 +265,9 @@ def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -
         keyed = keyed.join(grouped.hint("merge"), "id")
     else:
         labelled = common.materialize(distinct.select("id", "sim", "length").join(grouped.hint("merge"), "id"), "labelled-lines")
-        # No column is null; saying so here keeps such filters out of one side of the join, so that both share an exchange.
-        keyed = labelled.dropna().select("id", "length", "sim", "grp", "size", F.explode(keys).alias("key"))
+        # Always true, and what Spark would add to one side of the join only: said of both, it lets them share an exchange.
+        labelled = labelled.where("grp is not null and sim is not null and length is not null and size is not null")
+        keyed = labelled.select("id", "length", "sim", "grp", "size", F.explode(keys).alias("key"))
     common.free_shuffles(distinct.sparkSession)
     pairs = common.materialize(_crossing_pairs(keyed, near), "crossing-pairs")
     # One link joins two groups, however many lines of them are near.
