@@ -363,6 +363,19 @@ def test_toxicity_without_labels_or_rows(spoken):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_null_and_repeated_ids(spoken):
+    docs, labels, _ = spoken
+    spark = docs.sparkSession
+    odd = spark.createDataFrame([(None, "you nitwit"), (None, None), (5, "you nitwit"), (5, "a plain day"), (5, "you nitwit")], "doc_id bigint, text string")
+    both = docs.select("doc_id", "text").union(odd)
+    twice = labels.union(spark.createDataFrame([(5, 1, None), (None, 1, 1), (5, 0, 0)], "doc_id bigint, quality int, toxic int"))
+    rows = toxicity.toxicity(both, twice).collect()
+    got = sorted((str(r.doc_id), r.held_out, r.predicted) for r in rows if r.doc_id is None)
+    assert len(rows) == both.count() and got == [("None", False, 0), ("None", False, 1)]
+    fold = toxicity.fold_of(5) == 2
+    assert sorted((r.held_out, r.predicted) for r in rows if r.doc_id == 5)[-2:] == [(fold, 1), (fold, 1)]
+
+
 def test_kernel_by_definition():
     def slow(s, t):
         from itertools import combinations
@@ -463,6 +476,21 @@ def test_jaccard_on_nothing(spark):
     assert tuple(jaccard_join.similarity_classes(lone).first()) == (1, 1, 1, 0, True)
 
 
+def test_jaccard_on_null_and_repeated_ids(spark):
+    rng = random.Random(15)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    base, other, third = text(60), text(60), text(60)
+    near = base.rsplit(" ", 1)[0] + " end"
+    rows = [(None, base), (None, near), (7, other), (7, third), (8, third), (7, third), (9, base), (None, text(40)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.class_size, r.n_links, r.is_first) for r in jaccard_join.similarity_classes(df).collect())
+    want = [
+        ("7", "7", 1, 0, True), ("7", "7", 3, 0, True), ("7", "7", 3, 0, True), ("8", "7", 3, 0, False), ("9", "9", 3, 1, True),
+        ("None", "9", 3, 1, False), ("None", "9", 3, 1, False), ("None", "None", 1, 0, True), ("None", "None", 1, 0, True),
+    ]
+    assert got == sorted(want)
+
+
 def test_runs_reach_recall():
     assert jaccard_join.runs_for(0.999, 1) == 7 and jaccard_join.runs_for(0.999, 3) == 15
 

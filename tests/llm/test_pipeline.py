@@ -62,6 +62,26 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted(map(tuple, again)) == sorted(map(tuple, packed))
 
 
+def test_stages_on_null_and_repeated_ids(spark, corpus):
+    """Rows are dropped, not ids: different texts under one id stay, and one of equal rows does."""
+    place, _, _ = corpus
+    rng = random.Random(16)
+    text = lambda: " ".join("".join(rng.choices("mnpqrst", k=5)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, c), (5, d), (None, d + " end"), (6, e), (6, e), (None, None), (None, None), (7, b.replace(" ", "  "))]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    exact = corpus_pipeline.drop_copies(spark, docs, place)
+    assert exact.dtypes == docs.dtypes
+    left = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    want = [("3", a), ("5", b), ("None", c), ("5", d), ("None", d + " end"), ("6", e), ("None", "None")]
+    assert left(exact) == sorted(want)
+    near = corpus_pipeline.drop_near_copies(spark, docs, place)
+    assert left(near) == sorted([x for x in want if not x[1].endswith(" end")])
+    assert corpus_pipeline.drop_toxic(spark, docs, place).count() == len(rows)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), place).count() == 0
+    assert corpus_pipeline.drop_copies(spark, docs.limit(0), place).count() == 0
+
+
 def plain(value):
     return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else value
 

@@ -457,3 +457,14 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
     assert got == dict(enumerate(cases.values()))
     assert url_filter.judge_urls(df.limit(0)).count() == 0
+
+
+def test_urls_with_a_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Bad", 1.0), ("soso", 0.4), ("meh", 0.3), ("meh", None), ("low", 0.1), ("", 9.0), (None, 1.0)], "term string, weight double")
+    vocabulary = url_filter.load_vocabulary(terms)
+    assert vocabulary == [("bad", 1.0), ("low", 0.1), ("meh", 0.5), ("soso", 0.4)]
+    cases = {"http://a/BAD": "block", "http://a/badly": "allow", "http://a/soso-meh": "allow", "http://a/soso/soso/soso": "allow", "http://a/soso-meh-low": "block"}
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, (), vocabulary).collect()}
+    assert got == dict(enumerate(cases.values()))
+    assert {r.verdict for r in url_filter.judge_urls(df, (), ()).collect()} == {"allow"}
