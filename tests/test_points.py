@@ -207,3 +207,27 @@ def test_long_track_is_thinned_evenly(spark, tmp_path, monkeypatch):
     gaps = [b - a for a, b in zip(lats, lats[1:], strict=False)]
     assert len(lats) == 100 and (lats[0], lats[-1]) == (0.0, 10.0) and max(gaps) < 0.12 and min(gaps) > 0.09
     assert 'data-center="5.000000,0.000000"' in page
+
+
+def test_one_track_by_hour_equals_one_vessel(spark):
+    """Rows without vessels are windowed by hour; one vessel's rows in one window give the same, over hours with and without values."""
+    import random
+
+    rng = random.Random(21)
+    pick = lambda *values: rng.choice(values)
+    for _ in range(4):
+        at, rows = 0, []
+        for i in range(150):
+            at += pick(30, 300, 900, 2400, 9000)
+            cog = pick(None, None, float("nan"), 10.0, 50.0, 200.0) if rng.random() < 0.6 else rng.uniform(0, 360)
+            rows.append((1, at, 54 + i / 1000, 18 + rng.random(), pick(None, None, 0.1, 0.2, 0.3, 5.0, float("inf")), cog, pick(None, 5.0, 5.2, 6.0)))
+        if rng.random() < 0.5:
+            rows = [(*r[:5], None, r[6]) if n < 60 else r for n, r in enumerate(rows)]
+        df = spark.createDataFrame(rows, "MMSI bigint, s int, LAT double, LON double, SOG double, COG double, Draft double")
+        df = df.selectExpr("MMSI", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s) as ts", "LAT", "LON", "SOG", "COG", "Draft")
+        one, loose = detect_events(df).drop("MMSI"), detect_events(df.drop("MMSI")).drop("MMSI")
+        as_rows = lambda d: sorted(map(str, d.collect()))
+        assert as_rows(one) == as_rows(loose) and one.count() > 20
+        assert "Exchange hashpartitioning(__hour" in detect_events(df.drop("MMSI"))._jdf.queryExecution().executedPlan().toString()
+        for mode in ("lazy", "eager"):
+            assert as_rows(compute_stats(df, mode=mode).drop("MMSI")) == as_rows(compute_stats(df.drop("MMSI"), mode=mode))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.functions.geo import angle_diff_deg, haversine_km, is_finite
-from tracklake.plans.tracks import carried_forward, running, track_window, with_order, with_previous
+from tracklake.plans.tracks import (
+    HOUR, by_hour, carried_forward, first_of, handed, hours, hours_before, last_known, last_of, running, track_window, with_order, with_previous,
+)
 
 _METRICS = "points bigint, distance_km double, straight_km double, tortuosity double, turn_index_deg double, avg_sog double, max_sog double"
 #: Straight distances below this (km) count as this in the tortuosity.
@@ -44,8 +46,11 @@ def compute_stats(df: DataFrame, level: str = "mmsi", mode: str = "lazy") -> Dat
     points = df.select(*used).withColumns({c: _double(df, c) for c in ("LAT", "LON", "SOG", "COG")})
     w = track_window(key, order)
     here = F.struct("LAT", "LON", "COG")
-    if key is None and mode == "lazy" and "ts" in order:
+    single_track = key is None and "ts" in order
+    if single_track and mode == "lazy":
         points = with_previous(points, order, here)
+    elif single_track:
+        points = _eager_by_hour(points, order)
     else:
         points = points.withColumn("previous", F.lag(here).over(w))
     segment = haversine_km(F.col("previous.LAT"), F.col("previous.LON"), F.col("LAT"), F.col("LON"))
@@ -54,9 +59,10 @@ def compute_stats(df: DataFrame, level: str = "mmsi", mode: str = "lazy") -> Dat
         points = points.withColumn("turn", F.coalesce(angle_diff_deg(F.col("COG"), F.col("previous.COG")), F.lit(0.0)))
     else:
         # An unknown course at the start, or a NaN, leaves every later angle undefined, and undefined angles add nothing.
-        points = points.withColumn("course", carried_forward(F.col("COG"), w))
-        points = points.withColumn("lost", F.max(~is_finite(F.col("course"))).over(running(w)))
-        turn = angle_diff_deg(F.col("course"), F.lag("course").over(w))
+        if not single_track:
+            points = points.withColumn("course", carried_forward(F.col("COG"), w))
+            points = points.withColumns({"lost": F.max(~_known(F.col("course"))).over(running(w)), "previous_course": F.lag("course").over(w)})
+        turn = angle_diff_deg(F.col("course"), F.col("previous_course"))
         points = points.withColumn("turn", F.when(F.col("lost"), 0.0).otherwise(F.coalesce(turn, F.lit(0.0))))
     place, when = F.struct("LAT", "LON"), F.struct(*order)
     sums = (points.groupBy(key) if key else points.groupBy()).agg(
@@ -90,6 +96,32 @@ def compute_stats(df: DataFrame, level: str = "mmsi", mode: str = "lazy") -> Dat
     )
 
 
+def _known(course: Column) -> Column:
+    return F.coalesce(is_finite(course), F.lit(False))
+
+
+def _eager_by_hour(points: DataFrame, order: list[str]) -> DataFrame:
+    """One track of all rows, dealt by hour: each row with the place before it, its course, that before it, and whether one was lost."""
+    points, w, here = by_hour(points), track_window(HOUR, order), F.struct("LAT", "LON", "COG")
+    cog = F.col("COG")
+    table = points.groupBy(HOUR).agg(
+        last_of(here, order).alias("last"), last_known(cog, order).alias("cog"), first_of(F.struct(cog), order).alias("first"),
+        F.max(cog.isNotNull() & ~_known(cog)).alias("broken"),
+    )
+    table = table.withColumns({"h_last": F.lag("last").over(hours()), "h_course": F.last("cog", ignorenulls=True).over(hours_before())})
+    # A course is unknown in an hour if one reported there is, or if the hour starts without one and none is carried into it.
+    unknown = F.col("broken") | (F.col("first.COG").isNull() & ~_known(F.col("h_course")))
+    table = table.withColumn("unknown", unknown)
+    table = table.select(HOUR, "h_last", "h_course", F.coalesce(F.max("unknown").over(hours_before()), F.lit(False)).alias("h_lost"))
+    points = handed(points, table).withColumn("course", F.coalesce(carried_forward(cog, w), "h_course"))
+    first = F.lag(here).over(w).isNull()
+    return points.withColumns({
+        "previous": F.coalesce(F.lag(here).over(w), F.col("h_last")),
+        "previous_course": F.when(first, F.col("h_course")).otherwise(F.lag("course").over(w)),
+        "lost": F.col("h_lost") | F.max(~_known(F.col("course"))).over(running(w)),
+    })
+
+
 def compute_stats_eager(df: DataFrame, level: str = "mmsi") -> DataFrame:
     return compute_stats(df, level, mode="eager")
 

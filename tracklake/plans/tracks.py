@@ -41,16 +41,50 @@ def carried_forward(column: Column, window: WindowSpec) -> Column:
     return F.last(column, ignorenulls=True).over(running(window))
 
 
+HOUR = "__hour"
+
+
+def by_hour(rows: DataFrame) -> DataFrame:
+    """The rows of one track with the hour they belong to, in which they are windowed; hours are then tied together by ``handed``."""
+    return rows.withColumn(HOUR, F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")))
+
+
+def last_of(value: Column, order: Sequence[str]) -> Column:
+    """The value of an hour's last row."""
+    return F.max_by(value, F.struct(*order))
+
+
+def last_known(value: Column, order: Sequence[str]) -> Column:
+    """The last value of an hour that is not null."""
+    return F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
+
+
+def first_of(value: Column, order: Sequence[str]) -> Column:
+    """The value of an hour's first row."""
+    return F.min_by(value, F.struct(*order))
+
+
+def hours() -> WindowSpec:
+    """The table of hours in order: a row for each hour, so one task holds it."""
+    return Window.orderBy(HOUR)
+
+
+def hours_before() -> WindowSpec:
+    return hours().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def handed(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """``rows`` with what ``summary``, a table with a row for each hour only, holds for their hour."""
+    return rows.join(summary.withColumnRenamed(HOUR, "__from"), F.col(HOUR).eqNullSafe(F.col("__from"))).drop("__from")
+
+
 def with_previous(rows: DataFrame, order: Sequence[str], value: Column, name: str = "previous") -> DataFrame:
-    """Each row with ``value`` of the row before it in one track of all rows, without one task for all of them.
+    """Each row with ``value`` (not null) of the row before it in one track of all rows, without one task for all of them.
 
-    Rows are windowed hour by hour. The last value of each hour, a table with a
-    row for each hour only, is handed to the first row of the next one.
+    The last value of each hour is handed to the first row of the next one.
     """
-    rows = rows.withColumn("__hour", F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")))
-    tails = rows.groupBy("__hour").agg(F.max_by(value, F.struct(*order)).alias("tail"))
-    before = F.lag("tail").over(Window.orderBy("__hour"))
-    handed = tails.select(F.col("__hour").alias("__from"), before.alias("__before"))
-    own = F.lag(value).over(Window.partitionBy("__hour").orderBy(*order))
-    joined = rows.withColumn(name, own).join(handed, F.col("__hour").eqNullSafe(F.col("__from")))
-    return joined.withColumn(name, F.coalesce(F.col(name), F.col("__before"))).drop("__hour", "__from", "__before")
+    rows = by_hour(rows)
+    tails = rows.groupBy(HOUR).agg(last_of(value, order).alias("tail"))
+    own = F.lag(value).over(track_window(HOUR, order))
+    joined = handed(rows.withColumn(name, own), tails.select(HOUR, F.lag("tail").over(hours()).alias("__before")))
+    return joined.withColumn(name, F.coalesce(F.col(name), F.col("__before"))).drop(HOUR, "__before")

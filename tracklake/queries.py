@@ -327,6 +327,7 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "traj_stats": (lambda s, d: _rounded(compute_stats(valid(s, d))), _stats_sql("select * from p")),
         "traj_stats_eager": (lambda s, d: _rounded(compute_stats(valid(s, d), mode="eager")), _stats_sql("select * from p", eager=True)),
         "traj_stats_global": (lambda s, d: _rounded(compute_stats(valid(s, d).drop("MMSI"))), _stats_sql("select * from p", key=False)),
+        "traj_stats_global_eager": (lambda s, d: _rounded(compute_stats(valid(s, d).drop("MMSI"), mode="eager")), _stats_sql("select * from p", key=False, eager=True)),
         "traj_stats_single_point": (
             lambda s, d: _rounded(compute_stats(_first_rows(valid(s, d)), mode="eager")),
             _stats_sql(f"select * from p qualify row_number() over ({_W}) = 1", eager=True),
