@@ -207,6 +207,8 @@ def test_long_track_is_thinned_evenly(spark, tmp_path, monkeypatch):
     gaps = [b - a for a, b in zip(lats, lats[1:], strict=False)]
     assert len(lats) == 100 and (lats[0], lats[-1]) == (0.0, 10.0) and max(gaps) < 0.12 and min(gaps) > 0.09
     assert 'data-center="5.000000,0.000000"' in page
+    page = viz.plot_track_html(df, tmp_path / "all.html", every_point=True).read_text(encoding="utf-8")
+    assert len(json.loads(re.search('id="track">(.*)</script>', page)[1])) == 1001
 
 
 def test_one_track_by_hour_equals_one_vessel(spark):

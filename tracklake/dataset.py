@@ -157,11 +157,11 @@ class TrackDataset:
         df = self.lazy(with_ts=True)
         return detect_events(df, turn_deg, stop_sog, stop_min, draft_jump_m, gap_s, "MMSI", include_draft_changes, sort_output)
 
-    def plot_map(self, out_html: str | os.PathLike, mmsi: int | Sequence[int] | None = None) -> Path:
+    def plot_map(self, out_html: str | os.PathLike, mmsi: int | Sequence[int] | None = None, every_point: bool = False) -> Path:
         df = self.lazy(with_ts=True)
         if mmsi is not None:
             df = df.where(F.col("MMSI").isin([int(v) for v in _listed(mmsi)]))
-        return plot_track_html(df, out_html)
+        return plot_track_html(df, out_html, every_point=every_point)
 
 
 def _prune_folders(df: DataFrame, start: datetime, end: datetime) -> DataFrame:

@@ -23,8 +23,12 @@ _PAGE = """<!DOCTYPE html>
 """
 
 
-def plot_track_html(df: DataFrame, out_html: str | os.PathLike, title: str = "Track") -> Path:
-    """Write the track of ``df``, in time order, centred on its mean position."""
+def plot_track_html(df: DataFrame, out_html: str | os.PathLike, title: str = "Track", every_point: bool = False) -> Path:
+    """Write the track of ``df``, in time order, centred on its mean position.
+
+    A page of more than MOST_POINTS is drawn only if ``every_point`` asks for
+    it; the driver then holds all points of the track.
+    """
     if not {"LAT", "LON"} <= set(df.columns):
         raise ValueError("LAT and LON are required")
     points = df.where(F.col("LAT").isNotNull() & F.col("LON").isNotNull())
@@ -34,7 +38,7 @@ def plot_track_html(df: DataFrame, out_html: str | os.PathLike, title: str = "Tr
         raise ValueError("There are no points to draw")
     points = points.orderBy(*order) if order else points
     rows = points.select("LAT", "LON")
-    if n > MOST_POINTS:
+    if n > MOST_POINTS and not every_point:
         # A thinned track is drawn; the draw is bounded, the analysis is not. Of the ranks, those where the scaled rank grows stay.
         most = MOST_POINTS - 1
         ranked = rows.rdd.zipWithIndex().filter(lambda x: x[1] == 0 or x[1] * most // (n - 1) > (x[1] - 1) * most // (n - 1))
