@@ -469,6 +469,36 @@ def test_jaccard_classes(spark, monkeypatch, small):
     assert not wrong and max(v[2] for v in want.values()) > 10
 
 
+def test_large_groups_of_close_copies(spark, monkeypatch):
+    """Groups with a core that is not compared, sets around it, and another core that chains to it."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(3000)]
+    texts, compared = [], []
+    for spread in (2, 6, 12):
+        base = rng.choices(vocabulary, k=400)
+        for _ in range(60):
+            own = list(base)
+            for _ in range(rng.randint(0, spread)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+        second = list(base)
+        second[100:122] = rng.choices(vocabulary, k=22)
+        for _ in range(40):
+            own = list(second)
+            own[rng.randrange(400)] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+    plain = jaccard_join._compare_blocks
+    monkeypatch.setattr(jaccard_join, "_compare_blocks", lambda rows: compared.append(rows.count()) or plain(rows))
+    rows = list(enumerate(texts))
+    want = brute_classes(rows)
+    got = {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and len({v[2] for v in want.values()}) > 5
+    assert compared[0] < 3 * 100 * -(-100 // 16)
+    close = spark.createDataFrame(rows[:60], "doc_id bigint, text string")
+    assert {(r.class_id, r.class_size) for r in jaccard_join.similarity_classes(close).collect()} == {(0, 60)} and compared[1] < 60
+
+
 def test_jaccard_on_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard_join.similarity_classes(empty).count() == 0

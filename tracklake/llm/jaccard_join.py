@@ -12,7 +12,9 @@ Comparing in buckets uses minhash sketches, and keeps only a spanning forest of
 the similar sets, so no list of all pairs in a bucket is ever made. The forests
 give candidate groups. Within each group all sets are then compared exactly, in
 blocks, by products of sparse incidence blocks; these blocks count links and
-again pass on only spanning forests, whose components are the classes.
+again pass on only spanning forests, whose components are the classes. In a
+large group, sets within half of the allowed distance of one leader are linked
+to each other by the triangle inequality, and are not compared.
 
 Copies (equal shingle sets) are joined first and appear once in all this. The
 shuffles carry ids and sketches; full sets are made again only for members of
@@ -510,17 +512,64 @@ def _exact(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> tuple[DataFra
         held = held.union(texts.where("doc_id is null"))
     found = _shingles_of(held.select("doc_id", "text")).join(chosen.select("set_key", "rep").hint("merge"), "set_key")
     shingles = common.materialize(found.groupBy("rep").agg(F.first("shingles").alias("shingles")), "member-sets")
-    sizes = common.materialize(chosen.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = chosen.join(sizes.hint("merge"), "grp").select("rep", "texts", "grp", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("own"))
-    pairs = blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = common.materialize(_with_core(chosen, shingles), "core-sets")
+    core = F.col("core").cast("int")
+    sizes = members.groupBy("grp").agg(
+        F.sum(1 - core).alias("loose"), F.sum(core).alias("tight"), F.sum(F.col("texts") * core).alias("core_texts"), F.max("leader").alias("leader")
+    )
+    members = common.materialize(members.drop("leader").join(sizes.hint("merge"), "grp"), "sized-members")
+    # Sets outside a core are compared with each other in blocks, each pair of blocks once, ...
+    parts = F.ceil(F.col("loose") / BLOCK).cast("int")
+    loose = members.where("not core").select("rep", "texts", "grp", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("own"))
+    pairs = loose.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keyed = pairs.select(
         "rep", "texts", "grp", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).cast("int").alias("side")
     )
+    # ... and with the core's; blocks of the core have negative numbers.
+    other = F.ceil(F.col("tight") / BLOCK).cast("int")
+    crossed = members.where("loose > 0 and tight > 0").select("rep", "texts", "grp", "core", parts.alias("parts"), other.alias("other"))
+    crossed = crossed.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("core"), F.col("other")).otherwise(F.col("parts"))).cast("int"))
+    crossed = crossed.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("core"), F.col("parts")).otherwise(F.col("other")) - 1)))
+    i, j = F.when(F.col("core"), F.col("k")).otherwise(F.col("own")), F.when(F.col("core"), F.col("own")).otherwise(F.col("k"))
+    keyed = keyed.union(crossed.select("rep", "texts", "grp", i.alias("i"), (-1 - j).alias("j"), F.col("core").cast("int").alias("side")))
     found = common.materialize(_compare_blocks(keyed.join(shingles.hint("merge"), "rep")), "links")
-    links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    final = connected_components(found.where("other is not null"), "rep", "other")
-    return common.materialize(links, "link-counts"), final
+    # Sets of a core link to each other without being compared.
+    tight = members.where("core").select("rep", "leader", (F.col("core_texts") - F.col("texts")).alias("links"))
+    links = found.where("other is null").select("rep", "links").union(tight.select("rep", "links")).groupBy("rep").agg(F.sum("links").alias("links"))
+    edges = found.where("other is not null").select("rep", "other").union(tight.select("rep", "leader"))
+    return common.materialize(links, "link-counts"), connected_components(edges, "rep", "other")
+
+
+def _with_core(chosen: DataFrame, shingles: DataFrame) -> DataFrame:
+    """``chosen`` with leader and core: whether a set belongs to the core of a group of more than BLOCK sets.
+
+    The Jaccard distance is a metric, so any two sets within half of the limit
+    of one set, the group's leader, are within the limit of each other: a
+    large group of close copies needs as many comparisons as it has sets.
+    """
+    sizes = chosen.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader"))
+    sized = common.materialize(chosen.select("rep", "texts", "grp").join(sizes.hint("merge"), "grp"), "group-sizes")
+    large = sized.where(F.col("n") > BLOCK)
+    shown = sized.select("rep", "texts", "grp", F.lit(None).cast("bigint").alias("leader"), F.lit(False).alias("core"))
+    if large.isEmpty():
+        return shown
+    leaders = large.select("leader").distinct().join(shingles.select(F.col("rep").alias("leader"), F.col("shingles").alias("first")).hint("merge"), "leader")
+    leaders = common.materialize(leaders, "leader-sets")
+    both = common.materialize(large.select("rep", "leader").join(shingles.hint("merge"), "rep"), "large-groups").join(leaders.hint("merge"), "leader")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, first in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                a, b = np.frombuffer(own, "<u8"), np.frombuffer(first, "<u8")
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                # A little stricter than half of the limit, against rounding.
+                out.append(shared >= (1 - (1 - SIMILARITY) / 2 + 1e-9) * (len(a) + len(b) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_())], ["rep", "is_core"])
+
+    measured = common.materialize(both.select("rep", "shingles", "first").mapInArrow(measure, "rep bigint, is_core boolean"), "core-distances")
+    joined = sized.join(measured.hint("merge"), "rep", "left")
+    return joined.select("rep", "texts", "grp", F.when(F.col("n") > BLOCK, F.col("leader")).alias("leader"), F.coalesce("is_core", F.lit(False)).alias("core"))
 
 
 #: Every pair of texts with a common shingle, and components by recursion: for small tables.
