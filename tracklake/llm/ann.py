@@ -3,9 +3,9 @@
 Centroids are fitted on a bounded sample. Every vector is put into the list of
 its nearest centroid and, near a border, into those of further centroids within
 a distance ratio, looked up in a neighbour graph that each task holds in memory.
-A query searches the same graph and reads the lists of all centroids within a
-distance ratio of its nearest one, and of some nearest ones at least. The ratio
-is not fixed: a sample of queries is answered by brute force, and the ratio is
+A query searches the same graph for some number of nearest centroids and reads
+the lists of those within a distance ratio of the nearest one. Neither is fixed:
+a sample of queries is answered by brute force, and the number and the ratio are
 what those need for the target recall. A query that finds too few vectors so
 reads all lists. Long lists are cut into blocks, so no task holds more than a
 block however many vectors crowd around one centroid.
@@ -177,27 +177,12 @@ def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def probes_of(graph: CentroidGraph, x: np.ndarray, ratio: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) for the centroids within ``ratio`` of each row's nearest one, and LEAST_PROBES at least.
-
-    The graph is searched for ``width`` of them; rows for which that is not
-    enough are compared with all centroids.
-    """
-    n = len(graph.centroids)
+    """(row, list) for those of each row's ``width`` nearest centroids that are within ``ratio`` of the nearest, and LEAST_PROBES at least."""
     found, dist = graph.search(x, max(width, LEAST_PROBES))
-    limit = ratio * dist[:, :1] + 1e-12
-    keep = dist <= limit
+    keep = np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-12)
     keep[:, :LEAST_PROBES] = np.isfinite(dist[:, :LEAST_PROBES])
-    more = np.flatnonzero(keep[:, -1] & (found.shape[1] < n))
-    keep[more] = False
     rows, at = np.nonzero(keep)
-    lists = found[rows, at]
-    if len(more):
-        d = np.sqrt(_distances(x[more], graph.centroids))
-        near = d <= limit[more]
-        np.put_along_axis(near, np.argpartition(d, min(LEAST_PROBES, n) - 1, axis=1)[:, :LEAST_PROBES], True, 1)
-        own, other = np.nonzero(near)
-        rows, lists = np.concatenate([rows, more[own]]), np.concatenate([lists, other])
-    return rows, lists
+    return rows, found[rows, at]
 
 
 def all_lists(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +239,7 @@ def _true_neighbours(entries: DataFrame, ids: np.ndarray, x: np.ndarray, k: int)
 
 
 def probes_for(entries: DataFrame, wanted: DataFrame, graph: CentroidGraph, k: int) -> tuple[float, int]:
-    """The ratio within which CALIBRATED_RECALL of the true neighbours of a sample of the queries lie, and how many lists that mostly is."""
+    """The distance ratio, and the number of nearest lists, that together leave CALIBRATED_RECALL of the true neighbours of a sample of the queries."""
     n = len(graph.centroids)
     if n <= LEAST_PROBES:
         return 1.0, n
@@ -272,10 +257,12 @@ def probes_for(entries: DataFrame, wanted: DataFrame, graph: CentroidGraph, k: i
     order = np.sort(d, axis=1)
     first = np.full(true.num_rows, np.inf)  # the distance of the nearest list that holds each neighbour
     np.minimum.at(first, rows, d[query[rows], lists])
+    place = (order[query] < first[:, None]).sum(1) + 1
     # What the nearest lists hold anyway needs no ratio.
-    needed = np.where(first <= order[query, LEAST_PROBES - 1], 1.0, first / np.maximum(order[query, 0], 1e-12))
-    ratio = float(np.sort(needed)[math.ceil(CALIBRATED_RECALL * len(needed)) - 1]) * (1 + 1e-9)
-    return ratio, int(np.quantile((d <= ratio * order[:, :1]).sum(1), 0.9)) + 1
+    needed = np.where(place <= LEAST_PROBES, 1.0, first / np.maximum(order[query, 0], 1e-12))
+    # Each of the two limits may lose half of what may be lost.
+    at = math.ceil((1 + CALIBRATED_RECALL) / 2 * len(needed)) - 1
+    return float(np.sort(needed)[at]) * (1 + 1e-9), int(np.sort(place)[at])
 
 
 def _compare(rows: DataFrame, keep: int) -> DataFrame:
