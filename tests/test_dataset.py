@@ -235,3 +235,16 @@ def test_benchmark_command(spark, tmp_path):
     assert len((out / "benchmark_summary.csv").read_text().splitlines()) == 4
     assert benchmark.main([*args[:-1], "--skip-events"], spark) == 0
     assert len(json.loads((out / "benchmark_summary.json").read_text())) == 2
+
+
+def test_numbers_in_text_columns(spark):
+    """The cast by first characters reads what the plain cast reads."""
+    from pyspark.sql import functions as F
+
+    from tracklake.functions.parsing import number_from_text
+
+    texts = ["1", " 2", "+3", "-4 ", "5.5", ".5", "NaN", "nan", "Infinity", "-inf", "inf", "1e3", "IMO7", "n/a", "", " ", None, "x", "٣", "\t6", "\n7", "1 2", "0x1", "1L", "1d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind in ("bigint", "double"):
+        rows = df.select("t", number_from_text(F.col("t"), kind).cast("string").alias("a"), F.col("t").try_cast(kind).cast("string").alias("b")).collect()
+        assert [(r.t, r.a) for r in rows] == [(r.t, r.b) for r in rows]

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.dataset import TrackDataset
-from tracklake.scratch import scratch
+from tracklake.scratch import COMPILE_ALL, scratch
 from tracklake.sources.sinks import write_table
 from tracklake.streaming import detect_events_stream, read_csv_stream, write_json_lines
 from tracklake.streaming.sources import use_rocksdb
@@ -32,6 +32,8 @@ def _session() -> tuple[SparkSession, bool]:
     if active is not None:
         return active, False
     builder = SparkSession.builder.appName("tracklake").config("spark.sql.session.timeZone", "UTC")
+    # Wide scans make methods that the JVM would only interpret.
+    builder = builder.config("spark.driver.extraJavaOptions", COMPILE_ALL).config("spark.executor.extraJavaOptions", COMPILE_ALL)
     return builder.config("spark.ui.showConsoleProgress", "false").getOrCreate(), True
 
 

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.functions.parsing import to_long, with_timestamp
+from tracklake.functions.parsing import number_from_text, to_long, with_timestamp
 from tracklake.operators.events import detect_events
 from tracklake.operators.stats import compute_stats
 from tracklake.schema import NUMERIC, TYPED, available_message, existing_columns
@@ -114,7 +114,10 @@ class TrackDataset:
             df = df.select(*existing_columns(df.columns, self._selected, ("ts",) if need_ts else ()))
         kinds = NUMERIC | TYPED if self.typed else NUMERIC
         have = dict(df.dtypes)
-        df = df.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items() if c in have and have[c] != k})
+        df = df.withColumns({
+            c: number_from_text(F.col(c), k) if have[c] == "string" and k in ("bigint", "int", "double") else F.col(c).try_cast(k)
+            for c, k in kinds.items() if c in have and have[c] != k
+        })
         if {"LAT", "LON"} <= set(df.columns):
             df = df.where(valid_geo())
         if sort_rows:

@@ -1,4 +1,4 @@
-"""Folders for what a job writes for itself."""
+"""What a job needs of its session: folders for what it writes for itself, and a Java option."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Java option: also compile methods beyond 8,000 bytes of code, as Spark generates for scans of many columns.
+COMPILE_ALL = "-XX:-DontCompileHugeMethods"
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which the driver and all executors can reach.
 
