@@ -400,6 +400,38 @@ def test_line_dedup_by_the_wide_rule(spark):
     assert sum(r.kept for r in decided) < len(lines) / 2
 
 
+def test_near_lines_are_compared_few_times(spark, monkeypatch):
+    """The lines of one group cost about one comparison each, not one for each pair."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(80):
+        own = list(base)
+        for _ in range(3):
+            own[rng.randrange(len(own))] = word()
+        rows.append((i, " ".join(own)))
+    compared, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    decided = line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id bigint, text string"), rule=line_dedup.WIDE).collect()
+    assert max(r.copies for r in decided) > 60 and sum(compared) < 4 * len(rows)
+
+
+def test_line_keys_are_not_shuffled(spark, monkeypatch):
+    """A line is dealt once for each block that begins a choice, not once for each choice."""
+    rng = random.Random(16)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12))) for i in range(40)]
+    plans, materialize = {}, common.materialize
+
+    def seen(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, tag)
+
+    monkeypatch.setattr(common, "materialize", seen)
+    assert line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id bigint, text string"), rule=line_dedup.WIDE).count() == 40
+    assert "hashpartitioning(host" in plans["crossing-pairs"] and "hashpartitioning(key" not in plans["crossing-pairs"]
+
+
 def test_lines_of_repeated_and_null_ids(spark):
     rows = [
         (9, "shared line here"), (9, "lonely line\nfoo\nshared line here"), (None, "unique first\nshared line here"),

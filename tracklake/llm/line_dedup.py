@@ -36,11 +36,12 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm import common
@@ -52,8 +53,12 @@ SIMILARITY = 0.8
 TRIPLES, TRIPLE_BITS = 8, 22
 #: Lines of at most so many words or characters are also looked up by what is left without one of them.
 FEW_WORDS, FEW_CHARACTERS = 12, 24
-#: Distinct words that the fields of a vote hold; lines that may have more are counted bit by bit.
-MOST_WORDS = 2**20 - 1
+#: Distinct words that the fields of a vote hold, seven fields and three in a sum; lines that may have more are counted bit by bit.
+FEW_VOTES, MOST_WORDS = 2**8 - 1, 2**20 - 1
+#: Lines of groups of at most so many are compared with all of a bucket, also with lines of their own group.
+SMALL_GROUP = 32
+#: Characters of the pieces, at least, whose edit distances add up to an upper bound, and of the texts by which pieces are aligned.
+PIECE, ANCHOR = 32, 12
 _LAST = 2**63 - 1
 #: Both sides of a pair, as (id, SimHash, length) columns, to a condition.
 Near = Callable[[Column, Column, Column, Column, Column], Column]
@@ -108,18 +113,26 @@ def _simhashes(lines: DataFrame) -> DataFrame:
     """row, doc_id, text_key, pos, k1, k2, length, sim of every line with a word."""
     keys = ["row", "doc_id", "text_key", "pos", "k1", "k2", "length"]
     lines = lines.where(F.length("norm") > 0).withColumn("length", F.length("norm"))
+    spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
     # A line has at most half as many words as characters, and one.
-    few = lines.where(F.col("length") < 2 * MOST_WORDS).select(*keys, F.explode(_words()).alias("h"))
-    # Bits i, i + 21 and i + 42 of the hashes are counted in three fields of one sum.
-    three = 1 | 1 << 21 | 1 << 42
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(three))).alias(f"v{i}") for i in range(21)]
-    votes.append(F.sum(F.shiftrightunsigned("h", 63)).alias("v21"))
-    sums = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *votes)
-    # A field with 2 * votes + (2**20 - 1 - n) has its bit 20 set if more than half of the words voted.
-    half = (F.lit(MOST_WORDS) - F.col("n")) * F.lit(three)
-    sim = F.when(F.col("v21") * 2 > F.col("n"), F.lit(-(2**63))).otherwise(F.lit(0)).cast("bigint")
-    for i in range(21):
-        won = F.shiftrightunsigned(F.col(f"v{i}") * 2 + half, 20).bitwiseAND(F.lit(three))
+    few, more = spaces < FEW_VOTES, (spaces >= FEW_VOTES) & (F.col("length") < 2 * MOST_WORDS)
+    return _majorities(lines.where(few), keys, FEW_VOTES).union(_majorities(lines.where(more), keys, MOST_WORDS))
+
+
+def _majorities(lines: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``keys`` and sim of lines of at most ``most`` distinct words, one less than a power of two."""
+    width = most.bit_length() + 1
+    words = lines.select(*keys, F.explode(_words()).alias("h"))
+    # Bits i, i + width and so on of the hashes are counted in the fields of one sum; 63 is a multiple of the width.
+    ones = sum(1 << at for at in range(0, 63, width))
+    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(ones))).alias(f"v{i}") for i in range(width)]
+    votes.append(F.sum(F.shiftrightunsigned("h", 63)).alias("last"))
+    sums = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *votes)
+    # A field with 2 * votes + (most - n) has its highest bit set if more than half of the words voted.
+    half = (F.lit(most) - F.col("n")) * F.lit(ones)
+    sim = F.when(F.col("last") * 2 > F.col("n"), F.lit(-(2**63))).otherwise(F.lit(0)).cast("bigint")
+    for i in range(width):
+        won = F.shiftrightunsigned(F.col(f"v{i}") * 2 + half, width - 1).bitwiseAND(F.lit(ones))
         sim = sim.bitwiseOR(F.shiftleft(won, i))
     return sums.select(*keys, sim.alias("sim"))
 
@@ -145,8 +158,8 @@ def _masks(blocks: int) -> list[int]:
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 
-def block_keys(sim: Column, blocks: int, agree: int | None = None) -> Column:
-    """An array of keys, one for each choice of ``agree`` (``blocks - MOST_BITS``) blocks of a SimHash.
+def _block_keys(sim: Column, blocks: int, agree: int | None = None) -> list[Column]:
+    """Keys, one for each choice of ``agree`` (``blocks - MOST_BITS``) blocks of a SimHash.
 
     A key of few bits is the blocks themselves behind the number of the choice, which takes less room in a shuffle than a hash.
     """
@@ -159,7 +172,36 @@ def block_keys(sim: Column, blocks: int, agree: int | None = None) -> Column:
         for i in choice:
             key = F.shiftleft(key, width).bitwiseOR(parts[i])
         keys.append(key if width * agree <= 40 else F.xxhash64(F.lit(n), *(parts[i] for i in choice)))
-    return F.array(*keys)
+    return keys
+
+
+def block_keys(sim: Column, blocks: int, agree: int | None = None) -> Column:
+    """The same as an array."""
+    return F.array(*_block_keys(sim, blocks, agree))
+
+
+def _hosted(lines: DataFrame, rule: Rule) -> DataFrame:
+    """The lines once for each block that is the first of some choice, dealt by ``host``, the number and value of that block.
+
+    Lines with a key in common have the host of that key in common, so the keys
+    are formed where the lines lie, and only the few hosts of a line are shuffled.
+    """
+    firsts = range(rule.blocks - rule.agree + 1)
+    values = [F.shiftrightunsigned("sim", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")) for lo, hi in _borders(rule.blocks)]
+    hosts = F.array(*(F.shiftleft(F.lit(i).cast("bigint"), 56).bitwiseOR(values[i]) for i in firsts))
+    return lines.withColumn("host", F.explode(hosts)).repartition("host")
+
+
+def _hosted_keys(rule: Rule) -> Column:
+    """The keys of a line of ``_hosted`` that belong to its host."""
+    choices = list(combinations(range(rule.blocks), rule.agree))
+    keys = _block_keys(F.col("sim"), rule.blocks, rule.agree)
+    first = F.shiftrightunsigned("host", 56)
+    out = F.lit(None)
+    for i in range(rule.blocks - rule.agree + 1):
+        own = [n for n, choice in enumerate(choices) if choice[0] == i]
+        out = F.when(first == i, F.array(*(keys[n] for n in own))).otherwise(out)
+    return out
 
 
 def _allowed(longer: Column) -> Column:
@@ -217,6 +259,24 @@ def _leader_pairs(keyed: DataFrame, near: Near) -> DataFrame:
     return found.where(rule).select("a", F.col("id").alias("b")).distinct()
 
 
+def _small_crossing_pairs(hosted: DataFrame, by: Rule, near: Near) -> DataFrame:
+    """a, b, a_grp, b_grp: lines of one key and different groups that may be near, one of them of a group of at most ``SMALL_GROUP``.
+
+    ``hosted`` has host, id, sim, length, grp, size. Lines of larger groups are on
+    one side only, so a bucket costs at most ``SMALL_GROUP`` comparisons a line
+    beside those of different groups.
+    """
+    columns = ["id", "sim", "length", "grp", "size"]
+    # An outer explode, and a size in the condition: no filter or column is then taken below one side's exchange only, and both share it.
+    keys = _hosted_keys(by)
+    a = hosted.select("host", *(F.col(c).alias(f"a_{c}") for c in columns), F.explode_outer(F.when(F.col("size") <= SMALL_GROUP, keys)).alias("key"))
+    b = hosted.select("host", *columns, F.explode_outer(keys).alias("key"))
+    once = (F.col("size") > SMALL_GROUP) | (F.col("a_id") < F.col("id"))
+    rule = once & (F.col("grp") != F.col("a_grp")) & near(*map(F.col, ("key", "sim", "a_sim", "length", "a_length")))
+    found = a.join(b.hint("merge"), ["key", "host"]).where(rule)
+    return found.select(F.col("a_id").alias("a"), F.col("id").alias("b"), "a_grp", F.col("grp").alias("b_grp"))
+
+
 def _crossing_pairs(keyed: DataFrame, near: Near) -> DataFrame:
     """a, b, a_grp, b_grp: lines of one bucket and different groups that may be near.
 
@@ -231,7 +291,7 @@ def _crossing_pairs(keyed: DataFrame, near: Near) -> DataFrame:
     # The sum of sizes is always positive; it keeps both sides' columns alike, so that they share one exchange.
     rule = once & (F.col("grp") != F.col("a_grp")) & near(*map(F.col, ("key", "sim", "a_sim", "length", "a_length"))) & (F.col("size") + F.col("a_size") > 0)
     found = a.join(keyed.hint("merge"), "key").where(rule)
-    return found.select(F.col("a_id").alias("a"), F.col("id").alias("b"), "a_grp", F.col("grp").alias("b_grp")).distinct()
+    return found.select(F.col("a_id").alias("a"), F.col("id").alias("b"), "a_grp", F.col("grp").alias("b_grp"))
 
 
 def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -> DataFrame:
@@ -248,7 +308,6 @@ def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -
             return _fits(length, a_length) & (free | (F.bit_count(sim.bitwiseXOR(a_sim)) <= TRIPLE_BITS))
     else:
         keys = block_keys(F.col("sim"), rule.blocks, rule.agree)
-        keyed = distinct.select("id", "sim", "length", F.explode(keys).alias("key"))
         first = distinct.select("id", "sim", "length", F.explode(block_keys(F.col("sim"), MOST_BITS + 1)).alias("key"))
 
         def near(key: Column, sim: Column, a_sim: Column, length: Column, a_length: Column) -> Column:
@@ -262,20 +321,59 @@ def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -
     grouped = grouped.join(sizes.hint("merge"), "grp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     grouped = common.materialize(grouped.select("id", "grp", "size"), "leader-groups")
     if by_edits:
-        keyed = keyed.join(grouped.hint("merge"), "id")
+        pairs = _crossing_pairs(keyed.join(grouped.hint("merge"), "id"), near)
     else:
         labelled = common.materialize(distinct.select("id", "sim", "length").join(grouped.hint("merge"), "id"), "labelled-lines")
         # Always true, and what Spark would add to one side of the join only: said of both, it lets them share an exchange.
         labelled = labelled.where("grp is not null and sim is not null and length is not null and size is not null")
-        keyed = labelled.select("id", "length", "sim", "grp", "size", F.explode(keys).alias("key"))
+        pairs = _small_crossing_pairs(_hosted(labelled, rule), rule, near)
+        large = labelled.where(F.col("size") > SMALL_GROUP)
+        if not large.isEmpty():
+            keyed = large.select("id", "length", "sim", "grp", "size", F.explode(keys).alias("key"))
+            pairs = pairs.union(_crossing_pairs(keyed, near))
     common.free_shuffles(distinct.sparkSession)
-    pairs = common.materialize(_crossing_pairs(keyed, near), "crossing-pairs")
-    # One link joins two groups, however many lines of them are near.
-    links = common.materialize(_verified(pairs, distinct, lines).select("a_grp", "b_grp").distinct(), "crossing-links")
-    joined = connected_components(links, "a_grp", "b_grp").select(F.col("node").alias("grp"), "label")
+    with _dealt_by_some_keys(distinct.sparkSession):
+        pairs = common.materialize(pairs.distinct(), "crossing-pairs")
+    joined = _joined_groups(pairs, distinct, lines)
     return grouped.join(joined.hint("merge"), "grp", "left").select("id", F.coalesce("label", "grp").alias("label"))
 
 
+def _joined_groups(pairs: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """grp, label: groups that some near pair joins to another one.
+
+    One link joins two groups, however many pairs of lines would; so each group is
+    first compared with the smallest one beside it, and then only the pairs that
+    are still in different groups.
+    """
+
+    def linked(some: DataFrame, tag: str) -> DataFrame:
+        return common.materialize(_verified(some, distinct, lines).select("a_grp", "b_grp").distinct(), tag)
+
+    low, high = F.least("a_grp", "b_grp"), F.greatest("a_grp", "b_grp")
+    first = pairs.groupBy(high.alias("high")).agg(F.min(F.struct(low.alias("low"), "a", "b", "a_grp", "b_grp")).alias("pair"))
+    links = linked(common.materialize(first.select("pair.a", "pair.b", "pair.a_grp", "pair.b_grp"), "first-pairs"), "first-links")
+    joined = connected_components(links, "a_grp", "b_grp")
+    rest = pairs
+    for end in ("a", "b"):
+        named = joined.select(F.col("node").alias(f"{end}_grp"), F.col("label").alias(f"{end}_label"))
+        rest = rest.join(named.hint("merge"), f"{end}_grp", "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", f"{end}_grp"))
+    rest = rest.where("a_label != b_label").select(*pairs.columns)
+    links = links.union(linked(common.materialize(rest, "other-pairs"), "other-links"))
+    return connected_components(links, "a_grp", "b_grp").select(F.col("node").alias("grp"), "label")
+
+
+@contextmanager
+def _dealt_by_some_keys(spark: SparkSession) -> Iterator[None]:
+    """Joins take rows that are dealt by some of their keys as they lie."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose edit distance is small; only texts of lines in some pair are read again."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -287,19 +385,68 @@ def _verified(pairs: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFr
     a = texts.select(F.col("id").alias("a"), F.length("norm").alias("m"), F.col("words").alias("x"))
     b = texts.select(F.col("id").alias("b"), F.length("norm").alias("n"), F.col("words").alias("y"))
     both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").withColumn("allowed", _allowed(F.greatest("m", "n")))
+    return both.where(_near(F.col("x"), F.col("y"), F.col("allowed"))).select(*pairs.columns)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once: an expression of a filter is computed wherever it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _near(x: Column, y: Column, allowed: Column) -> Column:
+    """Whether the edit distance of two lines, given as lists of words, is at most ``allowed``."""
+
+    def by_words(w: Column) -> Column:
+        return (_replaced(w.x, w.y) <= allowed) | _let(
+            F.struct(F.array_join(w.x, " ").alias("s"), F.array_join(w.y, " ").alias("t")), lambda v: _near_texts(v.s, v.t, allowed)
+        )
+
     # Words that both lines share at the start and at the end don't count for the distance.
-    both = both.withColumn("start", _shared("x", "y"))
-    both = both.withColumns({"x": F.slice("x", F.col("start") + 1, F.size("x")), "y": F.slice("y", F.col("start") + 1, F.size("y"))})
-    both = both.withColumn("end", _shared(F.reverse("x"), F.reverse("y")))
-    both = both.withColumns({c: F.slice(c, F.lit(1), F.size(c) - F.col("end")) for c in "xy"})
-    both = both.withColumns({"s": F.array_join("x", " "), "t": F.array_join("y", " ")})
-    # The bounded distance is -1 beyond its bound, and costs the bound times the length; an upper bound settles many pairs.
-    steps = [f"levenshtein(s, t, least(allowed, {n})) >= 0" for n in (16, 64, 256, 4096)]
-    steps.append("allowed > 4096 and levenshtein(s, t, allowed) >= 0")
-    distance = F.expr(" or ".join(f"({step})" for step in steps))
-    within = (F.greatest(F.length("s"), F.length("t")) <= F.col("allowed")) | (_replaced(F.col("x"), F.col("y")) <= F.col("allowed"))
-    fits = F.abs(F.length("s") - F.length("t")) <= F.col("allowed")
-    return both.where(fits & (within | distance)).select(*pairs.columns)
+    def from_start(start: Column) -> Column:
+        cut = F.struct(F.slice(x, start + 1, F.size(x)).alias("x"), F.slice(y, start + 1, F.size(y)).alias("y"))
+        return _let(cut, lambda w: _let(_shared(F.reverse(w.x), F.reverse(w.y)), lambda end: _let(
+            F.struct(F.slice(w.x, F.lit(1), F.size(w.x) - end).alias("x"), F.slice(w.y, F.lit(1), F.size(w.y) - end).alias("y")), by_words
+        )))
+
+    return _let(_shared(x, y), from_start)
+
+
+def _near_texts(s: Column, t: Column, allowed: Column) -> Column:
+    m, n = F.length(s), F.length(t)
+    # Bounded distances are -1 beyond the bound; Spark's cost the product of the lengths even if the bound is small.
+    exact = F.call_function("levenshtein", s, t, allowed) >= 0
+    return (F.abs(m - n) <= allowed) & ((F.greatest(m, n) <= allowed) | ((F.least(m, n) > 2 * PIECE) & _near_by_pieces(s, t, allowed)) | exact)
+
+
+def _near_by_pieces(s: Column, t: Column, allowed: Column) -> Column:
+    """Whether an upper bound of the edit distance is at most ``allowed``: the sum of the distances of aligned pieces.
+
+    ``s`` is cut at equal distances, ``t`` where the characters after such a cut
+    are next found. A cut that isn't found nearby is left out. However the texts
+    are cut, their distance is at most the sum.
+    """
+    over = allowed + 1
+    size = F.greatest(F.lit(PIECE), F.floor(F.sqrt(F.length(s))).cast("int"))
+
+    def added(at: Column, u: Column, v: Column) -> Column:
+        most = allowed - at.cost
+        within = (most >= 0) & (F.greatest(F.length(u), F.length(v)) <= 16 * size)
+        return _let(F.when(within, F.call_function("levenshtein", u, v, most)).otherwise(F.lit(-1)), lambda d: F.when(d >= 0, at.cost + d).otherwise(over))
+
+    def state(cost: Column, p: Column, q: Column) -> Column:
+        return F.struct(cost.cast("int").alias("cost"), p.cast("int").alias("p"), q.cast("int").alias("q"))
+
+    def cut(at: Column, i: Column) -> Column:
+        p = i * size
+        found = F.instr(F.substr(t, at.q + 1, p - at.p + 4 * size), F.substr(s, p + 1, F.lit(ANCHOR)))
+        step = _let(found, lambda k: F.when(k == 0, at).otherwise(
+            state(added(at, F.substr(s, at.p + 1, p - at.p), F.substr(t, at.q + 1, k - 1)), p, at.q + k - 1)
+        ))
+        return F.when(at.cost > allowed, at).otherwise(step)
+
+    cuts = F.sequence(F.lit(1), F.floor((F.length(s) - ANCHOR) / size).cast("int"))
+    nothing = F.lit(0)
+    return F.aggregate(cuts, state(nothing, nothing, nothing), cut, lambda at: added(at, F.substr(s, at.p + 1), F.substr(t, at.q + 1)) <= allowed)
 
 
 def _shared(x: Column | str, y: Column | str) -> Column:
