@@ -417,6 +417,35 @@ def test_near_lines_are_compared_few_times(spark, monkeypatch):
     assert max(r.copies for r in decided) > 60 and sum(compared) < 4 * len(rows)
 
 
+def test_pairs_of_lines_come_from_their_first_common_key(spark):
+    """However many keys two lines share, the join makes one row of them, and it sorts by the key alone first."""
+    rng = random.Random(17)
+    sims = []
+    for _ in range(30):
+        base = rng.getrandbits(64)
+        for _ in range(6):
+            own = base
+            for b in rng.sample(range(64), rng.randint(0, 6)):
+                own ^= 1 << b
+            sims.append(own)
+    rows = [(i, x - 2**64 if x >= 2**63 else x, 100, i, 1) for i, x in enumerate(sims)]
+    df = spark.createDataFrame(rows, "id bigint, sim bigint, length int, grp bigint, size bigint")
+    rule = line_dedup.WIDE
+
+    def near(key, sim, a_sim, length, a_length):
+        return rule.close(sim, a_sim) & rule.first(key, sim, a_sim)
+
+    pairs = line_dedup._small_crossing_pairs(line_dedup._hosted(df, rule), rule, near)
+    borders = [64 * i // 7 for i in range(8)]
+
+    def close(x):
+        return bin(x).count("1") <= 10 and sum((x >> lo) & ((1 << (hi - lo)) - 1) == 0 for lo, hi in zip(borders, borders[1:])) >= 2
+
+    want = [(i, j) for j in range(len(sims)) for i in range(j) if close(sims[i] ^ sims[j])]
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(want) and len(want) > 300
+    assert "Sort [key#" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_line_keys_are_not_shuffled(spark, monkeypatch):
     """A line is dealt once for each block that begins a choice, not once for each choice."""
     rng = random.Random(16)

@@ -2,9 +2,9 @@
 
 Lines are normalised (case, punctuation, white space) and hashed. The SimHash
 of a line has one bit for each of 64 majority votes of its distinct words'
-hashes (each once, or common words alone would decide long lines); three votes
-are counted in one 64-bit sum, so a line's words cost 22 sums, formed on the map
-side. Two lines are near if
+hashes (each once, or common words alone would decide long lines); several votes
+are counted in one 64-bit sum, and the votes of a few words are added before they
+are grouped. Two lines are near if
 
 * their SimHashes agree on at least ``agree`` of ``blocks`` blocks and differ in
   at most ``bits`` bits (``Rule``), and
@@ -15,12 +15,13 @@ bits agrees on enough blocks, so an equi-join on every choice of ``agree``
 blocks finds all near lines. Of each connected group of near lines the first
 occurrence (smallest doc_id, then position) stays.
 
-Groups are found in two passes. The first compares each line with one leader of
-each of its buckets only, which joins most of a large group in as many
-comparisons as it has lines. The second compares lines that are still in
-different groups: of each bucket, all lines that are outside its largest group,
-with all lines of the bucket. So a bucket full of one group costs no pairs, and
-no connection is lost.
+Groups are found in two passes. The first compares each line with the first one
+that begins, and the first one that ends, with the same characters, which joins
+most of a large group in as many comparisons as it has lines. The second compares
+lines that are still in different groups: of each bucket, all lines that are
+outside its largest group, with all lines of the bucket. So a bucket full of one
+group costs no pairs, and no connection is lost. A pair of lines comes from the
+first of its common buckets only.
 
 ``by_edits`` looks for candidates by other keys than SimHash blocks: the 8
 smallest hashes of a line's word triples, with its length class, lines of few
@@ -36,6 +37,7 @@ are ignored.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -57,8 +59,12 @@ FEW_WORDS, FEW_CHARACTERS = 12, 24
 FEW_VOTES, MOST_WORDS = 2**8 - 1, 2**20 - 1
 #: Lines of groups of at most so many are compared with all of a bucket, also with lines of their own group.
 SMALL_GROUP = 32
-#: Characters of the pieces, at least, whose edit distances add up to an upper bound, and of the texts by which pieces are aligned.
-PIECE, ANCHOR = 32, 12
+#: Characters of the pieces whose edit distances add up to an upper bound, and of the texts by which pieces are aligned.
+PIECE, ANCHOR = 32, 24
+#: Characters at a line's start and at its end that lines of one leader share.
+END = 24
+#: Words whose votes are added before they are grouped, for lines of few and of many words.
+TOGETHER = {FEW_VOTES: 8, MOST_WORDS: 4}
 _LAST = 2**63 - 1
 #: Both sides of a pair, as (id, SimHash, length) columns, to a condition.
 Near = Callable[[Column, Column, Column, Column, Column], Column]
@@ -80,23 +86,49 @@ class Rule:
             out &= sum(same[1:], same[0]) >= self.agree
         return out
 
+    def first(self, key: Column, a: Column, b: Column) -> Column:
+        """Whether no key before ``key`` is common to two SimHashes that have it in common; hashed keys don't tell, and all are first."""
+        width = _width(self.blocks)
+        if width * self.agree > 40:
+            return F.lit(True)
+        choices = list(combinations(range(self.blocks), self.agree))
+        n = F.shiftrightunsigned(key, width * self.agree).cast("int")
+        masks = _masks(self.blocks)
+        same = [F.when(a.bitwiseXOR(b).bitwiseAND(F.lit(mask)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, mask in enumerate(masks)]
+        # The first key is made of the first blocks that agree: no other one up to its last.
+        until = F.array(*(F.lit((2 << choice[-1]) - 1) for choice in choices))[n]
+        own = F.array(*(F.lit(sum(1 << i for i in choice)) for choice in choices))[n]
+        return sum(same[1:], same[0]).bitwiseAND(until) == own
+
 
 #: What the query uses: all pairs within 5 bits, and those within 10 that agree on 18 bits or more.
 WIDE = Rule(bits=10, blocks=7, agree=2)
 
 
+#: The characters of [\\p{Punct}\\s], one by one: Java looks those up in a table.
+_GAPS = "".join(f"\\{c}" for c in string.punctuation) + r" \t\n\x0B\f\r"
+
+
 def normalized(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\p{Punct}\s]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), f"[{_GAPS}]+", " "))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_key, pos, norm, k1, k2 of every line; the two hashes name the normalised line, ``row`` the document."""
+    """row, doc_id, text_key, pos, norm, length, k1, k2, head, tail of every line.
+
+    ``k1`` and ``k2`` name the normalised line, ``row`` the document; ``head`` and ``tail`` are hashes of the line's ends.
+    """
     text = common.text_or_empty()
     # The id is given before lines are split, so all lines of a document have the same.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     rows = rows.select("row", "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = rows.select("row", "doc_id", "text_key", "pos", normalized(F.col("line")).alias("norm"))
-    return lines.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(7), "norm")})
+    ends = {"head": F.xxhash64(F.left("norm", F.lit(END))), "tail": F.xxhash64(F.lit(7), F.right("norm", F.lit(END)))}
+    return lines.withColumns({"length": F.length("norm"), **_names(F.col("norm")), **ends})
+
+
+def _names(norm: Column) -> dict[str, Column]:
+    return {"k1": F.xxhash64(norm), "k2": F.xxhash64(F.lit(7), norm)}
 
 
 def _order() -> Column:
@@ -105,29 +137,40 @@ def _order() -> Column:
     return (first.cast("decimal(38,0)") + (F.shiftleft(F.col("text_key").bitwiseAND(F.lit(2**31 - 1)), 31) + F.col("pos")).cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
+#: What names a line and goes with its SimHash.
+_KEYS = ["row", "doc_id", "text_key", "pos", "k1", "k2", "head", "tail", "length"]
+
+
 def _words() -> Column:
     return F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
 
 
 def _simhashes(lines: DataFrame) -> DataFrame:
-    """row, doc_id, text_key, pos, k1, k2, length, sim of every line with a word."""
-    keys = ["row", "doc_id", "text_key", "pos", "k1", "k2", "length"]
-    lines = lines.where(F.length("norm") > 0).withColumn("length", F.length("norm"))
-    spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
-    # A line has at most half as many words as characters, and one.
-    few, more = spaces < FEW_VOTES, (spaces >= FEW_VOTES) & (F.col("length") < 2 * MOST_WORDS)
+    """row, doc_id, text_key, pos, k1, k2, head, tail, length, sim of every line with a word."""
+    lines, keys = lines.where("length > 0"), _KEYS
+    spaces = F.col("length") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
+    # A line has at most half as many words as characters, and one; so the spaces of most lines needn't be counted.
+    short = F.col("length") < 2 * FEW_VOTES
+    few, more = short | (spaces < FEW_VOTES), ~short & (spaces >= FEW_VOTES) & (F.col("length") < 2 * MOST_WORDS)
     return _majorities(lines.where(few), keys, FEW_VOTES).union(_majorities(lines.where(more), keys, MOST_WORDS))
 
 
 def _majorities(lines: DataFrame, keys: list[str], most: int) -> DataFrame:
     """``keys`` and sim of lines of at most ``most`` distinct words, one less than a power of two."""
-    width = most.bit_length() + 1
-    words = lines.select(*keys, F.explode(_words()).alias("h"))
+    width, together = most.bit_length() + 1, TOGETHER[most]
+    # Zeros after the words, which vote for nothing, fill the last step.
+    words = lines.select(*keys, F.concat(_words(), F.array(*[F.lit(0).cast("bigint")] * (together - 1))).alias("words"))
+    words = words.select(*keys, "words", F.explode(F.sequence(F.lit(0), F.size("words") - together, F.lit(together))).alias("at"))
+    h = [F.col("words")[F.col("at") + j] for j in range(together)]
     # Bits i, i + width and so on of the hashes are counted in the fields of one sum; 63 is a multiple of the width.
     ones = sum(1 << at for at in range(0, 63, width))
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(ones))).alias(f"v{i}") for i in range(width)]
-    votes.append(F.sum(F.shiftrightunsigned("h", 63)).alias("last"))
-    sums = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *votes)
+
+    def added(votes: Callable[[Column], Column], name: str) -> Column:
+        return F.sum(sum((votes(x) for x in h[1:]), votes(h[0]))).alias(name)
+
+    votes = [added(lambda x, i=i: F.shiftrightunsigned(x, i).bitwiseAND(F.lit(ones)), f"v{i}") for i in range(width)]
+    votes.append(added(lambda x: F.shiftrightunsigned(x, 63), "last"))
+    sums = words.groupBy(*keys).agg(F.max(F.size("words") - (together - 1)).alias("n"), *votes)
     # A field with 2 * votes + (most - n) has its highest bit set if more than half of the words voted.
     half = (F.lit(most) - F.col("n")) * F.lit(ones)
     sim = F.when(F.col("last") * 2 > F.col("n"), F.lit(-(2**63))).otherwise(F.lit(0)).cast("bigint")
@@ -139,8 +182,8 @@ def _majorities(lines: DataFrame, keys: list[str], most: int) -> DataFrame:
 
 def _long_simhashes(lines: DataFrame) -> DataFrame:
     """The same for lines of any number of words, by one sum for each line and bit."""
-    keys = ["row", "doc_id", "text_key", "pos", "k1", "k2", "length"]
-    words = lines.withColumn("length", F.length("norm")).select(*keys, F.explode(_words()).alias("h"))
+    keys = _KEYS
+    words = lines.select(*keys, F.explode(_words()).alias("h"))
     bits = words.select(*keys, "h", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     sums = bits.groupBy(*keys, "bit").agg(F.sum(F.expr("shiftrightunsigned(h, bit) & 1")).alias("votes"), F.count(F.lit(1)).alias("n"))
     won = F.when(F.col("votes") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("bigint"))
@@ -152,6 +195,10 @@ def _borders(blocks: int) -> list[tuple[int, int]]:
     return list(zip(at, at[1:], strict=False))
 
 
+def _width(blocks: int) -> int:
+    return max(hi - lo for lo, hi in _borders(blocks))
+
+
 def _masks(blocks: int) -> list[int]:
     """The bits of each block, as signed 64-bit numbers."""
     masks = (((1 << (hi - lo)) - 1) << lo for lo, hi in _borders(blocks))
@@ -165,7 +212,7 @@ def _block_keys(sim: Column, blocks: int, agree: int | None = None) -> list[Colu
     """
     parts = [F.shiftrightunsigned(sim, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")) for lo, hi in _borders(blocks)]
     agree = blocks - MOST_BITS if agree is None else agree
-    width = max(hi - lo for lo, hi in _borders(blocks))
+    width = _width(blocks)
     keys = []
     for n, choice in enumerate(combinations(range(blocks), agree)):
         key = F.lit(n).cast("bigint")
@@ -218,7 +265,7 @@ def _fits(a: Column, b: Column) -> Column:
 
 def _edit_keys(lines: DataFrame) -> DataFrame:
     """k1, k2, keys of every distinct line with a word; lines of few edits share a key."""
-    lines = lines.where(F.length("norm") > 0).select("k1", "k2", "norm").dropDuplicates(["k1", "k2"])
+    lines = lines.where("length > 0").select("k1", "k2", "norm").dropDuplicates(["k1", "k2"])
     lines = lines.withColumn("words", F.split("norm", " ")).withColumns({"length": F.length("norm"), "size": F.size("words")})
     none = F.array().cast("array<bigint>")
     triple = lambda i: F.xxhash64(F.lit("triple"), F.col("words")[i - 1], F.col("words")[i], F.col("words")[i + 1])
@@ -246,7 +293,7 @@ def _edit_keys(lines: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(keyed: DataFrame, near: Near) -> DataFrame:
-    """a, b: each line with the leader of each of its buckets, if they may be near.
+    """a, b: each line with the leader of each of its buckets, if they may be near; ``keyed`` has key, id, sim, length.
 
     A bucket's leader is its line of the smallest id, so a bucket gives no more
     pairs than it has lines.
@@ -259,8 +306,14 @@ def _leader_pairs(keyed: DataFrame, near: Near) -> DataFrame:
     return found.where(rule).select("a", F.col("id").alias("b")).distinct()
 
 
+def _pairs(found: DataFrame) -> DataFrame:
+    """a, b, a_grp, b_grp, bits: the lines of a pair, their groups, and in how many bits their SimHashes differ."""
+    bits = F.bit_count(F.col("sim").bitwiseXOR(F.col("a_sim")))
+    return found.select(F.col("a_id").alias("a"), F.col("id").alias("b"), "a_grp", F.col("grp").alias("b_grp"), bits.alias("bits"))
+
+
 def _small_crossing_pairs(hosted: DataFrame, by: Rule, near: Near) -> DataFrame:
-    """a, b, a_grp, b_grp: lines of one key and different groups that may be near, one of them of a group of at most ``SMALL_GROUP``.
+    """a, b, a_grp, b_grp, bits: lines of one key and different groups that may be near, one of them of a group of at most ``SMALL_GROUP``.
 
     ``hosted`` has host, id, sim, length, grp, size. Lines of larger groups are on
     one side only, so a bucket costs at most ``SMALL_GROUP`` comparisons a line
@@ -271,14 +324,18 @@ def _small_crossing_pairs(hosted: DataFrame, by: Rule, near: Near) -> DataFrame:
     keys = _hosted_keys(by)
     a = hosted.select("host", *(F.col(c).alias(f"a_{c}") for c in columns), F.explode_outer(F.when(F.col("size") <= SMALL_GROUP, keys)).alias("key"))
     b = hosted.select("host", *columns, F.explode_outer(keys).alias("key"))
+    # The join sorts by key and host, which compares rows and is slow where many keys are equal. A sort by the key alone is by
+    # radix, and what it leaves is in the join's order. Spark drops a sort below a join unless something like a row's number follows.
+    a = a.sortWithinPartitions("key").withColumn("a_at", F.monotonically_increasing_id())
+    b = b.sortWithinPartitions("key").withColumn("at", F.monotonically_increasing_id())
     once = (F.col("size") > SMALL_GROUP) | (F.col("a_id") < F.col("id"))
     rule = once & (F.col("grp") != F.col("a_grp")) & near(*map(F.col, ("key", "sim", "a_sim", "length", "a_length")))
-    found = a.join(b.hint("merge"), ["key", "host"]).where(rule)
-    return found.select(F.col("a_id").alias("a"), F.col("id").alias("b"), "a_grp", F.col("grp").alias("b_grp"))
+    found = a.join(b.hint("merge"), ["key", "host"]).where(rule & (F.col("a_at") + F.col("at") >= 0))
+    return _pairs(found)
 
 
 def _crossing_pairs(keyed: DataFrame, near: Near) -> DataFrame:
-    """a, b, a_grp, b_grp: lines of one bucket and different groups that may be near.
+    """a, b, a_grp, b_grp, bits: lines of one bucket and different groups that may be near.
 
     ``keyed`` has key, id, sim, length, grp, size (of the group). One end is
     always outside the bucket's largest group, so the lines of that group are
@@ -291,11 +348,11 @@ def _crossing_pairs(keyed: DataFrame, near: Near) -> DataFrame:
     # The sum of sizes is always positive; it keeps both sides' columns alike, so that they share one exchange.
     rule = once & (F.col("grp") != F.col("a_grp")) & near(*map(F.col, ("key", "sim", "a_sim", "length", "a_length"))) & (F.col("size") + F.col("a_size") > 0)
     found = a.join(keyed.hint("merge"), "key").where(rule)
-    return found.select(F.col("a_id").alias("a"), F.col("id").alias("b"), "a_grp", F.col("grp").alias("b_grp"))
+    return _pairs(found)
 
 
 def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -> DataFrame:
-    """id, label of every distinct line: the smallest id of its group."""
+    """id, label of every distinct line that is near another one: the smallest id of its group."""
     if by_edits:
         edit_keys = common.materialize(_edit_keys(lines), "edit-keys")
         keyed_lines = distinct.select("id", "k1", "k2", "sim", "length").join(edit_keys.hint("merge"), ["k1", "k2"])
@@ -308,24 +365,26 @@ def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -
             return _fits(length, a_length) & (free | (F.bit_count(sim.bitwiseXOR(a_sim)) <= TRIPLE_BITS))
     else:
         keys = block_keys(F.col("sim"), rule.blocks, rule.agree)
-        first = distinct.select("id", "sim", "length", F.explode(block_keys(F.col("sim"), MOST_BITS + 1)).alias("key"))
+        first = distinct.select("id", "sim", "length", F.explode(F.array("head", "tail")).alias("key"))
 
-        def near(key: Column, sim: Column, a_sim: Column, length: Column, a_length: Column) -> Column:
+        def like(key: Column, sim: Column, a_sim: Column, length: Column, a_length: Column) -> Column:
             return rule.close(sim, a_sim) & _fits(length, a_length)
 
-    pairs = common.materialize(_leader_pairs(first, near), "leader-pairs")
-    links = common.materialize(_verified(pairs, distinct, lines).select("a", "b"), "leader-links")
+        def near(key: Column, sim: Column, a_sim: Column, length: Column, a_length: Column) -> Column:
+            return like(key, sim, a_sim, length, a_length) & rule.first(key, sim, a_sim)
+
+    pairs = common.materialize(_leader_pairs(first, near if by_edits else like), "leader-pairs")
+    links = common.materialize(_verified(pairs, _texts(pairs, distinct, lines)).select("a", "b"), "leader-links")
     found = connected_components(links).select(F.col("node").alias("id"), F.col("label").alias("grp"))
-    grouped = distinct.select("id").join(found.hint("merge"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    grouped = distinct.select("id", "sim", "length").join(found.hint("merge"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
     sizes = common.materialize(found.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "group-sizes")
     grouped = grouped.join(sizes.hint("merge"), "grp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    grouped = common.materialize(grouped.select("id", "grp", "size"), "leader-groups")
+    grouped = common.materialize(grouped.select("id", "sim", "length", "grp", "size"), "leader-groups")
     if by_edits:
-        pairs = _crossing_pairs(keyed.join(grouped.hint("merge"), "id"), near)
+        pairs = _crossing_pairs(keyed.join(grouped.select("id", "grp", "size").hint("merge"), "id"), near)
     else:
-        labelled = common.materialize(distinct.select("id", "sim", "length").join(grouped.hint("merge"), "id"), "labelled-lines")
         # Always true, and what Spark would add to one side of the join only: said of both, it lets them share an exchange.
-        labelled = labelled.where("grp is not null and sim is not null and length is not null and size is not null")
+        labelled = grouped.where("grp is not null and sim is not null and length is not null and size is not null")
         pairs = _small_crossing_pairs(_hosted(labelled, rule), rule, near)
         large = labelled.where(F.col("size") > SMALL_GROUP)
         if not large.isEmpty():
@@ -335,29 +394,32 @@ def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -
     with _dealt_by_some_keys(distinct.sparkSession):
         pairs = common.materialize(pairs.distinct(), "crossing-pairs")
     joined = _joined_groups(pairs, distinct, lines)
-    return grouped.join(joined.hint("merge"), "grp", "left").select("id", F.coalesce("label", "grp").alias("label"))
+    labels = grouped.select("id", "grp", "size").join(joined.hint("merge"), "grp", "left")
+    return labels.where("size > 1 or label is not null").select("id", F.coalesce("label", "grp").alias("label"))
 
 
 def _joined_groups(pairs: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """grp, label: groups that some near pair joins to another one.
 
     One link joins two groups, however many pairs of lines would; so each group is
-    first compared with the smallest one beside it, and then only the pairs that
-    are still in different groups.
+    first compared with the one beside it by the pair of the fewest different bits,
+    and then only the pairs that are still in different groups and weren't compared.
     """
+    texts = _texts(pairs, distinct, lines)
 
     def linked(some: DataFrame, tag: str) -> DataFrame:
-        return common.materialize(_verified(some, distinct, lines).select("a_grp", "b_grp").distinct(), tag)
+        return common.materialize(_verified(some, texts).select("a_grp", "b_grp").distinct(), tag)
 
     low, high = F.least("a_grp", "b_grp"), F.greatest("a_grp", "b_grp")
-    first = pairs.groupBy(high.alias("high")).agg(F.min(F.struct(low.alias("low"), "a", "b", "a_grp", "b_grp")).alias("pair"))
-    links = linked(common.materialize(first.select("pair.a", "pair.b", "pair.a_grp", "pair.b_grp"), "first-pairs"), "first-links")
+    first = pairs.groupBy(high.alias("high")).agg(F.min(F.struct("bits", low.alias("low"), "a", "b", "a_grp", "b_grp")).alias("pair"))
+    first = common.materialize(first.select("pair.a", "pair.b", "pair.a_grp", "pair.b_grp"), "first-pairs")
+    links = linked(first, "first-links")
     joined = connected_components(links, "a_grp", "b_grp")
     rest = pairs
     for end in ("a", "b"):
         named = joined.select(F.col("node").alias(f"{end}_grp"), F.col("label").alias(f"{end}_label"))
         rest = rest.join(named.hint("merge"), f"{end}_grp", "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", f"{end}_grp"))
-    rest = rest.where("a_label != b_label").select(*pairs.columns)
+    rest = rest.where("a_label != b_label").select(*pairs.columns).join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
     links = links.union(linked(common.materialize(rest, "other-pairs"), "other-links"))
     return connected_components(links, "a_grp", "b_grp").select(F.col("node").alias("grp"), "label")
 
@@ -374,14 +436,18 @@ def _dealt_by_some_keys(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs whose edit distance is small; only texts of lines in some pair are read again."""
+def _texts(pairs: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """id, norm, words of the lines in some pair; only their texts are read again."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     ends = common.materialize(distinct.select("id", "row", "pos").join(ends.hint("merge"), "id", "left_semi"), "near-lines")
     small = ends.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
     texts = lines.select("row", "pos", "norm").join(F.broadcast(ends) if small else ends.hint("merge"), ["row", "pos"])
     # Words are split once for each line, not for each pair.
-    texts = common.materialize(texts.select("id", "norm", F.split("norm", " ").alias("words")), "near-texts")
+    return common.materialize(texts.select("id", "norm", F.split("norm", " ").alias("words")), "near-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose edit distance is small; ``texts`` is what _texts makes of these pairs, or of more."""
     a = texts.select(F.col("id").alias("a"), F.length("norm").alias("m"), F.col("words").alias("x"))
     b = texts.select(F.col("id").alias("b"), F.length("norm").alias("n"), F.col("words").alias("y"))
     both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").withColumn("allowed", _allowed(F.greatest("m", "n")))
@@ -426,7 +492,7 @@ def _near_by_pieces(s: Column, t: Column, allowed: Column) -> Column:
     are cut, their distance is at most the sum.
     """
     over = allowed + 1
-    size = F.greatest(F.lit(PIECE), F.floor(F.sqrt(F.length(s))).cast("int"))
+    size = F.lit(PIECE)
 
     def added(at: Column, u: Column, v: Column) -> Column:
         most = allowed - at.cost
@@ -438,7 +504,7 @@ def _near_by_pieces(s: Column, t: Column, allowed: Column) -> Column:
 
     def cut(at: Column, i: Column) -> Column:
         p = i * size
-        found = F.instr(F.substr(t, at.q + 1, p - at.p + 4 * size), F.substr(s, p + 1, F.lit(ANCHOR)))
+        found = F.instr(F.substr(t, at.q + 1, p - at.p + 16 * size), F.substr(s, p + 1, F.lit(ANCHOR)))
         step = _let(found, lambda k: F.when(k == 0, at).otherwise(
             state(added(at, F.substr(s, at.p + 1, p - at.p), F.substr(t, at.q + 1, k - 1)), p, at.q + k - 1)
         ))
@@ -466,26 +532,26 @@ def _decided(docs: DataFrame, rule: Rule, by_edits: bool) -> DataFrame:
     """row, doc_id, text_key, pos, worded, kept, copies of every line."""
     lines = common.materialize(_lines(docs), "lines")
     sims = _simhashes(lines)
-    longest = lines.select(F.max(F.length("norm"))).first()[0] or 0
+    longest = lines.select(F.max("length")).first()[0] or 0
     if longest >= 2 * MOST_WORDS:
-        sims = sims.union(_long_simhashes(lines.where(F.length("norm") >= 2 * MOST_WORDS)).select(sims.columns))
+        sims = sims.union(_long_simhashes(lines.where(F.col("length") >= 2 * MOST_WORDS)).select(sims.columns))
     order = _order()
     distinct = sims.groupBy("k1", "k2").agg(
         F.min(order).alias("first"), F.min_by("row", order).alias("row"), F.min_by("pos", order).alias("pos"),
-        F.count(F.lit(1)).alias("n"), F.max("sim").alias("sim"), F.max("length").alias("length"),
+        F.count(F.lit(1)).alias("n"), *(F.max(c).alias(c) for c in ("sim", "length", "head", "tail")),
     )
     distinct = common.materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     labels = _groups(distinct, lines, rule, by_edits)
     named = distinct.select("id", "k1", "k2", "first", "row", "pos", "n")
-    grouped = common.materialize(named.join(labels.hint("merge"), "id"), "line-groups")
+    grouped = named.join(labels.hint("merge"), "id", "left").where("n > 1 or label is not null")
+    grouped = common.materialize(grouped.withColumn("label", F.coalesce("label", "id")), "line-groups")
     leaders = grouped.groupBy("label").agg(
         F.min_by("row", "first").alias("top_row"), F.min_by("pos", "first").alias("top_pos"), F.sum("n").alias("copies")
     )
     # Lines that occur once and are near no other stay.
     leaders = common.materialize(leaders.where("copies > 1"), "line-leaders")
     final = common.materialize(grouped.select("k1", "k2", "label").join(leaders.hint("merge"), "label").drop("label"), "line-final")
-    worded = F.length("norm") > 0
-    occurrences = lines.select("row", "doc_id", "text_key", "pos", "k1", "k2", worded.alias("worded"))
+    occurrences = lines.select("row", "doc_id", "text_key", "pos", "k1", "k2", (F.col("length") > 0).alias("worded"))
     return occurrences.join(final.hint("merge"), ["k1", "k2"], "left").select(
         "row", "doc_id", "text_key", "pos", "worded",
         (~F.col("worded") | F.col("top_row").isNull() | ((F.col("row") == F.col("top_row")) & (F.col("pos") == F.col("top_pos")))).alias("kept"),
