@@ -16,7 +16,7 @@ blocks finds all near lines. Of each connected group of near lines the first
 occurrence (smallest doc_id, then position) stays.
 
 Groups are found in two passes. The first compares each line with the first one
-that begins, and the first one that ends, with the same characters, which joins
+that begins or ends with the same characters, or has a quarter of its SimHash, which joins
 most of a large group in as many comparisons as it has lines. The second compares
 lines that are still in different groups: of each bucket, all lines that are
 outside its largest group, with all lines of the bucket. So a bucket full of one
@@ -365,7 +365,9 @@ def _groups(distinct: DataFrame, lines: DataFrame, rule: Rule, by_edits: bool) -
             return _fits(length, a_length) & (free | (F.bit_count(sim.bitwiseXOR(a_sim)) <= TRIPLE_BITS))
     else:
         keys = block_keys(F.col("sim"), rule.blocks, rule.agree)
-        first = distinct.select("id", "sim", "length", F.explode(F.array("head", "tail")).alias("key"))
+        # Copies share an end mostly, and else a quarter of the SimHash.
+        first = F.concat(F.array("head", "tail"), block_keys(F.col("sim"), MOST_BITS + 1))
+        first = distinct.select("id", "sim", "length", F.explode(first).alias("key"))
 
         def like(key: Column, sim: Column, a_sim: Column, length: Column, a_length: Column) -> Column:
             return rule.close(sim, a_sim) & _fits(length, a_length)
