@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.llm import ann, bpe, exact_dedup, html_extract, jaccard_join, license_scan, line_dedup, packing, toxicity, url_filter
+from tracklake.llm import (
+    ann, bpe, exact_dedup, fingerprint, html_extract, jaccard_join, license_scan, line_dedup, packing, spelling, toxicity, url_filter, wand,
+)
 from tracklake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +58,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_packing, op2_ann, op3_html, op4_license, op5_toxicity, op6_exact_dedup, op7_line_dedup, op8_jaccard_join, op9_url_filter, op10_bpe)
+    found = (
+        op1_packing, op2_ann, op3_html, op4_license, op5_toxicity, op6_exact_dedup, op7_line_dedup, op8_jaccard_join, op9_url_filter, op10_bpe,
+        op11_fingerprint, op12_spelling, op13_wand,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -67,4 +84,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.ORACLE,
         "op8_jaccard_join": jaccard_join.ORACLE,
         "op9_url_filter": url_filter.oracle(),
+        "op12_spelling": spelling.ORACLE,
+        "op13_wand": wand.ORACLE,
     }
