@@ -168,11 +168,6 @@ def test_grid(spark):
     assert min(turned, 360 - turned) == pytest.approx(0, abs=1e-9)
     with pytest.raises(ValueError):
         grid_features(df.drop("LAT"), 2, "square")
-    try:
-        import h3  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError):
-            grid_features(df, 2)
 
 
 @pytest.mark.parametrize("unrolled", [200, 0])
