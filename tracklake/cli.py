@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tracklake.dataset import TrackDataset
 from tracklake.scratch import COMPILE_ALL, scratch
+from tracklake.sources.files import _as_path
 from tracklake.sources.sinks import write_table
-from tracklake.streaming import detect_events_stream, read_csv_stream, write_json_lines
+from tracklake.streaming import detect_events_stream, drain, read_csv_stream, write_json_lines
 from tracklake.streaming.sources import use_rocksdb
 
 
@@ -71,7 +72,7 @@ def _parser() -> argparse.ArgumentParser:
     stream = commands.add_parser("stream-csv", parents=[limits])
     stream.add_argument("path")
     stream.add_argument("--pattern", default="*.csv")
-    stream.add_argument("--chunk-size", type=int, default=10_000, help="rows of a batch, about; a batch ends with a file")
+    stream.add_argument("--chunk-size", type=int, default=10_000, help="rows of a batch")
     stream.add_argument("--checkpoint", help="a folder for the state; a later run with it goes on where this one ends")
     stream.add_argument("--mmsi", type=parse_mmsi)
     return parser
@@ -92,11 +93,11 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.command == "stream-csv":
         use_rocksdb(spark)
         folder, pattern = (args.path, args.pattern) if os.path.isdir(args.path) else os.path.split(os.path.abspath(args.path))
-        points = read_csv_stream(spark, folder, pattern, rows_per_batch=args.chunk_size)
+        state = args.checkpoint or scratch(spark, "stream-csv")
+        points = read_csv_stream(spark, folder, pattern, rows_per_batch=args.chunk_size, log=f"{_as_path(state)}/pages")
         if args.mmsi:
             points = points.where(F.col("MMSI").try_cast("bigint").isin(args.mmsi))
-        state = args.checkpoint or scratch(spark, "stream-csv")
-        write_json_lines(detect_events_stream(points, **_limits(args)), checkpoint=state).awaitTermination()
+        drain(write_json_lines(detect_events_stream(points, **_limits(args)), checkpoint=state, pages=True))
         return
     ds = _dataset(args, spark)
     if args.command == "scan":

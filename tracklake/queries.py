@@ -217,7 +217,7 @@ def _csv_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = text.where("event_id % 2 = 0").select("COG", "SOG", "event_id", "LON", "LAT", "MMSI", F.col("BaseDateTime").alias("timestamp"))
     turned.write.option("header", True).option("sep", ";").csv(f"{base}/in/a")
     text.where("event_id % 2 = 1").write.option("header", True).csv(f"{base}/in/b")
-    rows = read_csv_stream(spark, f"{base}/in", "*/*.csv", files_per_batch=4)
+    rows = read_csv_stream(spark, f"{base}/in", "*/*.csv")
     kinds = {"event_id": "bigint", "MMSI": "bigint", "LAT": "double", "LON": "double", "SOG": "double", "COG": "double"}
     rows = with_timestamp(rows).select("ts", *(F.col(c).try_cast(k).alias(c) for c, k in kinds.items()))
     query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import sys
-from collections import defaultdict
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tracklake.schema import canonical_names
-from tracklake.sources.files import HEAD_BYTES, _as_path, _dialect, _head, discover_files
+from tracklake.sources.files import _as_path, _dialect, discover_files
+from tracklake.streaming.paged import CsvPages
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,50 +23,41 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _columns(files: list[str], spark: SparkSession) -> list[str]:
+    """Canonical names of all files' columns; heads are read 32 at a time."""
+    with ThreadPoolExecutor(32) as pool:
+        headers = [header for _, header in pool.map(lambda f: _dialect(f, spark), files)]
+    return list(dict.fromkeys(name for header in headers for name in canonical_names(header)))
+
+
 def read_csv_stream(
-    spark: SparkSession, folder: str | os.PathLike, pattern: str = "*.csv", files_per_batch: int | None = 1, rows_per_batch: int | None = None
+    spark: SparkSession, folder: str | os.PathLike, pattern: str = "*.csv", rows_per_batch: int | None = None, log: str | None = None
 ) -> DataFrame:
     """A stream over the CSV files of a folder, oldest first, as text columns with canonical names.
 
-    Files are grouped by separator and header, as the batch scan does, and each
-    group is a source of its own; columns that a file lacks are null. If all
-    files are of one group, files that come later belong to it; otherwise the
-    stream covers the files that are there when it starts. ``rows_per_batch``
-    ends a batch with the file in which it reaches about so many rows.
+    Files may differ in separator, header and columns, also those that come
+    later; columns are those of the files that are there now. A batch takes all
+    files that wait. With ``rows_per_page`` it takes exactly so many rows, or
+    those left, by a log in the folder ``log`` that must be kept with the
+    query's checkpoint; start such a query with a trigger of its own (the
+    trigger availableNow ends after one page) and ``drain`` it.
     """
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = defaultdict(list)
-    for path in discover_files(folder, pattern, spark):
-        groups[_dialect(path, spark)].append(path)
-    frames = []
-    for (sep, header), files in groups.items():
-        if not header:
-            continue
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in canonical_names(header)])
-        reader = spark.readStream.schema(schema).options(header=True, sep=sep)
-        if rows_per_batch:
-            lines = _head(files[0], HEAD_BYTES, spark).splitlines()
-            reader = reader.option("maxBytesPerTrigger", max(1, rows_per_batch * sum(map(len, lines)) // max(1, len(lines))))
-        elif files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        if len(groups) == 1:
-            frames.append(reader.option("pathGlobFilter", pattern).csv(_as_path(os.fspath(folder))))
-        else:
-            frames.append(reader.csv(_glob_of(files)))
-    if not frames:
+    columns = _columns(discover_files(folder, pattern, spark), spark)
+    if not columns:
         raise ValueError(f"No file with a header matches {pattern} in {folder}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def _glob_of(files: list[str]) -> str:
-    """One path pattern that stands for these files alone."""
+    spark.dataSource.register(CsvPages)
+    reader = spark.readStream.format(CsvPages.name()).options(folder=_as_path(os.fspath(folder)), pattern=pattern, columns=json.dumps(columns))
+    if rows_per_batch and log:
+        reader = reader.options(rows=rows_per_batch, log=log)
+    return reader.load()
 
-    def quoted(name: str) -> str:
-        return re.sub(r"([\\{}\[\],*?])", r"\\\1", name)
 
-    paths = [_as_path(f) for f in files]
-    folder = os.path.commonprefix([p.rpartition("/")[0] + "/" for p in paths]).rpartition("/")[0]
-    names = [p.removeprefix(folder + "/") for p in paths]
-    return f"{quoted(folder)}/" + "{" + ",".join(map(quoted, names)) + "}"  # a pattern, also for one file
+def drain(query: StreamingQuery) -> None:
+    """Wait until a query has read what there is, and stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def event_json(events: DataFrame) -> DataFrame:
@@ -74,14 +65,15 @@ def event_json(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def write_json_lines(events: DataFrame, out: TextIO | None = None, checkpoint: str | None = None):
-    """Start a query that prints each event as a JSON line and ends when the source is read."""
+def write_json_lines(events: DataFrame, out: TextIO | None = None, checkpoint: str | None = None, pages: bool = False) -> StreamingQuery:
+    """Start a query that prints each event as a JSON line and ends when the source is read; with ``pages`` it goes on until it is drained."""
 
     def show(batch: DataFrame, _: int) -> None:
         for row in event_json(batch).toLocalIterator():
             print(row.json, file=out or sys.stdout, flush=True)
 
-    writer = events.writeStream.outputMode("append").foreachBatch(show).trigger(availableNow=True)
+    writer = events.writeStream.outputMode("append").foreachBatch(show)
+    writer = writer.trigger(processingTime="0 seconds") if pages else writer.trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     return writer.start()
