@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklake import queries_space
+from tracklake import queries_space, queries_time
 from tracklake.dataset import TrackDataset, valid_geo
 from tracklake.functions import angle_diff_deg, epoch_ms, haversine_km
 from tracklake.functions.parsing import with_timestamp
@@ -394,7 +394,7 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
             f"with {VIEW} select event_type as task, (MMSI % 3)::varchar as engine, count(*) as runs, round(median(SOG), 6) as median_s, round(avg(SOG), 6) as mean_s, round(stddev_samp(SOG), 6) as sd_s from p group by all",
         ),
     }
-    return found | queries_space.catalogue(valid, VIEW)
+    return found | queries_space.catalogue(valid, VIEW) | queries_time.catalogue(valid, points, VIEW, _ONLINE_SQL)
 
 
 def queries() -> dict[str, Query]:
