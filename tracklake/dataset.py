@@ -144,8 +144,8 @@ class TrackDataset:
         order = tuple(c for c in ("MMSI", "ts") if c in df.columns) if sort_rows else ()
         return write_partitioned(df, path, partition, order)
 
-    def stats(self, level: str = "mmsi", mode: str = "lazy") -> DataFrame:
-        return compute_stats(self.lazy(with_ts=True), level, mode)
+    def stats(self, level: str = "mmsi", mode: str = "lazy", split: str | None = None) -> DataFrame:
+        return compute_stats(self.lazy(with_ts=True), level, mode, split)
 
     def detect_events(
         self,
@@ -156,9 +156,10 @@ class TrackDataset:
         gap_s: float = 600,
         include_draft_changes: bool = True,
         sort_output: bool = True,
+        split: str | None = None,
     ) -> DataFrame:
         df = self.lazy(with_ts=True)
-        return detect_events(df, turn_deg, stop_sog, stop_min, draft_jump_m, gap_s, "MMSI", include_draft_changes, sort_output)
+        return detect_events(df, turn_deg, stop_sog, stop_min, draft_jump_m, gap_s, "MMSI", include_draft_changes, sort_output, split)
 
     def plot_map(self, out_html: str | os.PathLike, mmsi: int | Sequence[int] | None = None, every_point: bool = False) -> Path:
         df = self.lazy(with_ts=True)

@@ -2,7 +2,8 @@
 
 All four kinds are expressions over one window on the vessel: one shuffle, one
 sort, and one pass that turns each row into at most four events. Rows without
-vessels, one single track, are windowed hour by hour instead.
+vessels, one single track, are windowed hour by hour instead, and so are
+vessels if ``split`` asks for it, by the unit it names.
 """
 
 from __future__ import annotations
@@ -50,21 +51,22 @@ def _of_vessels(rows: DataFrame, order: list[str], measures: list[str], stop_sog
     return rows.withColumn("begin", carried_forward(_begin(), w)) if "SOG" in measures else rows
 
 
-def _of_one_track(rows: DataFrame, order: list[str], measures: list[str], stop_sog: float) -> DataFrame:
-    """The same for rows that are all one track, dealt by hour: what an hour needs of the others is handed to it."""
-    rows, w, nothing = by_hour(rows), track_window(HOUR, order), F.lit(None).cast("double")
+def _by_spans(rows: DataFrame, order: list[str], measures: list[str], stop_sog: float, key: str | None, unit: str) -> DataFrame:
+    """The same for tracks dealt by hour: what an hour needs of the track's others is handed to it."""
+    keys = [key] if key else []
+    rows, w, nothing = by_hour(rows, unit), track_window([*keys, HOUR], order), F.lit(None).cast("double")
     cog, sog, draft = (F.col(c) if c in measures else nothing for c in ("COG", "SOG", "Draft"))
-    table = rows.groupBy(HOUR).agg(
+    table = rows.groupBy(*keys, HOUR).agg(
         last_of(F.struct(F.col("ts").alias("ts"), draft.alias("draft")), order).alias("last"), last_known(cog, order).alias("cog"),
         last_known(sog, order).alias("sog"), first_of(F.struct(sog.alias("sog")), order).alias("first"),
     )
-    speed_before = F.last("sog", ignorenulls=True).over(hours_before())
+    speed_before = F.last("sog", ignorenulls=True).over(hours_before(key))
     table = table.select(
-        HOUR, F.lag("last").over(hours()).alias("h_last"), F.last("cog", ignorenulls=True).over(hours_before()).alias("h_course"), speed_before.alias("h_speed"),
+        *keys, HOUR, F.lag("last").over(hours(key)).alias("h_last"), F.last("cog", ignorenulls=True).over(hours_before(key)).alias("h_course"), speed_before.alias("h_speed"),
         # The next hour's first speed, or, if it has none of its own, what is carried on from this hour.
-        F.lead("first").over(hours()).alias("h_next"), F.coalesce(F.col("sog"), speed_before).alias("h_end"),
+        F.lead("first").over(hours(key)).alias("h_next"), F.coalesce(F.col("sog"), speed_before).alias("h_end"),
     )
-    rows = handed(rows, table)
+    rows = handed(rows, table, key)
     is_first, is_last = F.lag("ts").over(w).isNull(), F.lead("ts").over(w).isNull()
     rows = rows.withColumns({
         "course": F.coalesce(carried_forward(cog, w), "h_course"),
@@ -79,9 +81,9 @@ def _of_one_track(rows: DataFrame, order: list[str], measures: list[str], stop_s
         "was_stopped": F.when(F.col("is_first"), _is_stopped(F.col("h_speed"), stop_sog)).otherwise(F.lag("stopped").over(w)),
         "stays_stopped": F.when(F.col("is_last"), next_stopped).otherwise(F.lead("stopped").over(w)),
     })
-    begins = rows.groupBy(HOUR).agg(F.max(_begin()).alias("begin"))
-    begins = begins.select(HOUR, F.last("begin", ignorenulls=True).over(hours_before()).alias("h_begin"))
-    return handed(rows.withColumn("own_begin", carried_forward(_begin(), w)), begins).withColumn("begin", F.coalesce("own_begin", "h_begin"))
+    begins = rows.groupBy(*keys, HOUR).agg(F.max(_begin()).alias("begin"))
+    begins = begins.select(*keys, HOUR, F.last("begin", ignorenulls=True).over(hours_before(key)).alias("h_begin"))
+    return handed(rows.withColumn("own_begin", carried_forward(_begin(), w)), begins, key).withColumn("begin", F.coalesce("own_begin", "h_begin"))
 
 
 def detect_events(
@@ -94,6 +96,7 @@ def detect_events(
     group_col: str = "MMSI",
     include_draft_changes: bool = True,
     sort_output: bool = False,
+    split: str | None = None,
 ) -> DataFrame:
     """Events sharp_turn, stop, draft_change and gap, in the event schema.
 
@@ -106,6 +109,10 @@ def detect_events(
     Rows without a key or timestamp are left out; without ``group_col`` all
     rows are one track with a null MMSI; without any timestamp there are no
     events. NaN and infinite values never fire.
+
+    By default one task walks a vessel's whole track. ``split``, a unit such as
+    day, hour or minute, deals it by that span and hands on what a span needs of
+    those before, for tables in which one vessel has a large share of all rows.
     """
     df = with_timestamp(df)
     if "ts" not in df.columns:
@@ -120,7 +127,10 @@ def detect_events(
     else:
         rows = rows.withColumn("vessel", F.lit(None).cast("bigint"))
     ts = F.col("ts")
-    rows = _of_vessels(rows, order, measures, stop_sog) if key else _of_one_track(rows, order, measures, stop_sog)
+    if key and not split:
+        rows = _of_vessels(rows, order, measures, stop_sog)
+    else:
+        rows = _by_spans(rows, order, measures, stop_sog, "vessel" if key else None, split or "hour")
     events = []
     if "COG" in measures:
         turn = angle_diff_deg(F.col("course"), F.col("previous_course"))

@@ -20,7 +20,7 @@ def _double(df: DataFrame, name: str) -> Column:
     return F.col(name).try_cast("double") if name in df.columns else F.lit(None).cast("double")
 
 
-def compute_stats(df: DataFrame, level: str = "mmsi", mode: str = "lazy") -> DataFrame:
+def compute_stats(df: DataFrame, level: str = "mmsi", mode: str = "lazy", split: str | None = None) -> DataFrame:
     """A row of statistics for each MMSI, or one row if there is no MMSI column.
 
     points, distance_km, straight_km, tortuosity, turn_index_deg, avg_sog,
@@ -31,6 +31,9 @@ def compute_stats(df: DataFrame, level: str = "mmsi", mode: str = "lazy") -> Dat
     a single point has a tortuosity of 0. ``mode="eager"`` carries courses
     forward; a single point has a tortuosity of 1 and no turn index, and
     without a COG column there is none.
+
+    ``split``, a unit such as day or hour, deals a vessel's track by that span
+    instead of giving it to one task; without an MMSI column it is an hour.
     """
     if level != "mmsi":
         raise ValueError(f"Unsupported level: {level!r}")
@@ -46,11 +49,11 @@ def compute_stats(df: DataFrame, level: str = "mmsi", mode: str = "lazy") -> Dat
     points = df.select(*used).withColumns({c: _double(df, c) for c in ("LAT", "LON", "SOG", "COG")})
     w = track_window(key, order)
     here = F.struct("LAT", "LON", "COG")
-    single_track = key is None and "ts" in order
-    if single_track and mode == "lazy":
-        points = with_previous(points, order, here)
-    elif single_track:
-        points = _eager_by_hour(points, order)
+    spans = "ts" in order and (key is None or split is not None)
+    if spans and mode == "lazy":
+        points = with_previous(points, order, here, key=key, unit=split or "hour")
+    elif spans:
+        points = _eager_by_spans(points, order, key, split or "hour")
     else:
         points = points.withColumn("previous", F.lag(here).over(w))
     segment = haversine_km(F.col("previous.LAT"), F.col("previous.LON"), F.col("LAT"), F.col("LON"))
@@ -59,7 +62,7 @@ def compute_stats(df: DataFrame, level: str = "mmsi", mode: str = "lazy") -> Dat
         points = points.withColumn("turn", F.coalesce(angle_diff_deg(F.col("COG"), F.col("previous.COG")), F.lit(0.0)))
     else:
         # An unknown course at the start, or a NaN, leaves every later angle undefined, and undefined angles add nothing.
-        if not single_track:
+        if not spans:
             points = points.withColumn("course", carried_forward(F.col("COG"), w))
             points = points.withColumns({"lost": F.max(~_known(F.col("course"))).over(running(w)), "previous_course": F.lag("course").over(w)})
         turn = angle_diff_deg(F.col("course"), F.col("previous_course"))
@@ -100,20 +103,21 @@ def _known(course: Column) -> Column:
     return F.coalesce(is_finite(course), F.lit(False))
 
 
-def _eager_by_hour(points: DataFrame, order: list[str]) -> DataFrame:
-    """One track of all rows, dealt by hour: each row with the place before it, its course, that before it, and whether one was lost."""
-    points, w, here = by_hour(points), track_window(HOUR, order), F.struct("LAT", "LON", "COG")
+def _eager_by_spans(points: DataFrame, order: list[str], key: str | None, unit: str) -> DataFrame:
+    """Tracks dealt by hour: each row with the place before it, its course, that before it, and whether one was lost."""
+    keys = [key] if key else []
+    points, w, here = by_hour(points, unit), track_window([*keys, HOUR], order), F.struct("LAT", "LON", "COG")
     cog = F.col("COG")
-    table = points.groupBy(HOUR).agg(
+    table = points.groupBy(*keys, HOUR).agg(
         last_of(here, order).alias("last"), last_known(cog, order).alias("cog"), first_of(F.struct(cog), order).alias("first"),
         F.max(cog.isNotNull() & ~_known(cog)).alias("broken"),
     )
-    table = table.withColumns({"h_last": F.lag("last").over(hours()), "h_course": F.last("cog", ignorenulls=True).over(hours_before())})
+    table = table.withColumns({"h_last": F.lag("last").over(hours(key)), "h_course": F.last("cog", ignorenulls=True).over(hours_before(key))})
     # A course is unknown in an hour if one reported there is, or if the hour starts without one and none is carried into it.
     unknown = F.col("broken") | (F.col("first.COG").isNull() & ~_known(F.col("h_course")))
     table = table.withColumn("unknown", unknown)
-    table = table.select(HOUR, "h_last", "h_course", F.coalesce(F.max("unknown").over(hours_before()), F.lit(False)).alias("h_lost"))
-    points = handed(points, table).withColumn("course", F.coalesce(carried_forward(cog, w), "h_course"))
+    table = table.select(*keys, HOUR, "h_last", "h_course", F.coalesce(F.max("unknown").over(hours_before(key)), F.lit(False)).alias("h_lost"))
+    points = handed(points, table, key).withColumn("course", F.coalesce(carried_forward(cog, w), "h_course"))
     first = F.lag(here).over(w).isNull()
     return points.withColumns({
         "previous": F.coalesce(F.lag(here).over(w), F.col("h_last")),

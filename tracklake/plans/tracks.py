@@ -27,9 +27,10 @@ def with_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.withColumn(SEQUENCE, F.monotonically_increasing_id()), [SEQUENCE]
 
 
-def track_window(key: str | None, order: Sequence[str]) -> WindowSpec:
+def track_window(key: str | Sequence[str] | None, order: Sequence[str]) -> WindowSpec:
     """Without a key all rows are one track, which one task must walk through."""
-    return (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(*order)
+    keys = [key] if isinstance(key, str) else list(key or ())
+    return Window.partitionBy(*keys).orderBy(*order)
 
 
 def running(window: WindowSpec) -> WindowSpec:
@@ -41,12 +42,13 @@ def carried_forward(column: Column, window: WindowSpec) -> Column:
     return F.last(column, ignorenulls=True).over(running(window))
 
 
+#: The span of time by which long tracks are dealt: an hour, or another unit.
 HOUR = "__hour"
 
 
-def by_hour(rows: DataFrame) -> DataFrame:
-    """The rows of one track with the hour they belong to, in which they are windowed; hours are then tied together by ``handed``."""
-    return rows.withColumn(HOUR, F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")))
+def by_hour(rows: DataFrame, unit: str = "hour") -> DataFrame:
+    """Rows with the hour (or day, minute) they belong to, in which they are windowed; a track's hours are then tied together by ``handed``."""
+    return rows.withColumn(HOUR, F.date_trunc(unit, F.col("ts").cast("timestamp_ntz")))
 
 
 def last_of(value: Column, order: Sequence[str]) -> Column:
@@ -64,27 +66,29 @@ def first_of(value: Column, order: Sequence[str]) -> Column:
     return F.min_by(value, F.struct(*order))
 
 
-def hours() -> WindowSpec:
-    """The table of hours in order: a row for each hour, so one task holds it."""
-    return Window.orderBy(HOUR)
+def hours(key: str | None = None) -> WindowSpec:
+    """The table of a track's hours in order: a row for each hour, so one task holds a track's."""
+    return track_window(key, [HOUR])
 
 
-def hours_before() -> WindowSpec:
-    return hours().rowsBetween(Window.unboundedPreceding, -1)
+def hours_before(key: str | None = None) -> WindowSpec:
+    return hours(key).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def handed(rows: DataFrame, summary: DataFrame) -> DataFrame:
-    """``rows`` with what ``summary``, a table with a row for each hour only, holds for their hour."""
-    return rows.join(summary.withColumnRenamed(HOUR, "__from"), F.col(HOUR).eqNullSafe(F.col("__from"))).drop("__from")
+def handed(rows: DataFrame, summary: DataFrame, key: str | None = None) -> DataFrame:
+    """``rows`` with what ``summary``, a table with a row for each track and hour only, holds for theirs."""
+    names = {c: f"__from_{c}" for c in ([key] if key else []) + [HOUR]}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return rows.join(summary.withColumnsRenamed(names), same).drop(*names.values())
 
 
-def with_previous(rows: DataFrame, order: Sequence[str], value: Column, name: str = "previous") -> DataFrame:
-    """Each row with ``value`` (not null) of the row before it in one track of all rows, without one task for all of them.
+def with_previous(rows: DataFrame, order: Sequence[str], value: Column, name: str = "previous", key: str | None = None, unit: str = "hour") -> DataFrame:
+    """Each row with ``value`` (not null) of the row before it in its track, without one task for all of a track.
 
     The last value of each hour is handed to the first row of the next one.
     """
-    rows = by_hour(rows)
-    tails = rows.groupBy(HOUR).agg(last_of(value, order).alias("tail"))
-    own = F.lag(value).over(track_window(HOUR, order))
-    joined = handed(rows.withColumn(name, own), tails.select(HOUR, F.lag("tail").over(hours()).alias("__before")))
+    rows, keys = by_hour(rows, unit), [key] if key else []
+    tails = rows.groupBy(*keys, HOUR).agg(last_of(value, order).alias("tail"))
+    own = F.lag(value).over(track_window([*keys, HOUR], order))
+    joined = handed(rows.withColumn(name, own), tails.select(*keys, HOUR, F.lag("tail").over(hours(key)).alias("__before")), key)
     return joined.withColumn(name, F.coalesce(F.col(name), F.col("__before"))).drop(HOUR, "__before")

@@ -147,7 +147,7 @@ def _events_sql(kinds: str = "sharp_turn stop draft_change gap", key: bool = Tru
     ev as ({" union all ".join(chosen)})"""
 
 
-def _events(**limits: float) -> Query:
+def _events(**limits: object) -> Query:
     return lambda spark, d: detect_events(valid(spark, d), **limits)
 
 
@@ -342,6 +342,9 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "locf_course_speed": (_locf, f"with {VIEW} select event_id, last_value(COG ignore nulls) over w as cog, last_value(SOG ignore nulls) over w as sog from p window w as ({_W} rows unbounded preceding)"),
         **{f"events_{k}": (_only(k), f"{_events_sql(k)} {allev}") for k in ("sharp_turn", "stop", "draft_change", "gap")},
         "events_all": (_events(), f"{ev} {allev}"),
+        "events_split_by_day": (_events(split="day"), f"{ev} {allev}"),
+        "traj_stats_split_by_day": (lambda s, d: _rounded(compute_stats(valid(s, d), split="day")), _stats_sql("select * from p")),
+        "traj_stats_eager_split_by_hour": (lambda s, d: _rounded(compute_stats(valid(s, d), mode="eager", split="hour")), _stats_sql("select * from p", eager=True)),
         "events_no_draft": (_events(include_draft_changes=False), f"{_events_sql('sharp_turn stop gap')} {allev}"),
         "events_custom_thresholds": (_events(**CUSTOM), f"{_events_sql(**CUSTOM)} {allev}"),
         "events_ungrouped": (lambda s, d: detect_events(valid(s, d).drop("MMSI")), f"{_events_sql(key=False)} {allev}"),

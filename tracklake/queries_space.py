@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.functions import h3
+from tracklake.operators.areas import points_in_areas
+from tracklake.operators.encounters import encounters
 from tracklake.operators.spatial import grid_features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +91,66 @@ def _world_sql(resolution: int) -> str:
     return f"with recursive {h3_sql(points, resolution)} select id as event_id, h3 from celled"
 
 
+# -- areas: a four-cornered one for each customer, some of them with a dent
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    c = c.select(k.alias("area"), (18.0 + k * 37 % 997 / 1000.0).alias("x"), (54.0 + k * 53 % 991 / 1000.0).alias("y"), (0.004 + k % 9 * 0.003).alias("r"))
+    corner = lambda dx, dy: F.array(F.col("x") + F.col("r") * dx, F.col("y") + F.col("r") * dy)
+    return c.select("area", F.array(F.array(corner(-1.0, 0.0), corner(0.0, -0.5), corner(1.0, 0.0), corner(0.0, F.when(_is_dented(), -0.25).otherwise(1.5)))).alias("rings"))
+
+
+def _is_dented() -> Column:
+    return F.col("area") % 4 == 0
+
+
+def _in_areas(valid: Query) -> Query:
+    return lambda s, d: points_in_areas(valid(s, d).select("event_id", "LAT", "LON"), _areas(s, d)).select("event_id", "area")
+
+
+def _in_areas_sql(view: str) -> str:
+    corners = [("x - r", "y + r * 0.0"), ("x + r * 0.0", "y - r * 0.5"), ("x + r", "y + r * 0.0"), ("x + r * 0.0", "y + r * (case when area % 4 = 0 then -0.25::double else 1.5::double end)")]
+    named = ", ".join(f"{px} as x{i}, {py} as y{i}" for i, (px, py) in enumerate(corners))
+    tests, on = [], []
+    for i in range(4):
+        x1, y1, x2, y2 = f"x{i}", f"y{i}", f"x{(i + 1) % 4}", f"y{(i + 1) % 4}"
+        side = f"(({x2} - {x1}) * (LAT - {y1}) - (LON - {x1}) * ({y2} - {y1}))"
+        tests.append(f"(case when ({y1} <= LAT and LAT < {y2} and {side} > 0) or ({y2} <= LAT and LAT < {y1} and {side} < 0) then 1 else 0 end)")
+        on.append(f"({side} = 0 and LON between least({x1}, {x2}) and greatest({x1}, {x2}) and LAT between least({y1}, {y2}) and greatest({y1}, {y2}))")
+    return f"""with {view},
+    c as (
+      select c_custkey as area, 18.0::double + c_custkey * 37 % 997 / 1000.0::double as x, 54.0::double + c_custkey * 53 % 991 / 1000.0::double as y,
+        0.004::double + c_custkey % 9 * 0.003::double as r from customer),
+    a as (select area, x, y, r, {named} from c)
+    select event_id, area from p join a on LON between x - r and x + r and LAT between y - 1.5 * r and y + 1.5 * r
+    where ({" + ".join(tests)}) % 2 = 1 and not ({" or ".join(on)})"""
+
+
+# -- encounters
+
+
+def _encounters(valid: Query, km: float, minutes: float) -> Query:
+    return lambda s, d: encounters(valid(s, d), km, minutes).withColumn("min_km", F.round("min_km", 6))
+
+
+def _encounters_sql(view: str, km: float, minutes: int) -> str:
+    """Every two vessels in a span are compared."""
+    h = "pow(sin((radians(t.LAT) - radians(s.LAT)) / 2), 2) + cos(radians(s.LAT)) * cos(radians(t.LAT)) * pow(sin((radians(t.LON) - radians(s.LON)) / 2), 2)"
+    return f"""with {view},
+    s as (
+      select MMSI, slot, arg_max(LAT, (ts, LAT, LON)) as LAT, arg_max(LON, (ts, LAT, LON)) as LON
+      from (select *, datesub('millisecond', timestamp '1970-01-01', ts) // {minutes * 60_000} as slot from p) group by all),
+    m as (
+      select s.MMSI as a, t.MMSI as b, s.slot, 2 * 6371.0088 * asin(sqrt({h})) as km
+      from s join s t on s.slot = t.slot and s.MMSI < t.MMSI where 2 * 6371.0088 * asin(sqrt({h})) <= {km}),
+    r as (select *, slot - row_number() over (partition by a, b order by slot) as run from m)
+    select a as mmsi_a, b as mmsi_b, timestamp '1970-01-01' + to_milliseconds(min(slot) * {minutes * 60_000}) as start,
+      timestamp '1970-01-01' + to_milliseconds((max(slot) + 1) * {minutes * 60_000}) as "end", count(*) as slots, round(min(km), 6) as min_km
+    from r group by a, b, run"""
+
+
 def catalogue(valid: Query, view: str) -> dict[str, tuple[Query, str | None]]:
     rounded = {c: F.round(c, 6) for c in ("avg_sog", "avg_cog")}
     return {
@@ -96,6 +158,9 @@ def catalogue(valid: Query, view: str) -> dict[str, tuple[Query, str | None]]:
             lambda s, d: grid_features(valid(s, d), 7).withColumns(rounded),
             f"with recursive {view}, {h3_sql('(select event_id as id, LAT as lat, LON as lon from p)', 7)} select h3, count(*) as points, round(avg(SOG), 6) as avg_sog, round(avg(COG), 6) as avg_cog from celled join p on id = event_id group by 1",
         ),
+        "encounters": (_encounters(valid, 8.0, 60), _encounters_sql(view, 8.0, 60)),
+        "encounters_far": (_encounters(valid, 20.0, 120), _encounters_sql(view, 20.0, 120)),
+        "points_in_areas": (_in_areas(valid), _in_areas_sql(view)),
         "h3_world_base": (_world(0), _world_sql(0)),
         "h3_world_fine": (_world(8), _world_sql(8)),
     }
