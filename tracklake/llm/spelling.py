@@ -12,8 +12,9 @@ the index distributed:
   first four grams at one place.
 * Within a group, the words' grams and positions form an inverted index. Each
   query word (those of the same length, and of one letter less) merges the
-  postings of its grams by a heap, words that reach the bound are counted out,
-  and only those are verified.
+  postings of its grams by a heap. Since all grams but a few must be shared, the
+  few shortest lists and one more hold every candidate; longer ones are only
+  counted against. Words that reach the bound are verified.
 
 A group of many words is split into blocks by a hash of the word; every query
 word goes to all blocks of its group, so nothing is left out and a task holds
@@ -32,8 +33,8 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -142,26 +143,39 @@ class _Block:
 
     def __init__(self, size: int, rows: list[tuple[str, int]]):
         self.size, self.rows = size, rows
-        self.postings: dict[tuple[str, int], list[int]] = defaultdict(list)
+        self.places: list[set[tuple[int, str]]] = []
+        self.postings: dict[tuple[int, str], list[int]] = {}
         for i, (word, _) in enumerate(rows):
-            for at, gram in enumerate(grams(word)):
-                self.postings[gram, at].append(i)
+            own = list(enumerate(grams(word)))
+            self.places.append(set(own))
+            for at in own:
+                self.postings.setdefault(at, []).append(i)
 
     def near(self, word: str) -> Iterator[tuple[str, int]]:
-        """Words of the block within one edit; of the same length only those after ``word``."""
-        own, least = grams(word), self.size + Q - 1 - Q
-        shifts = (0,) if len(word) == self.size else (0, 1)
-        lists = [found for at, gram in enumerate(own) for s in shifts if (found := self.postings.get((gram, at + s)))]
-        if len(lists) < least:
-            return
-        last, count = -1, 0
-        for i in heapq.merge(*lists, (len(self.rows),)):
+        """Words of the block within one edit; of the same length only those after ``word``.
+
+        A word that shares all grams but ``missing`` is in one of any
+        ``missing`` + 1 of their lists, so only the shortest ones are merged;
+        the number of shared grams decides who is compared.
+        """
+        own = list(enumerate(grams(word)))
+        same = len(word) == self.size
+        least = self.size + Q - 1 - Q
+        missing = len(own) - least
+        if same:
+            lists, wanted = [self.postings.get(at, ()) for at in own], set(own)
+        else:  # the other word's gram is at the same place or one further
+            lists = [(*self.postings.get((at, g), ()), *self.postings.get((at + 1, g), ())) for at, g in own]
+            wanted = {*own, *((at + 1, g) for at, g in own)}
+        lists.sort(key=len)
+        shortest = [found if same else sorted(found) for found in lists[: missing + 1] if found]
+        last = -1
+        for i in heapq.merge(*shortest) if len(shortest) > 1 else chain(*shortest):
             if i != last:
-                # With two shifts a gram may meet itself twice; the bound stays a lower one, the edit decides.
-                if count >= least and (other := self.rows[last])[0] != word and (len(word) < self.size or word < other[0]) and one_edit(word, other[0]):
+                last = i
+                other = self.rows[i]
+                if not (same and other[0] <= word) and len(wanted & self.places[i]) >= least and one_edit(word, other[0]):
                     yield other
-                last, count = i, 0
-            count += 1
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
