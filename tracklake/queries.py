@@ -397,7 +397,7 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
             f"with {VIEW} select event_type as task, (MMSI % 3)::varchar as engine, count(*) as runs, round(median(SOG), 6) as median_s, round(avg(SOG), 6) as mean_s, round(stddev_samp(SOG), 6) as sd_s from p group by all",
         ),
     }
-    return found | queries_space.catalogue(valid, VIEW) | queries_time.catalogue(valid, points, VIEW, _ONLINE_SQL)
+    return found | queries_space.catalogue(valid, VIEW) | queries_time.catalogue(valid, points, VIEW, _ONLINE_SQL, _hav)
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tracklake.functions.parsing import with_timestamp
 from tracklake.operators.asof import asof_join
+from tracklake.operators.sketches import daily_sketches, estimates, merged
+from tracklake.operators.trips import resample, trips
 from tracklake.scratch import scratch
 from tracklake.streaming.ordered import detect_events_in_order
 from tracklake.streaming.sources import read_csv_stream, use_rocksdb
@@ -134,7 +136,72 @@ def _asof_sql(view: str, tolerance_s: int | None = None) -> str:
     from (select * from p where event_type = 'click') l asof left join r on l.MMSI = r.MMSI and l.ts >= r.ts"""
 
 
-def catalogue(valid: Query, points: Query, view: str, online_sql: str) -> dict[str, tuple[Query, str | None]]:
+# -- trips, regular times, sketches
+
+
+def _trips(valid: Query) -> Query:
+    return lambda s, d: trips(valid(s, d), gap_min=240).withColumns({c: F.round(c, 6) for c in ("distance_km", "avg_sog")})
+
+
+def _trips_sql(view: str, hav: Callable[[str, str, str, str], str]) -> str:
+    return f"""with {view},
+    s as (
+      select *, coalesce(datesub('millisecond', lag(ts) over w, ts) > 240 * 60000, true) as begins, {hav("lag(LAT) over w", "lag(LON) over w", "LAT", "LON")} as km
+      from p window w as (partition by MMSI order by ts, event_id)),
+    t as (select *, sum(begins::int) over (partition by MMSI order by ts, event_id rows unbounded preceding) as trip from s)
+    select MMSI, trip, min(ts) as start, max(ts) as "end", count(*) as points, round(sum(case when begins then 0 else km end), 6) as distance_km, round(avg(SOG), 6) as avg_sog
+    from t group by MMSI, trip"""
+
+
+def _resampled(valid: Query) -> Query:
+    return lambda s, d: resample(valid(s, d), step_s=900, max_gap_s=3 * 3600).withColumns({c: F.round(c, 6) for c in ("LAT", "LON", "SOG")})
+
+
+def _resampled_sql(view: str) -> str:
+    """By way of vectors: the point between is the sum of both, weighed by sines."""
+    return f"""with {view},
+    s as (select MMSI, datesub('millisecond', timestamp '1970-01-01', ts) as ms, LAT, LON, SOG from p qualify row_number() over (partition by MMSI, ts order by event_id desc) = 1),
+    n as (select *, lead(ms) over w as ms2, lead(LAT) over w as lat2, lead(LON) over w as lon2, lead(SOG) over w as sog2 from s window w as (partition by MMSI order by ms)),
+    g as (
+      select *, unnest(range(((ms + 899999) // 900000) * 900000, ms2, 900000)) as tick from n where ms2 - ms <= 10800000
+      union all select *, ms as tick from n where ms % 900000 = 0 and (ms2 is null or ms2 - ms > 10800000)),
+    f as (
+      select *, case when ms2 is null then 0.0 else (tick - ms) / (ms2 - ms) end as f,
+        acos(greatest(-1, least(1, sin(radians(LAT)) * sin(radians(lat2)) + cos(radians(LAT)) * cos(radians(lat2)) * cos(radians(lon2 - LON))))) as w from g),
+    xyz as (
+      select *, sin((1 - f) * w) * cos(radians(LAT)) * cos(radians(LON)) + sin(f * w) * cos(radians(lat2)) * cos(radians(lon2)) as x,
+        sin((1 - f) * w) * cos(radians(LAT)) * sin(radians(LON)) + sin(f * w) * cos(radians(lat2)) * sin(radians(lon2)) as y,
+        sin((1 - f) * w) * sin(radians(LAT)) + sin(f * w) * sin(radians(lat2)) as z from f)
+    select MMSI, timestamp '1970-01-01' + to_milliseconds(tick) as ts, round(case when tick = ms then LAT else degrees(atan2(z, sqrt(x * x + y * y))) end, 6) as LAT,
+      round(case when tick = ms then LON else degrees(atan2(y, x)) end, 6) as LON, round(case when tick = ms then SOG else SOG + (sog2 - SOG) * f end, 6) as SOG
+    from xyz"""
+
+
+def _weeks(valid: Query) -> Query:
+    """Sketches by cell and day, stored, and merged to weeks: within their bounds of the exact numbers, which are beside them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v, path = valid(spark, sf_dir), scratch(spark, "sketches")
+        daily_sketches(v, 2).write.parquet(path)
+        week = F.date_trunc("week", F.col("day")).cast("date").alias("week")
+        rolled = estimates(merged(spark.read.parquet(path), week), (0.5, 0.9))
+        own = F.date_trunc("week", F.col("ts")).cast("date").alias("week")
+        exact = v.groupBy(own).agg(F.count_distinct("MMSI").alias("exact"), F.count("SOG").alias("n"))
+        # A quantile is within its bound if its rank is: the share of the speeds that don't exceed it.
+        ranked = v.join(rolled.select("week", "sog_p50", "sog_p90"), own == F.col("week")).groupBy("week").agg(
+            *(F.avg((F.col("SOG") <= F.col(f"sog_p{q}")).cast("double")).alias(f"rank_{q}") for q in (50, 90))
+        )
+        found = rolled.join(exact, "week").join(ranked, "week")
+        close = lambda q: F.abs(F.col(f"rank_{q}") - q / 100) <= 0.015 + 1 / F.col("n")
+        return found.select(
+            "week", "points", F.col("exact").alias("vessels"), (F.abs(F.col("vessels") - F.col("exact")) <= 0.03 * F.col("exact")).alias("vessels_close"),
+            close(50).alias("p50_close"), close(90).alias("p90_close"),
+        )
+
+    return run
+
+
+def catalogue(valid: Query, points: Query, view: str, online_sql: str, hav: Callable[[str, str, str, str], str]) -> dict[str, tuple[Query, str | None]]:
     sums = "count(*) as points, min(ts) as first_time, max(ts) as last_time, round(avg(SOG), 6) as avg_sog, max(SOG) as max_sog"
     return {
         "online_events_in_order": (_in_order(valid), online_sql),
@@ -151,6 +218,12 @@ def catalogue(valid: Query, points: Query, view: str, online_sql: str) -> dict[s
             select MMSI, start, start + interval 6 hours as "end", {sums} from b group by MMSI, start""",
         ),
         "csv_stream_late_file": (_late_file(points), f"with {view} select ts, event_id, MMSI, SOG, COG from v"),
+        "trips": (_trips(valid), _trips_sql(view, hav)),
+        "resample": (_resampled(valid), _resampled_sql(view)),
+        "sketches_by_week": (
+            _weeks(valid),
+            f"with {view} select date_trunc('week', ts)::date as week, count(*) as points, count(distinct MMSI) as vessels, true as vessels_close, true as p50_close, true as p90_close from p group by 1",
+        ),
         "asof_join": (_asof(valid), _asof_sql(view)),
         "asof_join_by_day": (_asof(valid, bucket="day"), _asof_sql(view)),
         "asof_join_tolerance": (_asof(valid, tolerance_s=3600), _asof_sql(view, 3600)),
