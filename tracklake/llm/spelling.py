@@ -11,14 +11,14 @@ the index distributed:
   out by these: a group holds the words of one length that have one of their
   first four grams at one place.
 * Within a group, the words' grams and positions form an inverted index. Each
-  query word (those of the same length, and of one letter less) merges the
+  query word (the group's own, and those of one letter less) merges the
   postings of its grams by a heap. Since all grams but a few must be shared, the
   few shortest lists and one more hold every candidate; longer ones are only
   counted against. Words that reach the bound are verified.
 
-A group of many words is split into blocks by a hash of the word; every query
-word goes to all blocks of its group, so nothing is left out and a task holds
-one block. Rarity comes from counts of gram hashes, a table of fixed size.
+A group of many words is split into blocks by a hash of the word; its words
+also query the blocks after their own, and other query words all blocks, so
+nothing is left out and a task holds one block. Rarity comes from counts of gram hashes, a table of fixed size.
 
 A word's form is its near word of the largest count, the first of these in
 code-point order, if that has at least ``RATIO`` times its own; the root follows
@@ -120,7 +120,7 @@ def _gram_counts(words: DataFrame) -> np.ndarray:
 
 
 def _index_rows(words: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Each word at the groups of its first grams, and as a query of those of its length and one more."""
+    """Each word at the groups of its first grams, and as a query of those of one letter more."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.string()), ("length", pa.int32()), ("place", pa.int32()), ("query", pa.bool_()), ("word", pa.string()), ("n", pa.int64())])
@@ -132,70 +132,101 @@ def _index_rows(words: DataFrame, counts: np.ndarray) -> DataFrame:
                     gram = own[at]
                     rows.append((gram, size, at, False, word, n))
                     # The longer word's gram is at the same place or one further.
-                    rows += [(gram, s, p, True, word, n) for s, p in ((size, at), (size + 1, at), (size + 1, at + 1))]
+                    rows += [(gram, s, p, True, word, n) for s, p in ((size + 1, at), (size + 1, at + 1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table().to_batches()[0]
 
     return words.select("word", "n").mapInArrow(place, _ROW)
 
 
 class _Block:
-    """Words of one length with their positional inverted index."""
+    """Words of one length with their positional inverted index.
+
+    A word that shares all of a query's grams but ``missing`` is in one of any
+    ``missing`` + 1 of their postings lists, so only the shortest ones are
+    merged; a query of which more grams have no list at all has no near word
+    here. The number of shared grams decides who is compared.
+    """
 
     def __init__(self, size: int, rows: list[tuple[str, int]]):
         self.size, self.rows = size, rows
-        self.places: list[set[tuple[int, str]]] = []
+        self.least = size + Q - 1 - Q
+        self.own = [list(enumerate(grams(word))) for word, _ in rows]
+        self.places = list(map(set, self.own))
         self.postings: dict[tuple[int, str], list[int]] = {}
-        for i, (word, _) in enumerate(rows):
-            own = list(enumerate(grams(word)))
-            self.places.append(set(own))
+        for i, own in enumerate(self.own):
             for at in own:
                 self.postings.setdefault(at, []).append(i)
 
+    def _compared(self, word: str, lists: list[list[int]], wanted: set[tuple[int, str]], after: int = -1) -> Iterator[tuple[str, int]]:
+        last = after
+        for i in heapq.merge(*lists) if len(lists) > 1 else chain(*lists):
+            if i > last:
+                last = i
+                if len(wanted & self.places[i]) >= self.least and one_edit(word, self.rows[i][0]):
+                    yield self.rows[i]
+
+    def within(self) -> Iterator[tuple[tuple[str, int], tuple[str, int]]]:
+        """Pairs of the block's own words."""
+        for i, own in enumerate(self.own):
+            lists = [self.postings[at] for at in own]
+            if sum(len(found) == 1 for found in lists) <= Q:  # lists of this word alone tell nothing
+                lists.sort(key=len)
+                for other in self._compared(self.rows[i][0], lists[: Q + 1], self.places[i], i):
+                    yield self.rows[i], other
+
     def near(self, word: str) -> Iterator[tuple[str, int]]:
-        """Words of the block within one edit; of the same length only those after ``word``.
-
-        A word that shares all grams but ``missing`` is in one of any
-        ``missing`` + 1 of their lists, so only the shortest ones are merged;
-        the number of shared grams decides who is compared.
-        """
-        own = list(enumerate(grams(word)))
-        same = len(word) == self.size
-        least = self.size + Q - 1 - Q
-        missing = len(own) - least
-        if same:
-            lists, wanted = [self.postings.get(at, ()) for at in own], set(own)
+        """Words of the block within one edit of a word of its length, or of one letter less."""
+        get, own = self.postings.get, list(enumerate(grams(word)))
+        missing = len(own) - self.least
+        if len(word) == self.size:
+            lists, wanted = [found for at in own if (found := get(at))], own
         else:  # the other word's gram is at the same place or one further
-            lists = [(*self.postings.get((at, g), ()), *self.postings.get((at + 1, g), ())) for at, g in own]
-            wanted = {*own, *((at + 1, g) for at, g in own)}
-        lists.sort(key=len)
-        shortest = [found if same else sorted(found) for found in lists[: missing + 1] if found]
-        last = -1
-        for i in heapq.merge(*shortest) if len(shortest) > 1 else chain(*shortest):
-            if i != last:
-                last = i
-                other = self.rows[i]
-                if not (same and other[0] <= word) and len(wanted & self.places[i]) >= least and one_edit(word, other[0]):
-                    yield other
+            shifted = [(at + 1, g) for at, g in own]
+            lists, wanted = [], own + shifted
+            for at, further in zip(own, shifted, strict=True):
+                here, there = get(at), get(further)
+                if here or there:
+                    lists.append(sorted(here + there) if here and there else here or there)
+        absent = len(own) - len(lists)
+        if absent <= missing:
+            lists.sort(key=len)
+            yield from self._compared(word, lists[: missing + 1 - absent], set(wanted))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """word, near, n, near_n for each pair of near words, one way round; pairs that share several grams come several times."""
+    """word, near, n, near_n for each pair of near words, the shorter or lesser first; pairs that share several grams come several times."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, words, block = None, [], None
+
+        def found(pairs: Iterator[tuple[tuple[str, int], tuple[str, int]]], out: list[tuple[str, str, int, int]]) -> None:
+            for (word, n), (other, m) in pairs:
+                out.append((word, other, n, m) if (len(word), word) < (len(other), other) else (other, word, m, n))
+
+        def ended(out: list[tuple[str, str, int, int]]) -> None:
+            if len(words) > 1:
+                found((block or _Block(key[1], words)).within(), out)
+
+        def batch_of(out: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "near", "n", "near_n"])
+
         for batch in batches:
             out: list[tuple[str, str, int, int]] = []
             for gram, size, place, salt, query, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (gram, size, place, salt) != key:
+                    ended(out)
                     key, words, block = (gram, size, place, salt), [], None
                 if not query:
                     words.append((word, n))
                 elif words:
                     block = block or _Block(size, words)
-                    out += [(word, other, n, m) for other, m in block.near(word)]
-            columns = zip(*out, strict=True) if out else ([], [], [], [])
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "near", "n", "near_n"])
+                    found((((word, n), other) for other in block.near(word)), out)
+            yield batch_of(out)
+        out = []
+        ended(out)
+        yield batch_of(out)
 
     keys = ["gram", "length", "place", "salt"]
     sorted_rows = rows.select(*keys, "query", "word", "n").repartition(*keys).sortWithinPartitions(*keys, "query")
@@ -203,14 +234,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """With ``salt``, the block of a group: one for a word of the index, each for a query."""
+    """With ``salt``, the block of a group: a word of the index is in one, and a query of those after it; other queries go to all."""
     keys = ["gram", "length", "place"]
     large = rows.where(~F.col("query")).groupBy(*keys).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > block)
     large = common.materialize(large.select(*keys, F.ceil(F.col("held") / block).cast("int").alias("parts")), "large-gram-groups")
     few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     joined = rows.join(F.broadcast(large) if few else large.hint("merge"), keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.array(F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
-    return joined.withColumn("salt", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    own = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
+    first = F.when(F.col("query"), 0).otherwise(own)
+    salted = joined.withColumn("own", own).withColumn("salt", F.explode(F.sequence(first, F.col("parts") - 1)))
+    return salted.withColumn("query", F.col("query") | (F.col("salt") > F.col("own")))
 
 
 def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
