@@ -248,3 +248,23 @@ def test_numbers_in_text_columns(spark):
     for kind in ("bigint", "double"):
         rows = df.select("t", number_from_text(F.col("t"), kind).cast("string").alias("a"), F.col("t").try_cast(kind).cast("string").alias("b")).collect()
         assert [(r.t, r.a) for r in rows] == [(r.t, r.b) for r in rows]
+
+
+def test_heads_of_many_files_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    from tracklake.sources import files, scan_many
+
+    monkeypatch.setattr(files, "HEADS_ON_DRIVER", 3)
+    monkeypatch.setattr(files, "HEADS_PER_TASK", 2)
+    for i in range(7):
+        header, sep = (("MMSI,SOG", ","), ("sog;mmsi", ";"), ("", ","))[i % 3]
+        (tmp_path / f"{i}.csv").write_text(header + ("\n" + sep.join(("1", "7") if header[:1] == "M" else ("7", "1")) if header else ""))
+    got = scan_many(spark, tmp_path).collect()
+    assert sorted((r.MMSI, r.SOG) for r in got) == [("1", "7")] * 5
+
+
+def test_parquet_schemas_are_merged_on_request(spark, tmp_path):
+    spark.sql("select 1L as MMSI, 54.0D as LAT, 18.0D as LON").write.parquet(str(tmp_path / "a.parquet"))
+    spark.sql("select 2L as MMSI, 54.0D as LAT, 18.0D as LON, 7.0D as SOG").write.parquet(str(tmp_path / "b.parquet"))
+    merged = TrackDataset(tmp_path, "*.parquet", spark, merge_schema=True).lazy().collect()
+    assert sorted((r.MMSI, r.SOG) for r in merged) == [(1, None), (2, 7.0)]
+    assert TrackDataset(tmp_path, "*.parquet", spark).lazy().count() == 2

@@ -43,7 +43,10 @@ def valid_geo() -> Column:
 
 @dataclass(frozen=True)
 class TrackDataset:
-    """Position reports under a folder. Every method gives a new dataset; nothing runs until output is asked for."""
+    """Position reports under a folder. Every method gives a new dataset; nothing runs until output is asked for.
+
+    ``merge_schema`` is for Parquet files that differ in columns; CSV files may always.
+    """
 
     root: str | os.PathLike | None = None
     pattern: str = "*.csv"
@@ -54,14 +57,14 @@ class TrackDataset:
     _selected: tuple[str, ...] | None = None
     _filters: tuple[tuple[str, Any], ...] = field(default=())
     _time: tuple[tuple[datetime, datetime], ...] = field(default=())
+    merge_schema: bool = False
 
     def __post_init__(self) -> None:
         if self.source is not None:
             return
         spark = self.spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         files = discover_files(self.root, self.pattern, spark)
-        scan = scan_parquet if self.pattern.endswith(".parquet") else None
-        frame = scan(spark, files) if scan else scan_files(spark, files)
+        frame = scan_parquet(spark, files, self.merge_schema) if self.pattern.endswith(".parquet") else scan_files(spark, files)
         for name, value in (("spark", spark), ("files", tuple(files)), ("source", frame)):
             object.__setattr__(self, name, value)
 

@@ -152,10 +152,9 @@ def _encounters_sql(view: str, km: float, minutes: int) -> str:
 
 
 def catalogue(valid: Query, view: str) -> dict[str, tuple[Query, str | None]]:
-    rounded = {c: F.round(c, 6) for c in ("avg_sog", "avg_cog")}
     return {
         "grid_h3": (
-            lambda s, d: grid_features(valid(s, d), 7).withColumns(rounded),
+            lambda s, d: grid_features(valid(s, d), 7).withColumns({c: F.round(c, 6) for c in ("avg_sog", "avg_cog")}),
             f"with recursive {view}, {h3_sql('(select event_id as id, LAT as lat, LON as lon from p)', 7)} select h3, count(*) as points, round(avg(SOG), 6) as avg_sog, round(avg(COG), 6) as avg_cog from celled join p on id = event_id group by 1",
         ),
         "encounters": (_encounters(valid, 8.0, 60), _encounters_sql(view, 8.0, 60)),

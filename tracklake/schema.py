@@ -31,24 +31,24 @@ DEFAULT_COLUMNS: dict[str, str] = {
 }
 
 # Header spellings of each canonical name, after lower-casing and removal of all but letters and digits.
-HEADER_KEYS: dict[str, str] = {
-    "MMSI": "mmsi maritimemobileserviceidentity",
-    "BaseDateTime": "basedatetime timestamp datetime time ts",
-    "LAT": "lat latitude",
-    "LON": "lon long lng longitude",
-    "SOG": "sog speedoverground",
-    "COG": "cog courseoverground",
-    "Heading": "heading trueheading",
-    "IMO": "imo imonumber",
-    "CallSign": "callsign",
-    "VesselName": "vesselname shipname",
-    "VesselType": "vesseltype",
-    "Status": "status navstatus navigationstatus",
-    "Length": "length lengthm lengthmeters",
-    "Width": "width widthm widthmeters",
-    "Draft": "draft draught draughtm draftm",
-    "Cargo": "cargo",
-    "TransceiverClass": "transceiverclass transceiver aistransceiver class",
+HEADER_KEYS: dict[str, tuple[str, ...]] = {
+    "MMSI": ("mmsi", "maritimemobileserviceidentity"),
+    "BaseDateTime": ("basedatetime", "timestamp", "datetime", "time", "ts"),
+    "LAT": ("lat", "latitude"),
+    "LON": ("lon", "long", "lng", "longitude"),
+    "SOG": ("sog", "speedoverground"),
+    "COG": ("cog", "courseoverground"),
+    "Heading": ("heading", "trueheading"),
+    "IMO": ("imo", "imonumber"),
+    "CallSign": ("callsign",),
+    "VesselName": ("vesselname", "shipname"),
+    "VesselType": ("vesseltype",),
+    "Status": ("status", "navstatus", "navigationstatus"),
+    "Length": ("length", "lengthm", "lengthmeters"),
+    "Width": ("width", "widthm", "widthmeters"),
+    "Draft": ("draft", "draught", "draughtm", "draftm"),
+    "Cargo": ("cargo",),
+    "TransceiverClass": ("transceiverclass", "transceiver", "aistransceiver", "class"),
 }
 
 # Exact vendor names in frames that are already loaded.
@@ -79,7 +79,7 @@ EVENT_SCHEMA = (
     .add("gap_s", T.LongType())
 )
 
-_CANONICAL = {key: name for name, keys in HEADER_KEYS.items() for key in keys.split()}
+_CANONICAL = {key: name for name, keys in HEADER_KEYS.items() for key in keys}
 
 
 def column_key(name: str) -> str:

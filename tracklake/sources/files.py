@@ -1,8 +1,9 @@
 """Discovery and tolerant reading of CSV files with differing separators and headers.
 
-The driver reads only the head of each file. Files that share separator and
-header are read by one scan with an explicit all-text schema, so Spark infers
-nothing and prunes columns; scans are then united by name.
+Only the head of each file is read to tell its dialect, by the driver if there
+are few files and else by tasks. Files that share separator and header are read
+by one scan with an explicit all-text schema, so Spark infers nothing and prunes
+columns; scans are then united by name.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ import csv
 import glob
 import os
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -22,6 +24,9 @@ from tracklake.schema import canonical_names, normalize_header
 
 SEPARATORS = (",", ";", "\t", "|")
 HEAD_BYTES = 8192
+#: Files whose heads the driver reads itself, and of those that a task reads beyond that.
+HEADS_ON_DRIVER = 256
+HEADS_PER_TASK = 500
 
 
 def _is_remote(path: str) -> bool:
@@ -78,7 +83,7 @@ def sniff_separator(path: str | os.PathLike, sample_bytes: int = HEAD_BYTES, spa
     return separator_of(_header_line(_head(os.fspath(path), sample_bytes, spark)))
 
 
-def _dialect(path: str, spark: SparkSession) -> tuple[str, tuple[str, ...]]:
+def _dialect(path: str, spark: SparkSession | None) -> tuple[str, tuple[str, ...]]:
     size = HEAD_BYTES
     while True:
         head = _head(path, size, spark)
@@ -90,6 +95,24 @@ def _dialect(path: str, spark: SparkSession) -> tuple[str, tuple[str, ...]]:
     return sep, tuple(next(csv.reader([line], delimiter=sep), []))
 
 
+def _dialects(files: Sequence[str], spark: SparkSession) -> list[tuple[str, tuple[str, ...]]]:
+    """The dialect of each file. Heads of many files that any task can open are read by tasks."""
+    if len(files) <= HEADS_ON_DRIVER or any(map(_is_remote, files)):
+        with ThreadPoolExecutor(min(32, len(files))) as pool:
+            return list(pool.map(lambda f: _dialect(f, spark), files))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_dialect(path, None) for path in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f[0] for f in found]), pa.array([list(f[1]) for f in found], pa.list_(pa.string()))], ["n", "sep", "header"]
+            )
+
+    table = spark.createDataFrame(list(enumerate(files)), "n bigint, path string").repartition(-(-len(files) // HEADS_PER_TASK))
+    rows = sorted(table.mapInArrow(read, "n bigint, sep string, header array<string>").collect(), key=lambda r: r.n)
+    return [(r.sep, tuple(r.header)) for r in rows]
+
+
 def _as_path(path: str) -> str:
     return path if _is_remote(path) else "file://" + os.path.abspath(path)
 
@@ -100,9 +123,8 @@ def scan_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     if not files:
         raise FileNotFoundError("No files match: the list of files is empty")
     groups: dict[tuple[str, tuple[str, ...]], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(min(32, len(files))) as pool:
-        for path, dialect in zip(files, pool.map(lambda f: _dialect(f, spark), files), strict=True):
-            groups[dialect].append(path)
+    for path, dialect in zip(files, _dialects(files, spark), strict=True):
+        groups[dialect].append(path)
     frames = []
     for (sep, header), paths in groups.items():
         if not header:
@@ -123,7 +145,10 @@ def scan_many(spark: SparkSession, root: str | os.PathLike, pattern: str = "*.cs
     return scan_files(spark, discover_files(root, pattern, spark))
 
 
-def scan_parquet(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Parquet files or folders, with canonical names."""
+def scan_parquet(spark: SparkSession, paths: str | Sequence[str], merge_schema: bool = False) -> DataFrame:
+    """Parquet files or folders, with canonical names.
+
+    Columns are those of one file; ``merge_schema`` reads the footers of all, for files that differ in columns.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return normalize_header(spark.read.option("mergeSchema", True).parquet(*map(_as_path, paths)))
+    return normalize_header(spark.read.option("mergeSchema", merge_schema).parquet(*map(_as_path, paths)))

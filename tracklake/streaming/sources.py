@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-from concurrent.futures import ThreadPoolExecutor
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracklake.schema import canonical_names
-from tracklake.sources.files import _as_path, _dialect, discover_files
+from tracklake.sources.files import _as_path, _dialects, discover_files
 from tracklake.streaming.paged import CsvPages
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,10 +23,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def _columns(files: list[str], spark: SparkSession) -> list[str]:
-    """Canonical names of all files' columns; heads are read 32 at a time."""
-    with ThreadPoolExecutor(32) as pool:
-        headers = [header for _, header in pool.map(lambda f: _dialect(f, spark), files)]
-    return list(dict.fromkeys(name for header in headers for name in canonical_names(header)))
+    """Canonical names of all files' columns."""
+    return list(dict.fromkeys(name for _, header in _dialects(files, spark) for name in canonical_names(header)))
 
 
 def read_csv_stream(
