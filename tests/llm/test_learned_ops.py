@@ -62,6 +62,7 @@ def test_recall_over_many_lists(spark):
 def test_recall_does_not_fall_with_more_lists(spark, monkeypatch):
     # Vectors without clusters, in many short lists: a fixed number of lists holds ever fewer of the neighbours.
     monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    monkeypatch.setattr(ann, "CALIBRATED_RECALL", 0.995)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(8000, 32)).astype(np.float32)
     rows = list(enumerate(x.tolist()))
@@ -70,10 +71,44 @@ def test_recall_does_not_fall_with_more_lists(spark, monkeypatch):
     assert ann.recall(pairs(got), pairs(want)) >= 0.98
 
 
+@pytest.mark.parametrize("size", [400, 2000])
+def test_small_tables_are_searched_by_lists(spark, monkeypatch, size):
+    """Lists prune on tables of the given sizes too, and a query that reads all of them gets exact results."""
+    read, answers = [], ann._answers
+
+    def watched(postings, probes, *rest):
+        read.append((postings.select("list").distinct().count(), probes.count() / max(1, probes.select("rep").distinct().count())))
+        return answers(postings, probes, *rest)
+
+    monkeypatch.setattr(ann, "_answers", watched)
+    x = np.random.default_rng(12).normal(size=(size, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    table, want = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), brute_nearest(rows)
+    asked = F.col("vec_id") % 10 == 0
+    pairs = lambda d: {(q, i) for q, v in d.items() for _, i, _ in v}
+    got = found_nearest(ann.nearest(table, asked))
+    assert len(got) == size // 10 and ann.recall(pairs({q: got[q] for q in want}), pairs(want)) >= 0.9
+    lists, each = read[0]
+    assert lists >= int(size**0.5) - 1 and each < (lists / 2 if size == 2000 else lists)
+    monkeypatch.setattr(ann, "reach_for", lambda entries, wanted, graph, k: ann.Reach(np.inf, len(graph.centroids)))
+    assert found_nearest(ann.nearest(table)) == want
+
+
+def test_calibration_leaves_queries_to_the_lists(spark, monkeypatch):
+    """Few queries are not answered by their own calibration; of many, a share is."""
+    seen, true = [], ann._true_neighbours
+    monkeypatch.setattr(ann, "CALIBRATION", 20)
+    monkeypatch.setattr(ann, "_true_neighbours", lambda entries, ids, x, k: seen.append(set(ids.tolist())) or true(entries, ids, x, k))
+    x = np.random.default_rng(13).normal(size=(600, 8)).astype(np.float32)
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<float>")
+    assert ann.nearest(table).count() == 60 and ann.nearest(table, F.col("vec_id") % 2 == 0).count() == 3000
+    assert all(len(s) == 20 for s in seen) and any(i % 2 for i in seen[0]) and not any(i % 2 for i in seen[1])
+
+
 def test_far_queries_get_ten(spark, monkeypatch):
-    """A query far from all but three vectors, one on a crowded point, and a repeated id, in more lists than a query reads at least."""
+    """A query far from all but three vectors, one on a crowded point, and a repeated id, in many lists."""
     monkeypatch.setattr(ann, "LIST_ROWS", 16)
-    monkeypatch.setattr(ann, "LEAST_PROBES", 2)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(6000, 16)).astype(np.float32)
     rows = [(i, v) for i, v in enumerate(x.tolist()) if i]
@@ -92,6 +127,7 @@ def test_far_queries_get_ten(spark, monkeypatch):
 
 def test_ragged_lengths(spark, monkeypatch):
     monkeypatch.setattr(ann, "FEW_VECTORS", 50)
+    monkeypatch.setattr(ann, "CALIBRATED_RECALL", 1.0)
     rng = np.random.default_rng(6)
     rows = [(100 * i, rng.normal(size=n).astype(np.float32).tolist()) for i, n in enumerate([*range(1, 60), *[70] * 80])]
     rows += [(100 * i + 1, rng.normal(size=n).astype(np.float32).tolist()) for i, n in enumerate(range(1, 60))]
@@ -111,8 +147,8 @@ def test_graph_search_finds_nearest_centroids():
     d = np.sqrt(ann._distances(x, graph.centroids))
     place = d.argsort(1).argsort(1)
     for ratio, width in [(1.0, 64), (1.1, 400), (1.5, 64), (1.5, 400), (50.0, 100)]:
-        rows, lists = ann.probes_of(graph, x, ratio, width)
-        want = {(i, j) for i, j in zip(*np.nonzero((d <= ratio * d.min(1, keepdims=True)) & (place < width) | (place < 64)), strict=True)}
+        rows, lists = ann.probes_of(graph, x, ann.Reach(ratio, width))
+        want = {(i, j) for i, j in zip(*np.nonzero((d <= ratio * d.min(1, keepdims=True)) & (place < width)), strict=True)}
         got = set(zip(rows.tolist(), lists.tolist(), strict=True))
         assert len(got) == len(rows) and len(want & got) >= 0.97 * len(want) and len(got) <= 1.03 * len(want)
 

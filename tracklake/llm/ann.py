@@ -5,9 +5,10 @@ its nearest centroid and, near a border, into those of further centroids within
 a distance ratio, looked up in a neighbour graph that each task holds in memory.
 A query searches the same graph for some number of nearest centroids and reads
 the lists of those within a distance ratio of the nearest one. Neither is fixed:
-a sample of queries is answered by brute force, and the number and the ratio are
-what those need for the target recall. A query that finds too few vectors so
-reads all lists. Long lists are cut into blocks, so no task holds more than a
+a sample is answered by brute force, and the number and the ratio are what it
+needs for the target recall. The sample is of queries only if these are many;
+otherwise it is of all vectors, so queries are never answered by their own
+calibration. A query that finds too few vectors so reads all lists. Long lists are cut into blocks, so no task holds more than a
 block however many vectors crowd around one centroid.
 
 Equal vectors are one entry that carries the few smallest ids which can appear
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from tracklake.llm import common
 
 NEAREST = 10
-#: Vectors for each centroid, on average, and centroids at most (4 kB each with their links in every task).
+#: Vectors for each centroid, on average (fewer in tables of less than its square: as many centroids as vectors for each),
+#: and centroids at most (4 kB each with their links in every task).
 LIST_ROWS, MOST_CENTROIDS = 256, 8192
 #: Distinct vectors that the centroids are fitted on, at most.
 SAMPLE_VECTORS = 20_000
@@ -48,12 +50,14 @@ LINKS, BEAM = 24, 64
 REPLICA_RATIO = 1.08
 #: Lists of one vector at most; one is enough for it to be found, so none is lost.
 MOST_REPLICAS = 4
-#: Lists that a query reads at least, if there are so many: a query that lies on a centroid has no ratio.
-LEAST_PROBES = 64
-#: Vector lengths of at most so many vectors are compared in full.
-FEW_VECTORS = 4096
-#: Queries answered by brute force to set the number of lists, and the share of their neighbours that those must hold.
-CALIBRATION, CALIBRATED_RECALL = 256, 0.995
+#: Vector lengths of at most so many vectors, those of one list, are compared in full.
+FEW_VECTORS = 256
+#: Vectors answered by brute force to set the number of lists, and the share of their neighbours that those must hold.
+CALIBRATION, CALIBRATED_RECALL = 256, 0.97
+#: The calibration takes queries if it needs one in so many of them at most, otherwise any vectors.
+SHARE_OF_QUERIES = 4
+#: A query that lies on a centroid has no ratio: it counts as this quantile of the calibration's distances from the nearest.
+CLOSE = 0.25
 
 
 def usable(v: Column) -> Column:
@@ -176,11 +180,20 @@ def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, found[rows, at]
 
 
-def probes_of(graph: CentroidGraph, x: np.ndarray, ratio: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) for those of each row's ``width`` nearest centroids that are within ``ratio`` of the nearest, and LEAST_PROBES at least."""
-    found, dist = graph.search(x, max(width, LEAST_PROBES))
-    keep = np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-12)
-    keep[:, :LEAST_PROBES] = np.isfinite(dist[:, :LEAST_PROBES])
+@dataclass
+class Reach:
+    """Which lists a query reads: the ``width`` nearest at most, of centroids within ``ratio`` of the nearest one's distance, or of ``close`` if that is less."""
+
+    ratio: float
+    width: int
+    close: float = 0.0
+
+
+def probes_of(graph: CentroidGraph, x: np.ndarray, reach: Reach) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) for the lists that each row reads, its nearest one at least."""
+    found, dist = graph.search(x, max(reach.width, BEAM))
+    keep = np.isfinite(dist) & (dist <= reach.ratio * np.maximum(dist[:, :1], reach.close) + 1e-12)
+    keep[:, reach.width :] = False
     rows, at = np.nonzero(keep)
     return rows, found[rows, at]
 
@@ -238,18 +251,21 @@ def _true_neighbours(entries: DataFrame, ids: np.ndarray, x: np.ndarray, k: int)
     return entries.select("rep", "vec").join(F.broadcast(best), "rep").select("query", "vec")  # k rows for each of a few vectors
 
 
-def probes_for(entries: DataFrame, wanted: DataFrame, graph: CentroidGraph, k: int) -> tuple[float, int]:
-    """The distance ratio, and the number of nearest lists, that together leave CALIBRATED_RECALL of the true neighbours of a sample of the queries."""
+def reach_for(entries: DataFrame, wanted: DataFrame, graph: CentroidGraph, k: int) -> Reach:
+    """The distance ratio, and the number of nearest lists, that together leave CALIBRATED_RECALL of the true neighbours of a sample."""
     n = len(graph.centroids)
-    if n <= LEAST_PROBES:
-        return 1.0, n
-    sample = wanted.select("rep", "vec").orderBy(F.xxhash64(F.lit("calibration"), "rep"), "rep").limit(CALIBRATION).toArrow()
+    everything = Reach(math.inf, n)
+    if n == 1:
+        return everything
+    enough = CALIBRATION * SHARE_OF_QUERIES
+    source = wanted if wanted.select("rep").limit(enough).count() == enough else entries
+    sample = source.select("rep", "vec").orderBy(F.xxhash64(F.lit("calibration"), "rep"), "rep").limit(CALIBRATION).toArrow()
     if not sample.num_rows:
-        return 1.0, LEAST_PROBES
+        return everything
     ids, x = sample.column(0).to_numpy(), _matrix(sample.column(1))
     true = _true_neighbours(entries, ids, x, k).toArrow()
     if not true.num_rows:
-        return 1.0, LEAST_PROBES
+        return everything
     rows, lists = lists_of(graph, _matrix(true.column(1)))
     row_of = {int(q): i for i, q in enumerate(ids)}
     query = np.array([row_of[q] for q in true.column(0).to_pylist()])
@@ -258,11 +274,11 @@ def probes_for(entries: DataFrame, wanted: DataFrame, graph: CentroidGraph, k: i
     first = np.full(true.num_rows, np.inf)  # the distance of the nearest list that holds each neighbour
     np.minimum.at(first, rows, d[query[rows], lists])
     place = (order[query] < first[:, None]).sum(1) + 1
-    # What the nearest lists hold anyway needs no ratio.
-    needed = np.where(place <= LEAST_PROBES, 1.0, first / np.maximum(order[query, 0], 1e-12))
+    close = max(float(np.quantile(order[:, 0], CLOSE)), 1e-12)
+    needed = first / np.maximum(order[query, 0], close)
     # Each of the two limits may lose half of what may be lost.
     at = math.ceil((1 + CALIBRATED_RECALL) / 2 * len(needed)) - 1
-    return float(np.sort(needed)[at]) * (1 + 1e-9), int(np.sort(place)[at])
+    return Reach(float(np.sort(needed)[at]) * (1 + 1e-9), int(np.sort(place)[at]), close)
 
 
 def _compare(rows: DataFrame, keep: int) -> DataFrame:
@@ -377,14 +393,14 @@ def _search_one_length(rows: DataFrame, queries: Column, k: int) -> DataFrame:
     x = _matrix(sample.toArrow().column(0))  # bounded by SAMPLE_VECTORS
     if not len(x):
         x = _matrix(entries.select("vec").limit(1).toArrow().column(0))
-    graph = CentroidGraph.build(fit_centroids(x, max(1, min(MOST_CENTROIDS, n // LIST_ROWS))))
+    graph = CentroidGraph.build(fit_centroids(x, max(1, min(MOST_CENTROIDS, max(n // LIST_ROWS, math.isqrt(n))))))
     asked = _queries(rows, entries, queries)
     wanted = common.materialize(
         entries.select("rep", "vec").join(asked.select("rep").distinct().hint("merge"), "rep"), "query-vectors"
     )
-    ratio, width = probes_for(entries, wanted, graph, k)
+    reach = reach_for(entries, wanted, graph, k)
     postings = common.materialize(_place(entries, partial(lists_of, graph), "rep"), "postings")
-    probes = common.materialize(_place(wanted, partial(probes_of, graph, ratio=ratio, width=width), "rep"), "probes")
+    probes = common.materialize(_place(wanted, partial(probes_of, graph, reach=reach), "rep"), "probes")
     found = _answers(postings, probes, entries, wanted, asked, k)
     # Every query has at least k candidates here, or all there are; one that found fewer reads every list.
     most = entries.select(F.sum(F.size("ids"))).first()[0] - 1
