@@ -238,6 +238,31 @@ def test_published_wrapping(spark):
     assert got == {**dict.fromkeys(range(len(texts)), "MIT"), 99: None}
 
 
+HOLDERS = [
+    "Copyright (c) 2020 " + "Jane Doe, " * 60, "Copyright " + "Jane Doe, " * 60 + "2020", "Copyright Jane Doe", "Copyright The Go Authors.",
+    "copyright by Jane Doe <jane@example.com>", "Portions Copyright (c) 2020 Jane Doe", "PORTIONS COPYRIGHT 2020 JANE DOE", "# © Jane Doe", "Copyright Élan Vital and contributors",
+]
+NO_HOLDERS = ["Copyright Holders may use it freely.", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "Copyright Holder", "copyright and Related Rights", "portions of it"]
+
+
+@pytest.mark.parametrize("line", [*HOLDERS, *NO_HOLDERS])
+def test_holder_lines(line):
+    assert (license_scan.canonical_text(f"one\n{line}\ntwo") == "one two") == (line in HOLDERS)
+
+
+def test_forms_of_texts_from_lines(spark):
+    """A text's form from those of its lines equals that of the whole text, and licences under any holder line are found."""
+    mit = license_texts.LICENSES[0][1]
+    rows = [(i, f"MIT License\n\n{line}\n\n{mit}" if "MIT License" not in mit else f"{line}\n{mit}") for i, line in enumerate(HOLDERS)]
+    odd = ["", "\n", "sub\nlicence", "non\n\n-commercial third\nparties", "copyright\nowner whil\nst", "Copyright A B\r\nx\n", "per\ncent per\ncent", "x" * 70000 + "\nY"]
+    df = spark.createDataFrame([(i, t) for i, t in rows + list(enumerate(odd, 100))], "doc_id bigint, text string")
+    lines = F.transform(F.split("text", "\n"), license_scan.canonical)
+    for r in df.select("text", license_scan.canonical(F.col("text")).alias("whole"), license_scan.canonical_of_lines(lines).alias("joined")).collect():
+        assert r.whole == r.joined == license_scan.canonical_text(r.text)
+    got = {r.doc_id: r.license for r in license_scan.scan(df).collect()}
+    assert all(got[i] == "MIT" for i, _ in rows)
+
+
 def test_full_license_texts(spark):
     folder = "/usr/share/common-licenses"
     if not os.path.isdir(folder):

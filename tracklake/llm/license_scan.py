@@ -3,8 +3,9 @@
 A text is brought into a canonical form (ASCII case, copyright lines,
 punctuation and white space, equivalent spellings), hashed, and the hash joined
 to the digests of known licence texts. The same lookup is made for every line,
-which finds one-line notices inside longer documents. All of it is built-in
-expressions in one pass; the table of known digests is fixed and small, so it is
+which finds one-line notices inside longer documents; the form of a text is put
+together from those of its lines. All of it is built-in expressions in one pass;
+the table of known digests is fixed and small, so it is
 broadcast and documents are never shuffled.
 
 Defined results: a null text counts as empty and, like any text without letters
@@ -26,12 +27,25 @@ from tracklake.llm import common
 from tracklake.llm.license_texts import FULL_TEXTS, LICENSES
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Lines that name a holder, not a licence: a copyright sign, or the word with a year or a place for one. A line of the
-#: licence itself that only starts with "copyright" stays, so the form does not depend on where lines break.
+
+
+def _any_case(words: str) -> str:
+    """A pattern for ASCII words in either case; the flag of some languages folds other letters too."""
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in words)
+
+
+_NAME = r"[A-ZÀ-ÖØ-Þ][^ \t\n]*"
+_BETWEEN = r"(?:and|the|of|for|in|de|del|der|den|di|la|van|von|et|al|others|contributors|authors|&|<[^ \t\n]*)[.,]?"
+#: Lines that name a holder, not a licence: a copyright sign; the word with a year or a place for one; or, unless it is all in
+#: capitals, the word with nothing but two or more (at most 41) capitalised words. Other lines of the licence itself that start
+#: with "copyright" stay, so the form hardly depends on where lines break. Applied before case is removed.
 COPYRIGHT_LINE = (
-    r"(?m)^[ \t*#/;%-]*(?:(?:copyright[ \t]*)?(?:\(c\)|©)[^\n]{0,200}|"
-    r"copyright[^\n]{0,100}?(?:[12][0-9]{3}|[\[<{](?:yyyy|year|name|copyright))[^\n]{0,200}|all rights reserved[ \t.]*)$"
-)
+    r"(?m)^[ \t*#/;%-]*(?:" + _any_case("portions") + r"[ \t]+)?(?:"
+    r"(?:" + _any_case("copyright") + r"[ \t]*)?(?:\([cC]\)|©)[^\n]*|"
+    + _any_case("copyright") + r"[^\n]*?(?:[12][0-9]{3}|[\[<{](?:" + "|".join(map(_any_case, ("yyyy", "year", "name", "copyright"))) + r"))[^\n]*|"
+    r"[Cc]opyright[ \t]+(?:by[ \t]+)?(?:[Tt]he[ \t]+)?" + _NAME + r"(?:[ \t]+(?:" + _NAME + "|" + _BETWEEN + r")){1,40}[ \t]*|"
+    + _any_case("all rights reserved") + r"[ \t.]*)$"
+)
 #: Runs of anything but letters and digits among ASCII, and typographic marks.
 MARKS = r"[\x01-\x2f\x3a-\x60\x7b-\x7f“”‘’‚„«»–—…·•©®™ ]+"
 #: Equivalent spellings, applied in this order.
@@ -43,20 +57,29 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
 )
 
 
+def _respelled(text: Column, spellings: Sequence[tuple[str, str]]) -> Column:
+    for a, b in spellings:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def canonical(text: Column) -> Column:
-    out = F.translate(text, _UPPER, _UPPER.lower())
     # Line feeds alone end lines, as in the other languages that use the pattern.
-    out = F.regexp_replace(out, COPYRIGHT_LINE.replace("(?m)", "(?md)"), "")
-    out = F.trim(F.regexp_replace(out, MARKS, " "))
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    out = F.regexp_replace(text, COPYRIGHT_LINE.replace("(?m)", "(?md)"), "")
+    out = F.translate(out, _UPPER, _UPPER.lower())
+    return _respelled(F.trim(F.regexp_replace(out, MARKS, " ")), SPELLINGS)
+
+
+def canonical_of_lines(lines: Column) -> Column:
+    """The canonical form of a text from those of its lines; only spellings of two words can lie across a line break."""
+    whole = F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    return _respelled(whole, [(a, b) for a, b in SPELLINGS if " " in a])
 
 
 def canonical_text(text: str) -> str:
     """The same in Python, for the known texts."""
-    out = text.translate(str.maketrans(_UPPER, _UPPER.lower()))
-    out = re.sub(COPYRIGHT_LINE, "", out)
+    out = re.sub(COPYRIGHT_LINE, "", text)
+    out = out.translate(str.maketrans(_UPPER, _UPPER.lower()))
     out = re.sub(MARKS, " ", out).strip(" ")
     for a, b in SPELLINGS:
         out = out.replace(a, b)
@@ -87,18 +110,18 @@ def scan(docs: DataFrame, licenses: Sequence[tuple[str, str]] = LICENSES) -> Dat
     longest = max((len(plain) for _, text in licenses for plain in known_texts(text)), default=0)
     longest = max(longest, *(n for _, n, _ in FULL_TEXTS))
     # A line whose canonical form is longer than every known one can't be one; the others are hashed.
-    lines = F.filter(F.transform(F.split("text", "\n"), canonical), lambda x: F.length(x).between(1, longest))
-    digests = F.transform(lines, lambda x: F.sha2(x, 256))
+    short = F.filter("lines", lambda x: F.length(x).between(1, longest))
+    digests = F.transform(short, lambda x: F.sha2(x, 256))
     names = F.create_map(*(F.lit(v) for pair in known.items() for v in pair))
     found = F.array_sort(F.array_distinct(F.transform(F.array_intersect(digests, F.array(*map(F.lit, known))), lambda d: names[d])))
-    shown = docs.select("doc_id", common.text_or_empty().alias("text"))
-    hashed = shown.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.array_join(found, ",").alias("notices"))
+    shown = docs.select("doc_id", F.transform(F.split(common.text_or_empty(), "\n"), canonical).alias("lines"))
+    hashed = shown.select("doc_id", F.sha2(canonical_of_lines(F.col("lines")), 256).alias("digest"), F.array_join(found, ",").alias("notices"))
     return hashed.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license", "notices")
 
 
 def oracle(licenses: Sequence[tuple[str, str]] = LICENSES) -> str:
     def canon(x: str) -> str:
-        out = f"regexp_replace(translate({x}, '{_UPPER}', '{_UPPER.lower()}'), '{COPYRIGHT_LINE}', '', 'g')"
+        out = f"translate(regexp_replace({x}, '{COPYRIGHT_LINE}', '', 'g'), '{_UPPER}', '{_UPPER.lower()}')"
         out = f"trim(regexp_replace({out}, '{MARKS}', ' ', 'g'), ' ')"
         for a, b in SPELLINGS:
             out = f"replace({out}, '{a}', '{b}')"
