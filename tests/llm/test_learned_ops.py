@@ -223,7 +223,29 @@ LAYOUTS = {
     "one form around all": "<body><form id='aspnetForm'>{nav}<div class='content'>{a}</div>{foot}</form>",
     "more comments than text": "<body>{nav}<article>{a}</article><div class='comments'>{coms}</div>{foot}",
     "plain": "<html><head><title>x</title></head><body>{a}</body></html>",
+    "list of comments": "<html><body>{nav}<article>{a}</article><ol class='commentlist'><li><p>I liked reading this very much, thank you.</p></li>"
+    "<li><p>Nonsense, the author has no idea at all.</p></li></ol>{foot}",
+    "list of comments alone": "<html><body><article>{a}</article><ol class='commentlist'><li><p>I liked reading this very much, thank you.</p></li>"
+    "<li><p>Nonsense, the author has no idea at all.</p></li></ol></body></html>",
+    "named comments in a list": "<body>{nav}<main><div class='entry'>{a}</div></main><div id='comments'><ul class='comment-list'>"
+    "<li class='comment even' id='c-1'><div class='comment-body'><b>Ann</b><p>I liked reading this.</p><p>Thank you for it.</p></div></li></ul></div>{foot}",
+    "table without names": "<html><body><table><tr><td><a href='/'>Home</a> <a href='/n'>News</a></td><td>{a}</td></tr></table></body></html>",
+    "table of three cells": "<body><table width=100%><tr><td colspan=3><a href=/>Home</a> | <a href=/a>About us</a></td></tr><tr><td valign=top><a href=1>One</a><br>"
+    "<a href=2>Two words</a><br><a href=3>Three</a></td><td>{a}</td><td><h3>More</h3><ul><li><a href=4>Some other story</a></li><li><a href=5>One more</a></li></ul></td></tr></table>{foot}",
 }
+#: What must stay whole: lists, tables and definitions of the article itself.
+INSIDE = {
+    "list": ("<ol><li>Take two eggs and some flour.</li><li>Stir it well.</li></ol>", "Take two eggs and some flour.\nStir it well."),
+    "definitions": ("<dl><dt>Term</dt><dd>What the term means in this text.</dd></dl>", "Term\nWhat the term means in this text."),
+    "table": ("<table><tr><td>Width</td><td>12 metres</td></tr><tr><td>Length</td><td>80 metres</td></tr></table>", "Width\n12 metres\nLength\n80 metres"),
+}
+
+
+@pytest.mark.parametrize("kind", INSIDE)
+def test_parts_of_the_article_stay(model, kind):
+    html, text = INSIDE[kind]
+    page = f"<html><body>{NAV}<main>{ARTICLE}{html}</main><ol class='commentlist'><li><p>I liked reading this very much, thank you.</p></li></ol>{FOOT}</body></html>"
+    assert html_extract.main_text(page, model) == f"{ARTICLE_TEXT}\n{text}"
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)

@@ -9,10 +9,12 @@ half or more is the main text.
 
 A node's features say nothing of the nodes around it but through its text: that
 a paragraph of a sidebar is none of the article is left to the messages.
+A heading that stands beside an article, outside the list of comments it belongs
+to, therefore can't be told from a heading of the article, and stays.
 
 The potentials are trained together on labelled pages: a generator of varied
-layouts (articles with menus, sidebars, adverts, comments, broken markup) knows
-which text it wrote as content. Training takes a few hundred small pages on the
+layouts (articles with menus, sidebars, adverts, comments in boxes or lists, pages
+laid out as tables, broken markup) knows which text it wrote as content. Training takes a few hundred small pages on the
 driver; extraction is one pass without a shuffle, one page at a time.
 
 Blocks: text is gathered up to the next border of a block element; character
@@ -171,6 +173,7 @@ def parse(html: str) -> Tree:
 FEATURES = (
     "bias", "nav", "aside", "footer", "header", "form", "article", "main", "p", "heading", "list", "quote", "pre", "table", "div", "hidden",
     "figure", "names_out", "names_in", "names_both", "links_high", "links_some", "long", "medium", "short", "sentence", "role_out", "inline", "holds_main",
+    "linked_cell",
 )
 _TAG_FEATURE = {
     "nav": "nav", "menu": "nav", "aside": "aside", "footer": "footer", "header": "header", "form": "form", "fieldset": "form", "label": "form",
@@ -234,6 +237,7 @@ def features(tree: Tree) -> np.ndarray:
         size = chars[node]
         density = linked[node] / size if size else 0
         row[_AT["links_high"]], row[_AT["links_some"]] = density > 0.6, 0.3 < density <= 0.6
+        row[_AT["linked_cell"]] = density > 0.6 and tag in ("td", "th")
         row[_AT["long"]], row[_AT["medium"]], row[_AT["short"]] = size >= 200, 40 <= size < 200, size < 40
         row[_AT["sentence"]] = ends[node] > 0
     return x
@@ -383,9 +387,31 @@ class _Writer:
         return f'<form action="/s"><label>{self.words(1, 3)}</label><input name="q"><button>{self.words(1, 1)}</button><p>{self.prose(1, 20)}</p></form>'
 
     def comments(self) -> str:
+        if self.r.random() < 0.5:
+            return self.comment_list()
         each = "".join(f"<div{self.name('comment reply')}><p>{self.prose(2, 40)}</p></div>" for _ in range(self.r.randint(1, 5)))
         return self.r.choice(["<section{}>{}</section>", "<div{}>{}</div>"]).format(self.name("comments comment-list discussion"), f"<h2>{self.words(1, 2)}</h2>{each}")
 
+    def comment_list(self) -> str:
+        r = self.r
+        tag, named, inner = r.choice(["ol", "ul"]), r.choice(["", self.name("comment reply depth")]), r.choice(["<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "{}"])
+        by = r.choice(["", "<cite>{}</cite> ", "<b>{}</b><br>", "<div class='author'>{}</div>"])
+        each = "".join(f"<li{named}>{by.format(self.words(1, 2))}{inner.format(self.prose(2, 60))}{r.choice(['</li>', ''])}" for _ in range(r.randint(1, 6)))
+        return f"{r.choice(['', f'<h3>{self.words(1, 2)}</h3>'])}<{tag}{self.name('commentlist comment-list comments replies')}>{each}</{tag}>"
+
+    def cell_menu(self) -> str:
+        between = self.r.choice([" ", "<br>", " | ", "<p>"])
+        return between.join(f'<a href="/{i}">{self.words(1, 2)}</a>' for i in range(self.r.randint(2, 10)))
+
+    def in_table(self, article: str) -> str:
+        """Page and menus as cells of a table, as pages without style sheets have them."""
+        r, name = self.r, self.name
+        row = [f"<td{r.choice(['', '', name('menu nav left')])}>{self.cell_menu()}</td>", f"<td{r.choice(['', '', name('content main')])}>{article}</td>"]
+        if r.random() < 0.4:
+            row.append(f"<td>{r.choice([self.cell_menu, self.sidebar, self.notice])()}</td>")
+        above = f"<tr><td colspan={len(row)}>{self.cell_menu()}</td></tr>" if r.random() < 0.3 else ""
+        return f"<table{r.choice(['', name('layout')])}>{above}<tr>{''.join(row)}</tr></table>"
+
     def footer(self) -> str:
         return self.r.choice(["<footer>{}</footer>", "<div" + self.name("footer foot copyright") + ">{}</div>"]).format(f"&copy; {self.words(1, 3)} &middot; {self.prose(1, 20)}")
 
@@ -402,8 +428,10 @@ class _Writer:
             return "<ul>" + "".join(f"<li>{m}{self.prose(1, 20)}{r.choice(['</li>', ''])}" for _ in range(r.randint(2, 5))) + "</ul>"
         if kind < 0.9:
             return f"<blockquote><p>{m}{self.prose(2, 30)}</p></blockquote>"
-        if kind < 0.95:
+        if kind < 0.94:
             return f"<pre>{m}{self.words(3, 20)}</pre>"
+        if kind < 0.97:
+            return "<dl>" + "".join(f"<dt>{m}{self.words(1, 3)}<dd>{m}{self.prose(1, 20)}" for _ in range(r.randint(1, 4))) + "</dl>"
         return "<table>" + "".join(f"<tr><td>{m}{self.words(1, 3)}<td>{m}{self.words(1, 5)}" for _ in range(r.randint(2, 4))) + "</table>"
 
     def page(self) -> str:
@@ -416,7 +444,8 @@ class _Writer:
         article = f"<h1>{m}{self.words(2, 9)}</h1>{body}"
         odd = r.choice(["", "", "", " tags", " has-sidebar", " header-fixed", " menu-open", " share"])
         wrap = r.choice(["<article>{}</article>"] * 3 + [f"<article class='post{odd}'>{{}}</article>", f"<div class='page{odd}'><article>{{}}</article></div>"] + ["<main>{}</main>", "<main><article>{}</article></main>", "<div" + self.name("content article post entry-content main story") + ">{}</div>", "<div>{}</div>"])
-        parts = [self.menu()] + [f() for f in (self.notice, self.form, self.sidebar) if r.random() < 0.5] + [wrap.format(article)]
+        laid = self.in_table(r.choice([article, wrap.format(article)])) if r.random() < 0.12 else wrap.format(article)
+        parts = [self.menu()] + [f() for f in (self.notice, self.form, self.sidebar) if r.random() < 0.5] + [laid]
         parts += [f() for f in (self.comments, self.sidebar, self.notice) if r.random() < 0.4] + [self.footer()]
         ends = r.choice(["</head><body>", "</head><body class='no-sidebar menu-fixed'>", "<body>", ""])
         head = f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{x:1}}</style><script>var a='</p>';</script>{ends}"
