@@ -77,6 +77,14 @@ def test_encounters_of_none_and_errors(spark):
         encounters(df.drop("LAT"))
 
 
+def test_encounters_broadcast_no_positions(spark, tmp_path):
+    # A small file is a table of any number of rows once it is read, and its size says what Spark would broadcast.
+    frame(spark, [(v, START, 1.0, 1.0) for v in range(9)]).write.parquet(str(tmp_path / "points"))
+    plan = encounters(spark.read.parquet(str(tmp_path / "points")), 1.2, 10)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "part#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def star(rng, x, y, r, corners):
     angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(corners))
     return [[x + math.cos(a) * r * rng.uniform(0.3, 1), y + math.sin(a) * r * rng.uniform(0.3, 1)] for a in angles]
