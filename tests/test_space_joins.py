@@ -2,11 +2,12 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracklake.operators.areas import cover, covers, points_in_areas
+from tracklake.operators.areas import _cells, _edges, cover, covers, points_in_areas
 from tracklake.operators.encounters import FORWARD, encounters
 from tracklake.operators.events import detect_events
 from tracklake.operators.stats import compute_stats
@@ -134,6 +135,31 @@ def test_inner_cells_need_no_test_and_edges_are_few():
     assert area([c for c in done if c[3]]) > 0.9 * 0.64
 
 
+def test_covers_of_many_polygons_are_those_of_each(spark):
+    rng = random.Random(9)
+    rings = [[star(rng, rng.uniform(-170, 170), rng.uniform(-80, 80), rng.choice((0.01, 1.0)), 4)] for _ in range(1500)]
+    began = time.process_time()
+    together = list(_cells([_edges(r) for r in rings], 5))
+    # One by one in Python they take several times as long.
+    assert time.process_time() - began < 2.5
+    got = sorted((int(p), *map(int, c)) for part in together for p, *c in zip(*part[:7], strict=True))
+    some = range(0, 1500, 100)
+    want = sorted((i, *map(int, c[:5]), len(c[5])) for i in some for c in cover(rings[i], 5))
+    assert [g for g in got if g[0] % 100 == 0] == want
+    # A batch is covered in parts; a hole and a polygon of more edges than a part has are in one with others.
+    big = star(rng, 5, 50, 1, 2500)
+    table = spark.createDataFrame([(1, rings[0]), (2, [big]), (3, [*rings[1], rings[1][0][:3]])], "area bigint, rings array<array<array<double>>>")
+    counts = {r.area: r["count"] for r in covers(table.coalesce(1), 3).groupBy("area").count().collect()}
+    assert counts == {1: len(cover(rings[0], 3)), 2: len(cover([big], 3)), 3: len(cover([*rings[1], rings[1][0][:3]], 3))}
+
+
+def test_areas_broadcast_no_points(spark, tmp_path):
+    spark.createDataFrame([(1.0, 1.0)], "LAT double, LON double").write.parquet(str(tmp_path / "points"))
+    table = spark.createDataFrame([(1, [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0]]])], "area bigint, rings array<array<array<double>>>")
+    plan = points_in_areas(spark.read.parquet(str(tmp_path / "points")), table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_areas_plan_has_no_pairs_of_all(spark):
     df = spark.createDataFrame([(1.0, 1.0)], "LAT double, LON double")
     table = spark.createDataFrame([(1, [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0]]])], "area bigint, rings array<array<array<double>>>")
