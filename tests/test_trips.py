@@ -50,6 +50,12 @@ def test_resample(spark):
     assert plan.count("Exchange") == 1 and "Python" not in plan
 
 
+def test_resample_of_a_vessel_that_stays_where_it_is(spark):
+    rows = [(1, 0.0, 54.483, 18.827, 1.0), (1, 240.0, 54.483, 18.827, 3.0)]
+    got = sorted((r.t, r.LAT, r.LON, r.SOG) for r in seconds(resample(frame(spark, rows), 60, 900)).collect())
+    assert got == [(60 * i, 54.483, 18.827, 1.0 + i / 2) for i in range(5)]
+
+
 def test_resampled_points_lie_on_the_great_circle(spark):
     rows = [(1, 0.0, 60.0, -100.0, 0.0), (1, 1000.0, 40.0, 60.0, 10.0)]
     points = resample(frame(spark, rows), 100, 1000).orderBy("ts").collect()
