@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tracklake import queries as own
 from tracklake.operators.areas import _cells, _edges, cover, covers, points_in_areas
 from tracklake.operators.encounters import FORWARD, encounters
 from tracklake.operators.events import detect_events
@@ -86,6 +87,13 @@ def test_encounters_broadcast_no_positions(spark, tmp_path):
     assert joins and all("SortMergeJoin" in line for line in joins)
 
 
+def test_encounters_far_broadcasts_no_positions(spark):
+    # The query's own joins, on a table that is small as a file: what is compared is dealt, whatever its size.
+    plan = own.queries()["encounters_far"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "part#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def star(rng, x, y, r, corners):
     angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(corners))
     return [[x + math.cos(a) * r * rng.uniform(0.3, 1), y + math.sin(a) * r * rng.uniform(0.3, 1)] for a in angles]
