@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracklake import queries_time
 from tracklake.operators.asof import asof_join
 from tracklake.streaming import process_stream
 from tracklake.streaming.ordered import detect_events_in_order
@@ -105,6 +106,18 @@ def test_sliding_windows(spark, tmp_path):
     assert sorted((int(r.start.timestamp() * 1000) - start, r.points, r.vessels, r.avg_sog) for r in rows) == [(-30 * MINUTE, 1, 1, 2.0), (0, 3, 2, 3.0), (30 * MINUTE, 2, 1, 4.0)]
 
 
+def test_files_of_the_shuffled_stream_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries_time, "FILE_ROWS", 500)
+    spark.range(8000).selectExpr("id % 7 as MMSI", "timestamp_millis(id * 60000) as ts", "1D as COG", "2D as SOG", "3D as Draft").write.parquet(str(tmp_path / "points"))
+    stream = queries_time._shuffled(spark, spark.read.parquet(str(tmp_path / "points")), str(tmp_path))
+    rows = [r.n for r in spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(rows) == 8001 and len(rows) == 17 and max(rows) < 1000
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    out = queries_time.run_through(windows_stream(stream, "6 hours", "6 hours", lateness="3650 days"), str(tmp_path))
+    assert out.where("MMSI >= 0").agg(F.sum("points")).first()[0] == 8000
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 @pytest.mark.parametrize("bucket", [None, "day", "hour"])
 def test_asof_join(spark, bucket):
     rng = random.Random(1)

@@ -18,30 +18,45 @@ from tracklake.streaming.windows import sessions_stream, windows_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rows of one file of a shuffled stream, at most so many on average, and files at least.
+FILE_ROWS, FEWEST_FILES = 250_000, 4
+#: What one task of a stream reads at most, beside a file's opening cost: one or two such files.
+READ_AT_ONCE = "16m"
 #: Its single row, long after all others, lets the watermark pass them.
 LAST_VESSEL, LAST_TIME = -1, "2100-01-01"
 
 
 def run_through(stream: DataFrame, base: str) -> DataFrame:
-    """What a stream gives until its source is read, as a table. The session uses the RocksDB state store meanwhile."""
+    """What a stream gives until its source is read, as a table.
+
+    The session uses the RocksDB state store meanwhile, and no task reads more
+    than ``READ_AT_ONCE``: what a task groups before the shuffle is then bounded.
+    """
     spark = stream.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.files.maxPartitionBytes")
+    before = {name: spark.conf.get(name) for name in names}
     use_rocksdb(spark)
+    spark.conf.set(names[1], READ_AT_ONCE)
     try:
         query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
         query.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def _shuffled(spark: SparkSession, points: DataFrame, base: str) -> DataFrame:
-    """The points as a stream of files in which no order is left."""
+    """The points as a stream of files in which no order is left, half of them in each of two batches, and a last row.
+
+    Files grow in number with the points, not in size: each is sorted and written by one task.
+    """
     v = points.select("MMSI", "ts", "COG", "SOG", "Draft")
-    v.repartition(4, F.xxhash64("ts")).sortWithinPartitions(F.xxhash64("ts", "MMSI")).write.parquet(f"{base}/in")
+    files = max(FEWEST_FILES, -(-v.count() // FILE_ROWS))
+    v.repartition(files, F.xxhash64("ts")).sortWithinPartitions(F.xxhash64("ts", "MMSI")).write.parquet(f"{base}/in")
     last = spark.range(1).select(*(F.lit(x).cast(v.schema[c].dataType).alias(c) for c, x in zip(v.columns, (LAST_VESSEL, LAST_TIME, None, None, None), strict=True)))
     last.write.mode("append").parquet(f"{base}/in")
-    return spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    return spark.readStream.schema(v.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(f"{base}/in")
 
 
 def _in_order(valid: Query) -> Query:
