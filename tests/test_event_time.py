@@ -2,13 +2,16 @@
 
 import bisect
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracklake import queries_time
 from tracklake.operators.asof import asof_join
-from tracklake.streaming import process_stream
+from tracklake.streaming import ordered, process_stream
+from tracklake.streaming.online import Thresholds
 from tracklake.streaming.ordered import detect_events_in_order
 from tracklake.streaming.sources import use_rocksdb
 from tracklake.streaming.windows import late_rows, sessions_stream, windows_stream
@@ -87,6 +90,57 @@ def test_silent_vessels_end_their_stops_and_leave(spark, tmp_path, rocksdb):
     assert feed.batch([(4, start + 900 * MINUTE, 4.0, 5.0, 3.0)]) == [] and feed.state <= before + 1
 
 
+class Kept:
+    """A state, and the calls to it, each of which is a message to the JVM."""
+
+    def __init__(self):
+        self.values, self.calls, self.timers = {"vessel": None, "waiting": []}, [], []
+
+    def variable(self, name, schema):
+        def call(kind, act):
+            return lambda *a: self.calls.append((name, kind)) or act(*a)
+
+        held = self.values
+        return SimpleNamespace(
+            get=call("get", lambda: iter(list(held[name])) if name == "waiting" else held[name]),
+            exists=call("exists", lambda: bool(held[name])),
+            appendList=call("appendList", lambda v: held[name].extend(v)),
+            put=call("put", lambda v: held.update({name: list(v)})),
+            update=call("update", lambda v: held.update({name: v})),
+            clear=call("clear", lambda: held.update({name: [] if name == "waiting" else None})),
+        )
+
+    getValueState = getListState = variable  # noqa: N815
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+def test_ordered_rows_wait_packed_and_a_timer_without_rows_costs_one_call(monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 100)
+    kept, nan = Kept(), float("nan")
+    detector = ordered._Ordered(Thresholds(), None)
+    detector.init(kept)
+    rows = [(1_700_000_000_000 + i * 20 * MINUTE, 45.0 * (i % 8) if i % 3 else nan, (0.0, 9.0)[i % 2], nan if i % 5 else 4.0 + i % 7) for i in range(250)]
+    for some in (rows[1::2], rows[::2]):
+        detector.handleInputRows((7,), iter([pd.DataFrame(some, columns=["ms", "COG", "SOG", "Draft"])]), None)
+    assert len(kept.values["waiting"]) == 4 and len(kept.timers) == 2
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: rows[199][0])
+    got = [e for f in detector.handleExpiredTimer((7,), now, None) for e in f.astype(object).where(f.notna(), None).to_dict("records")]
+    kept.calls.clear()
+    assert not list(detector.handleExpiredTimer((7,), now, None)) and kept.calls == [("waiting", "get")]
+    assert kept.timers[-1] == rows[200][0]
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: rows[-1][0])
+    got += [e for f in detector.handleExpiredTimer((7,), now, None) for e in f.astype(object).where(f.notna(), None).to_dict("records")]
+    want = plain(process_stream([{"MMSI": 7, "ts": ms, "COG": c, "SOG": s, "Draft": d} for ms, c, s, d in rows]))
+    key = lambda e: tuple((v is not None, v or 0) for v in e[1:])
+    assert sorted(plain_of(got), key=key) == sorted(want, key=key) and kept.values["waiting"] == []
+
+
+def plain_of(events):
+    return [tuple(e[k] for k in ("type", "MMSI", "ts", "delta_deg", "duration_min", "delta_m", "gap_s")) for e in events]
+
+
 def test_sessions_and_late_rows(spark, tmp_path):
     start = 1_700_000_000_000
     feed = Feed(spark, tmp_path, lambda df: sessions_stream(df, "30 minutes", "1 hour"))

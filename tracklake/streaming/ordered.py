@@ -5,11 +5,15 @@ of the earliest one then hands all that are due, sorted, to the same step that
 the plain fold uses. A second deadline, ``quiet_min`` after a vessel's last row,
 reports a stop that is still open and forgets the vessel, so the state holds
 only vessels that were heard of lately and rows younger than the lateness.
+
+Each call to the state is a message to the JVM, and so is each value in it: rows
+wait packed, many in one value, and what is known to be unchanged isn't written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -19,21 +23,34 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracklake.streaming.online import ONLINE_SCHEMA, STATE_SCHEMA, Thresholds, VesselState, online_records, step
 
-ROW_SCHEMA = "ms bigint, cog double, sog double, draft double"
+#: Rows of ms, course, speed and draught, one after the other; NaN if not known.
+CHUNK_SCHEMA = "rows binary"
+_ROW, _UNKNOWN = struct.Struct("<qddd"), float("nan")
+#: Rows that one value of the state holds at most.
+CHUNK_ROWS = 10_000
 COLUMNS = [c.split()[0] for c in ONLINE_SCHEMA.split(", ")]
 
 
 def _frame(events: list[dict]) -> Iterator[pd.DataFrame]:
     if events:
-        frame = pd.DataFrame(events).reindex(columns=COLUMNS)
-        frame["gap_s"] = frame["gap_s"].astype("Int64")
-        yield frame
+        columns = {c: [e.get(c) for e in events] for c in COLUMNS}
+        yield pd.DataFrame(columns | {"gap_s": pd.array(columns["gap_s"], dtype="Int64")})
 
 
 def _value(v: Any) -> Any:
     return None if v is None or v != v else v
 
 
+def _packed(rows: list[tuple]) -> list[tuple[bytes]]:
+    """The rows as values of the state."""
+    packed = [_ROW.pack(ms, *(_UNKNOWN if v is None else v for v in rest)) for ms, *rest in rows]
+    return [(b"".join(packed[i : i + CHUNK_ROWS]),) for i in range(0, len(packed), CHUNK_ROWS)]
+
+
+def _unpacked(chunks: Iterable[tuple]) -> list[tuple]:
+    return [(ms, _value(cog), _value(sog), _value(draft)) for (chunk,) in chunks for ms, cog, sog, draft in _ROW.iter_unpack(chunk)]
+
+
 class _Ordered(StatefulProcessor):
     def __init__(self, limits: Thresholds, quiet_ms: int | None):
         self.limits, self.quiet_ms = limits, quiet_ms
@@ -41,7 +58,7 @@ class _Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.vessel = handle.getValueState("vessel", STATE_SCHEMA)
-        self.waiting = handle.getListState("waiting", ROW_SCHEMA)
+        self.waiting = handle.getListState("waiting", CHUNK_SCHEMA)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         earliest = None
@@ -49,7 +66,7 @@ class _Ordered(StatefulProcessor):
             if len(batch):
                 found = [tuple(map(_value, r)) for r in zip(*(batch[c].tolist() for c in ("ms", "COG", "SOG", "Draft")), strict=True)]
                 found = [(int(ms), *rest) for ms, *rest in found]
-                self.waiting.appendList(found)
+                self.waiting.appendList(_packed(found))
                 first = min(r[0] for r in found)
                 earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
@@ -58,10 +75,13 @@ class _Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(map(_value, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = _unpacked(self.waiting.get())
         due = sorted((r for r in rows if r[0] <= passed), key=lambda r: (r[0], *((v is not None, v or 0.0) for v in r[1:])))
         later = [r for r in rows if r[0] > passed]
-        state = VesselState(*map(_value, self.vessel.get())) if self.vessel.exists() else VesselState()
+        if not due and self.quiet_ms is None:  # an earlier timer took them; what waits has one of its own
+            return iter(())
+        known = self.vessel.get()
+        state = VesselState() if known is None else VesselState(*map(_value, known))
         events: list[dict] = []
         for ms, cog, sog, draft in due:
             if self._is_quiet(state, ms):
@@ -69,10 +89,10 @@ class _Ordered(StatefulProcessor):
                 events += found
             state, found = step(state, int(key[0]), int(ms), cog, sog, draft, self.limits)
             events += found
-        if due:
+        if due and later:
+            self.waiting.put(_packed(later))
+        elif due:
             self.waiting.clear()
-            if later:
-                self.waiting.put(later)
         if later:
             self.handle.registerTimer(min(r[0] for r in later))
         if self._is_quiet(state, passed):
@@ -82,7 +102,7 @@ class _Ordered(StatefulProcessor):
                 return _frame(events)
         elif self.quiet_ms is not None and state.last_ts is not None and not later:
             self.handle.registerTimer(int(state.last_ts) + self.quiet_ms)
-        if state.last_ts is not None:
+        if due and state.last_ts is not None:
             self.vessel.update(tuple(state))
         return _frame(events)
 
