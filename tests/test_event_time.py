@@ -141,6 +141,64 @@ def plain_of(events):
     return [tuple(e[k] for k in ("type", "MMSI", "ts", "delta_deg", "duration_min", "delta_m", "gap_s")) for e in events]
 
 
+def through(quiet_ms, key, rows, batches):
+    """Events and calls of one key whose rows come in batches, each with the watermark after it; timers fire as Spark's do."""
+    kept, out = Kept(), []
+    detector = ordered._Ordered(Thresholds(), quiet_ms)
+    detector.init(kept)
+    for at, watermark in batches:
+        some = [r for r in rows if r[5] == at]
+        if some:
+            detector.handleInputRows(key, iter([pd.DataFrame([r[:5] for r in some], columns=["MMSI", "ms", "COG", "SOG", "Draft"])]), None)
+        fired = {ms for ms in kept.timers if ms <= watermark}
+        kept.timers = [ms for ms in kept.timers if ms > watermark]
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w)
+        for _ in sorted(fired):
+            for frame in detector.handleExpiredTimer(key, now, None):
+                out += plain_of(frame.astype(object).where(frame.notna(), None).to_dict("records"))
+    return sorted(out, key=str), kept
+
+
+@pytest.mark.parametrize("quiet_ms", [None, 60 * MINUTE])
+def test_vessels_of_a_part_share_its_calls_and_give_the_events_they_give_alone(monkeypatch, quiet_ms):
+    monkeypatch.setattr(ordered, "FRAME_EVENTS", 7)
+    rng, start = random.Random(3), 1_700_000_000_000
+    rows = []
+    for vessel in range(60):
+        ms = start
+        for _ in range(rng.randrange(1, 40)):
+            ms += rng.choice((0, 1, 9, 20, 90)) * MINUTE
+            at = min(max(0, (ms - start) // (200 * MINUTE) + rng.choice((0, 0, 1))), 4)
+            rows.append((vessel, ms, rng.choice((10.0, 50.0, None)), rng.choice((0.0, 0.2, 6.0, None)), rng.choice((5.0, 5.5, None)), at))
+    rng.shuffle(rows)
+    # A row comes at most 200 minutes after the watermark could pass it.
+    batches = [(at, start + (at - 1) * 200 * MINUTE - 1) for at in range(5)] + [(5, start + 10**10)]
+    got, kept = through(quiet_ms, (0,), rows, batches)
+    want, alone = [], 0
+    for vessel in range(60):
+        events, one = through(quiet_ms, (0,), [r for r in rows if r[0] == vessel], batches)
+        want, alone = want + events, alone + len(one.calls)
+    assert got == sorted(want, key=str) and {e[0] for e in got} == {"gap", "sharp_turn", "stop", "draft_change"}
+    assert len(kept.calls) < 60 < alone / 4 and kept.values["waiting"] == []
+    if quiet_ms is None:
+        known = lambda v: (v is not None, v or 0.0)
+        ordered_rows = sorted(rows, key=lambda r: (r[0], r[1], *map(known, r[2:5])))
+        assert got == sorted(plain(process_stream([dict(zip(("MMSI", "ts", "COG", "SOG", "Draft"), r[:5], strict=True)) for r in ordered_rows])), key=str)
+    else:
+        assert kept.values["vessel"] is None and not kept.timers
+
+
+def test_vessels_are_dealt_to_few_keys(spark, tmp_path, rocksdb):
+    start = 1_700_000_000_000
+    feed = Feed(spark, tmp_path, lambda df: detect_events_in_order(df, lateness="10 minutes", parts=2))
+    rows = [(v, start + i * 20 * MINUTE, 5.0, 10.0 + 60 * i, 3.0) for v in range(50) for i in range(2)]
+    assert feed.batch(rows) == []
+    # Two values of rows that wait, and a few numbers for each timer.
+    assert feed.state <= 10
+    found = feed.batch([(99, start + 900 * MINUTE, 4.0, 5.0, 3.0)])
+    assert sorted((e["type"], e["MMSI"]) for e in found) == sorted((kind, v) for v in range(50) for kind in ("gap", "sharp_turn"))
+
+
 def test_sessions_and_late_rows(spark, tmp_path):
     start = 1_700_000_000_000
     feed = Feed(spark, tmp_path, lambda df: sessions_stream(df, "30 minutes", "1 hour"))
