@@ -79,6 +79,32 @@ def test_encounters_of_none_and_errors(spark):
         encounters(df.drop("LAT"))
 
 
+@pytest.mark.parametrize("block", [100_000, 40])
+def test_encounters_of_many_spans_are_whole(spark, block):
+    # Runs that begin, end or go on at any span of any chunk, and vessels that stay together all the time.
+    rng = random.Random(block)
+    rows = [(v, START + 600 * s + rng.randrange(600), 54.0 + v % 3 * 0.009, 18.0) for v in range(9) for s in range(40) if v < 3 or rng.random() < 0.8]
+    want = brute_encounters(rows, 1.2, 600)
+    assert found_encounters(frame(spark, rows), 1.2, 10, block=block) == want
+    assert max(w[4] for w in want) == 40 and len({w[2] // 600 % 8 for w in want}) == 8
+
+
+def shuffled_rows(spark):
+    """Rows written for shuffles by all jobs of the session so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_encounters_shuffle_no_pairs(spark):
+    df = frame(spark, [(v, START, 54.0 + v / 1e6, 18.0) for v in range(500)])
+    before = shuffled_rows(spark)
+    # Of 500 vessels in one place 124,750 pairs meet.
+    assert encounters(df, 1.2, 10).where("min_km >= 0").agg(F.sum("slots")).first()[0] == 124_750
+    assert shuffled_rows(spark) - before < 10_000
+
+
 def test_encounters_broadcast_no_positions(spark, tmp_path):
     # A small file is a table of any number of rows once it is read, and its size says what Spark would broadcast.
     frame(spark, [(v, START, 1.0, 1.0) for v in range(9)]).write.parquet(str(tmp_path / "points"))
