@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 
 import pytest
@@ -187,6 +188,24 @@ def test_covers_of_many_polygons_are_those_of_each(spark):
     assert counts == {1: len(cover(rings[0], 3)), 2: len(cover([big], 3)), 3: len(cover([*rings[1], rings[1][0][:3]], 3))}
 
 
+def test_areas_test_few_edges_in_compiled_code(spark):
+    df = spark.createDataFrame([(1.0, 1.0)], "LAT double, LON double")
+    few = [(1, [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.5, 1.0]]])]
+    rng = random.Random(4)
+    for areas, walked in ((few, False), ([*few, (2, [star(rng, 1, 1, 1, 400)])], True)):
+        found = points_in_areas(df, spark.createDataFrame(areas, "area bigint, rings array<array<array<double>>>"))
+        done = found._jdf.queryExecution()
+        # Spark walks lists of edges without generated code: only those of the cells that have many.
+        assert ("aggregate(edges" in done.executedPlan().toString()) == walked
+        assert sorted(r.area for r in found.collect()) == [a for a, rings in areas if strictly_inside(1.0, 1.0, rings)]
+    df = points_in_areas(df, spark.createDataFrame(few, "area bigint, rings array<array<array<double>>>"))
+    df.collect()
+    text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    sizes = list(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text)))
+    # Longer methods the JVM doesn't compile.
+    assert sizes and max(sizes) < 8000
+
+
 def test_areas_broadcast_no_points(spark, tmp_path):
     spark.createDataFrame([(1.0, 1.0)], "LAT double, LON double").write.parquet(str(tmp_path / "points"))
     table = spark.createDataFrame([(1, [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0]]])], "area bigint, rings array<array<array<double>>>")
